@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import chat_format, packing
+from loamgraph.llm import chat_format, decontamination, fingerprints, license_scan, packing
 from loamgraph.llm.common import table
 
 #: All control strings in one text, as the contract's conversation -1 has it.
@@ -60,6 +60,88 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_char
 FROM g"""
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical digest of every whole document and the known licence that has it."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _replaced_sql(column: str, steps: list[tuple[str, str]]) -> str:
+    """Nested global regular-expression replacements in SQL; quotes are doubled here."""
+    out = column
+    for pattern, to in steps:
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+    return out
+
+
+def _canonical_sql(column: str) -> str:
+    """license_scan.canonical() in SQL."""
+    out = _replaced_sql(f"lower(coalesce({column}, ''))", [(license_scan.COPYRIGHT_LINE, " "), (r"[^\p{L}\p{N}]+", " ")])
+    out = f"' ' || trim({out}) || ' '"
+    for x, y in license_scan.SPELLINGS:
+        out = f"replace({out}, ' {x} ', ' {y} ')"
+    return f"trim({out})"
+
+
+def _known_sql() -> str:
+    rows = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in sorted(license_scan.KNOWN.items()))
+    return f"SELECT sha256({_canonical_sql('text')}) AS known, min(license_id) AS license_id FROM (VALUES {rows}) AS v(license_id, text) GROUP BY 1"
+
+
+OP4_SQL = f"""
+WITH k AS ({_known_sql()}),
+d AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, sha256({_canonical_sql("text")}) AS canonical_sha256 FROM documents)
+SELECT doc_id, n_chars, canonical_sha256, license_id FROM d LEFT JOIN k ON canonical_sha256 = known"""
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that leak into documents: a row for each (doc_id, item_id)."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _marked_sql(column: str) -> str:
+    """decontamination.marked_text() in SQL."""
+    out = _replaced_sql(
+        f"coalesce({column}, '')",
+        [(r"[^\p{L}\p{N}.,;:!?%$€£]+", " "), (r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)", r"\1@\2"), (r"(@\p{Lu}\p{Ll}+ )(\p{Lu}\p{Ll}+)", r"\1@\2"),
+         (r"([0-9])%", r"\1 percent "), (r"([0-9])[.,]([0-9])", r"\1_\2"), (r"([0-9])[.,]([0-9])", r"\1_\2"), (r"\$([0-9])", r"dollar \1"), (r"([0-9][0-9_]*)", r" #\1 ")],
+    )
+    out = f"{_replaced_sql(f'lower({out})', [(r'[^\p{L}\p{N}#@_]+', ' ')])} || ' '"
+    return f"trim({_replaced_sql(out, [(rf'(#[0-9_]+) ({'|'.join(decontamination.UNITS)}) ', r'\1 %\2 '), (r' (dollar|euro|pound) #', r' %\1 #')])})"
+
+
+def _windows_sql(source: str, key: str) -> str:
+    marked = _marked_sql("text")
+    return f"""
+  SELECT {key}, i AS pos, array_to_string(t[i:i+7], ' ') AS plain, m[i:i+7] AS slots FROM (
+    SELECT {key}, t, m, unnest(range(1, greatest(len(t) - 7, 1) + 1)) AS i FROM (
+      SELECT {key}, list_filter(string_split(marked, ' '), lambda x: x <> '') AS m,
+        list_filter(string_split(regexp_replace(marked, '([#@%])[\\p{{L}}\\p{{N}}_]+', '\\1', 'g'), ' '), lambda x: x <> '') AS t
+      FROM (SELECT {key}, {marked} AS marked FROM {source})) WHERE len(t) > 0)"""
+
+
+OP6_SQL = f"""
+WITH own AS (
+  SELECT * FROM (SELECT item_id, pos AS item_pos, plain AS item_plain, slots AS item_slots FROM ({_windows_sql("benchmark", "item_id")}))
+  WHERE 2 * len(list_filter(string_split(item_plain, ' '), lambda x: x NOT IN ('#', '@', '%'))) >= len(string_split(item_plain, ' '))
+), totals AS (SELECT item_id, count(DISTINCT item_plain) AS item_windows FROM own GROUP BY 1),
+mine AS ({_windows_sql("documents", "doc_id")}),
+met AS (SELECT doc_id, item_id, pos - item_pos AS shift, item_plain, item_slots, slots FROM mine JOIN own ON plain = item_plain),
+pairs AS (
+  SELECT DISTINCT doc_id, item_id, shift, item_slots[k] AS a, slots[k] AS b FROM (SELECT *, unnest(range(1, len(item_slots) + 1)) AS k FROM met)
+  WHERE substr(item_slots[k], 1, 1) IN ('#', '@', '%')
+), lines AS (
+  SELECT doc_id, item_id, shift, count(*) AS n_slots, count(DISTINCT a) AS n_values, count(*) FILTER (WHERE a <> b) AS changed FROM pairs GROUP BY ALL
+), good AS (
+  SELECT met.doc_id, met.item_id, item_plain, coalesce(n_slots, 0) AS n_slots, coalesce(changed, 0) AS changed
+  FROM met LEFT JOIN lines ON met.doc_id IS NOT DISTINCT FROM lines.doc_id AND met.item_id = lines.item_id AND met.shift = lines.shift
+  WHERE coalesce(n_slots, 0) = coalesce(n_values, 0)
+), found AS (
+  SELECT doc_id, item_id, count(DISTINCT item_plain) AS matched_windows, max(n_slots) AS n_slots, max(changed) AS changed_slots FROM good GROUP BY ALL
+)
+SELECT doc_id, item_id, item_windows, matched_windows, round(matched_windows / item_windows, 6) AS coverage, n_slots, changed_slots, changed_slots > 0 AS reparameterised
+FROM found JOIN totals USING (item_id) WHERE matched_windows / item_windows >= 0.5"""
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     import public_tokenizers
@@ -67,14 +149,58 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, with their likeness to each other and to the next document's."""
+    done = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        F.round(fingerprints.containment(F.col("fingerprint"), F.col("edited_fingerprint")), 6).alias("near_edited"),
+        F.round(fingerprints.containment(F.col("fingerprint"), F.col("next_fingerprint")), 6).alias("near_next"),
+    )
+
+
+def _fingerprint_sql(column: str) -> str:
+    """fingerprints.fingerprint() in SQL, on a list of words."""
+    w = column
+    shingles = f"CASE WHEN len({w}) = 0 THEN [] WHEN len({w}) < 5 THEN [array_to_string({w}, ' ')] ELSE list_transform(range(1, len({w}) - 3), lambda i: array_to_string({w}[i:i+4], ' ')) END"
+    return f"array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform({shingles}, lambda x: md5(x)), lambda h: h < '20'), lambda h: substr(h, 1, {fingerprints.DIGITS})))), ',')"
+
+
+def _words_sql(column: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({column}), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+def _near_sql(x: str, y: str) -> str:
+    a, b = (f"string_split({c}, ',')" for c in (x, y))
+    return f"CASE WHEN {x} = '' OR {y} = '' THEN 0.0::DOUBLE ELSE round(len(list_intersect({a}, {b})) / least(len({a}), len({b})), 6)::DOUBLE END"
+
+
+OP9_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS nxt FROM documents
+), e AS (
+  SELECT *, length(text) AS n_chars, substr(text, 1, length(text) - length(text) // 4) || substr(nxt, 1, length(text) // 4) AS edited FROM d
+), w AS (SELECT *, {_words_sql("text")} AS w0, {_words_sql("edited")} AS w1, {_words_sql("nxt")} AS w2 FROM e),
+f AS (SELECT *, {_fingerprint_sql("w0")} AS fingerprint, {_fingerprint_sql("w1")} AS edited_fingerprint, {_fingerprint_sql("w2")} AS f2 FROM w)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, {_near_sql("fingerprint", "edited_fingerprint")} AS near_edited,
+  {_near_sql("fingerprint", "f2")} AS near_next
+FROM f"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {
-        "op1_chat_format": op1_chat_format,
-        "op8_best_fit_packing": op8_best_fit_packing,
-    }
+    return {f.__name__: f for f in (op1_chat_format, op4_license_scan, op6_benchmark_decontamination, op8_best_fit_packing, op9_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name, where SQL can express the whole result."""
-    return {"op1_chat_format": OP1_SQL}
+    return {
+        "op1_chat_format": OP1_SQL,
+        "op4_license_scan": OP4_SQL,
+        "op6_benchmark_decontamination": OP6_SQL,
+        "op9_document_fingerprints": OP9_SQL,
+    }
