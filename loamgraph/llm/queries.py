@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import chat_format, decontamination, fingerprints, license_scan, packing
+from loamgraph.llm import chat_format, decontamination, fingerprints, jaccard_join, license_scan, packing
 from loamgraph.llm.common import table
 
 #: All control strings in one text, as the contract's conversation -1 has it.
@@ -93,6 +93,27 @@ d AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, sha256({_canonical_s
 SELECT doc_id, n_chars, canonical_sha256, license_id FROM d LEFT JOIN k ON canonical_sha256 = known"""
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its set's size and the component of its links at a Jaccard similarity of 0.75."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP5_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.h = b.h GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(least(min(r.b), s.doc_id), s.doc_id) AS component_id
+FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, s.s"""
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that leak into documents: a row for each (doc_id, item_id)."""
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -193,7 +214,7 @@ FROM f"""
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_chat_format, op4_license_scan, op6_benchmark_decontamination, op8_best_fit_packing, op9_document_fingerprints)}
+    return {f.__name__: f for f in (op1_chat_format, op4_license_scan, op5_ngram_jaccard_join, op6_benchmark_decontamination, op8_best_fit_packing, op9_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -201,6 +222,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": OP1_SQL,
         "op4_license_scan": OP4_SQL,
+        "op5_ngram_jaccard_join": OP5_SQL,
         "op6_benchmark_decontamination": OP6_SQL,
         "op9_document_fingerprints": OP9_SQL,
     }
