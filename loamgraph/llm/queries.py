@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import chat_format, decontamination, fingerprints, jaccard_join, license_scan, packing
+from loamgraph.llm import chat_format, decontamination, fingerprints, jaccard_join, language_id, license_scan, packing, toxicity
 from loamgraph.llm.common import table
 
 #: All control strings in one text, as the contract's conversation -1 has it.
@@ -60,6 +60,29 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_char
 FROM g"""
 
 
+def _crc32_of_id() -> Column:
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole document, learned from documents that are not held out."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_crc32_of_id() % 3 == 1, F.lit(False))
+    model = language_id.fit_on(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole document, learned from labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_crc32_of_id() % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit_on(docs, labels)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical digest of every whole document and the known licence that has it."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
@@ -214,7 +237,7 @@ FROM f"""
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_chat_format, op4_license_scan, op5_ngram_jaccard_join, op6_benchmark_decontamination, op8_best_fit_packing, op9_document_fingerprints)}
+    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_toxicity, op4_license_scan, op5_ngram_jaccard_join, op6_benchmark_decontamination, op8_best_fit_packing, op9_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
