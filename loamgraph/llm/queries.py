@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import chat_format, decontamination, fingerprints, jaccard_join, language_id, license_scan, packing, toxicity
+from loamgraph.llm import chat_format, decontamination, fingerprints, jaccard_join, language_id, license_scan, lm_scoring, packing, toxicity
 from loamgraph.llm.common import table
 
 #: All control strings in one text, as the contract's conversation -1 has it.
@@ -186,6 +186,27 @@ SELECT doc_id, item_id, item_windows, matched_windows, round(matched_windows / i
 FROM found JOIN totals USING (item_id) WHERE matched_windows / item_windows >= 0.5"""
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of every document under the counts of all documents."""
+    return lm_scoring.stupid_backoff(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), t AS (SELECT doc_id, w[i] AS w, CASE WHEN i = 1 THEN chr(1) ELSE w[i - 1] END AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+u AS (SELECT w, count(*) AS n FROM t GROUP BY 1 UNION ALL SELECT chr(1), count(*) FROM d WHERE len(w) > 0),
+b AS (SELECT h, w, count(*) AS n FROM t GROUP BY 1, 2),
+s AS (
+  SELECT t.doc_id, CASE WHEN b.n >= 2 THEN ln(b.n / hu.n) ELSE ln(0.4 * wu.n / (SELECT count(*) FROM t)) END AS s, b.n < 2 AS back
+  FROM t JOIN b ON t.h = b.h AND t.w = b.w JOIN u hu ON t.h = hu.w JOIN u wu ON t.w = wu.w
+), g AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE back) AS n_backoff, sum(s) AS s FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_backoff, 0) AS n_backoff, round(coalesce(s, 0.0), 4)::DOUBLE AS log_score,
+  round(s / n_tokens, 6)::DOUBLE AS mean_log_score
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     import public_tokenizers
@@ -237,7 +258,7 @@ FROM f"""
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_toxicity, op4_license_scan, op5_ngram_jaccard_join, op6_benchmark_decontamination, op8_best_fit_packing, op9_document_fingerprints)}
+    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_toxicity, op4_license_scan, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_lm_scoring, op8_best_fit_packing, op9_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -247,5 +268,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_scan": OP4_SQL,
         "op5_ngram_jaccard_join": OP5_SQL,
         "op6_benchmark_decontamination": OP6_SQL,
+        "op7_lm_scoring": OP7_SQL,
         "op9_document_fingerprints": OP9_SQL,
     }
