@@ -16,6 +16,8 @@ from loamgraph.llm.common import shuffle_partitions
 
 SPACE = r"[\x20\x09-\x0D]+"
 DIGITS = 12
+#: Stands for a null doc_id, so that the keys of the joins are never null.
+NO_ID = -(1 << 63)
 
 
 def shingle_list(text: Column, size: int = 5) -> Column:
@@ -86,28 +88,23 @@ def edited_fingerprints(docs: DataFrame, one_in: int = 8, size: int = 5) -> Data
     Takes doc_id and text (null: empty); other columns are ignored. Returns doc_id, n_chars, edited (text),
     fingerprint, edited_fingerprint, next_fingerprint. The next document has the next larger doc_id (after the
     last: the first); where a doc_id has several texts, the least of them stands for it as the next document,
-    and each row keeps a result of its own. A null doc_id is followed by the first document. An empty table gives
-    no rows.
+    and each row keeps a result of its own. A null doc_id comes before all others. An empty table gives no rows.
 
-    The texts are shuffled once by doc_id; a quarter of each text and its sketch travel to the document before.
+    The texts are shuffled once by doc_id (both joins reuse that exchange); a quarter of each text and its sketch
+    travel to the document before.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keys = own.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("most"))
-    pairs = next_keys(keys, "doc_id")
-    first = own.agg(F.min("doc_id")).first()[0]
-    lone = own.where("doc_id is null").groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("most"))
-    pairs = pairs.unionByName(lone.withColumn("next_key", F.lit(first).cast("long")))
-    marked = own.withColumn("fingerprint", fingerprint(F.col("text"), one_in, size)).repartition("doc_id")
-    heads = marked.groupBy("doc_id").agg(F.min(F.struct("text", "fingerprint")).alias("n"))
-    sent = (
-        pairs.withColumnRenamed("doc_id", "to")
-        .join(heads, pairs["next_key"] == heads["doc_id"], "left")
-        .select("to", F.coalesce(F.substring("n.text", F.lit(1), F.col("most")), F.lit("")).alias("head"), F.coalesce("n.fingerprint", F.lit("")).alias("next_fingerprint"))
-    )
-    joined = marked.join(sent, marked["doc_id"].eqNullSafe(sent["to"]), "left")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    own = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = own.groupBy("key").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("most"))
+    pairs = next_keys(keys, "key").withColumnRenamed("key", "to")
+    marked = own.withColumn("fingerprint", fingerprint(F.col("text"), one_in, size)).repartition("key")
+    heads = marked.groupBy("key").agg(F.min(F.struct("text", "fingerprint")).alias("n"))
+    sent = pairs.join(heads, pairs["next_key"] == heads["key"]).select("to", F.substring("n.text", F.lit(1), F.col("most")).alias("head"), F.col("n.fingerprint").alias("next_fingerprint"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("head", F.lit(1), quarter))
-    return joined.select(
-        "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint"
-    ).withColumn("edited_fingerprint", fingerprint(F.col("edited"), one_in, size))
+    return (
+        marked.join(sent, marked["key"] == sent["to"])
+        .select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
+        .withColumn("edited_fingerprint", fingerprint(F.col("edited"), one_in, size))
+    )
