@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import chat_format, decontamination, fingerprints, jaccard_join, language_id, license_scan, lm_scoring, packing, toxicity
+from loamgraph.llm import chat_format, decontamination, fingerprints, html_extract, jaccard_join, language_id, license_scan, lm_scoring, packing, toxicity
 from loamgraph.llm.common import table
 
 #: All control strings in one text, as the contract's conversation -1 has it.
@@ -256,9 +256,14 @@ SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fin
 FROM f"""
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_toxicity, op4_license_scan, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_lm_scoring, op8_best_fit_packing, op9_document_fingerprints)}
+    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_toxicity, op4_license_scan, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_lm_scoring, op8_best_fit_packing, op9_document_fingerprints, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
