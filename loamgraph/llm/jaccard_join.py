@@ -2,18 +2,19 @@
 
 1. Each task cuts its documents into shingle sets and folds copies of a set within a chunk of documents. The
    chunks' shingle hashes travel once, packed by hash bucket: a bucket counts each shingle's documents and sends
-   back only shingles that two or more documents have. A shingle of one document can never link anything; it only
-   counts as that document's first, rarest elements.
+   back only shingles that two or more documents have. A chunk sends a shingle once, however many of its documents
+   have it, so a passage that a third of all documents share makes no large bucket. A shingle of one document can
+   never link anything; it only counts among that document's first, rarest elements.
 2. Rare-first prefix filter: with its shingles ordered by (document frequency, hash), a set of n shingles needs
    only the first n - ceil(0.75 n) + 1 as prefix. Sets that share no prefix shingle cannot link.
-3. Links are wanted up to connectivity, so a bucket of sets with the same prefix shingle is first compared with one
-   pivot each (linear). What is then still in different components is compared pair by pair, in blocks of
-   bounded size, with the length, positional and suffix filters as vector operations; the suffix filter bounds the
-   overlap by the set's bit signature over hash classes. Only pairs that pass every filter leave a block; each is
-   verified once on the whole sets.
-
-No pair within a component is emitted, no candidate is capped, and the result is exact up to collisions of hashes of at least 45 bits
-within one pair of documents.
+3. Links are wanted up to connectivity, so the sets with one prefix shingle are first compared with their least
+   set, the pivot (linear in the entries, after the length and positional filters). Shingles whose sets are then
+   still in different components are examined whole: all sets that meet at one pivot, in blocks of bounded
+   size, with the length and suffix filters as vector operations and each pair that passes verified on the
+   whole sets in place. The suffix filter bounds an overlap by the sets' bit signatures over hash classes.
+
+Pairs are never emitted, only links between components that are still apart. No candidate is capped, and the result
+is exact up to collisions of hashes of at least 40 bits within one pair of documents.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ LOW = np.uint64((1 << 40) - 1)
 #: Compressed bytes a shingle of input takes, about; only sizes the buckets.
 BYTES_A_SHINGLE = 3.5
 PACKED = "bucket long, chunk long, data binary"
-DOCS = "doc_id long, digest binary, n long, unique_n long, keys array<long>, prefix int, signature binary"
+DOCS = "doc_id long, row_hash long, digest binary, n long, unique_n long, keys array<long>, prefix int, signature binary"
 
 
 class WordHashes(dict):
@@ -66,32 +67,41 @@ def shingle_hashes(text: str | None, words: WordHashes, size: int = 5) -> np.nda
     return np.unique(h)
 
 
-def _pack_chunk(chunk: int, buckets: int, ids: list, sets: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+def _pack_chunk(chunk: int, buckets: int, ids: list[tuple], sets: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
     """A chunk's rows: one with its documents, and one a bucket with the hashes of its distinct sets."""
     digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
     first: dict[bytes, int] = {}
     for i, d in enumerate(digests):
         first.setdefault(d, i)
     own = np.array([first[d] == i for i, d in enumerate(digests)])
-    meta = pa.table({"doc_id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()), "own": pa.array(own)})
+    flat = np.concatenate([s for s, o in zip(sets, own, strict=True) if o] or [np.zeros(0, np.uint64)])
+    keys, first_at, inverse, counts = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+    by_first = np.argsort(first_at, kind="stable")  # shingles are numbered as they first occur, so only recurrences must be kept
+    number = np.empty(len(keys), dtype=np.uint32)
+    number[by_first] = np.arange(len(keys), dtype=np.uint32)
+    keys, counts, stream = keys[by_first], counts[by_first], number[inverse]
+    again = np.ones(len(flat), dtype=bool)
+    again[first_at] = False
+    meta = pa.table({"doc_id": pa.array([i for i, _ in ids], pa.int64()), "row_hash": pa.array([h for _, h in ids], pa.int64()), "digest": pa.array(digests, pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()), "own": pa.array(own)})
+    where = np.flatnonzero(again).astype(np.uint32)
     sink = pa.BufferOutputStream()
+    sink.write(np.array([len(where)], dtype="<u4").tobytes() + where.tobytes() + stream[where].tobytes())
     with pa.ipc.new_stream(sink, meta.schema) as out:
         out.write_table(meta)
     yield -1 - chunk, chunk, sink.getvalue().to_pybytes()
-    mine = np.flatnonzero(own)
-    if not mine.size:
+    if not flat.size:
         return
-    h = np.concatenate([sets[i] for i in mine])
-    if not h.size:
-        return
-    at = np.repeat(mine.astype(np.uint16), [len(sets[i]) for i in mine])
-    bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
-    bucket, low, at = bucket[order], h[order] & LOW, at[order]
-    cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1)))
-    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
-        k = low[i:j]
-        yield int(bucket[i]), chunk, k.astype(np.uint32).tobytes() + (k >> np.uint64(32)).astype(np.uint8).tobytes() + at[i:j].tobytes()
+    bucket, low, counts = bucket[order], keys[order] & LOW, counts[order].astype(np.uint32)
+    number = order.astype(np.uint32)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))).tolist()
+    for i, j in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+        k, n = low[i:j], counts[i:j]
+        more = np.flatnonzero(n > 1).astype(np.uint32)
+        planes = number[i:j].view(np.uint8).reshape(-1, 4).T[:3]
+        parts = (np.array([j - i], dtype="<u4"), k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint8), planes, more, n[more])
+        yield int(bucket[i]), chunk, b"".join(x.tobytes() for x in parts)
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -103,29 +113,34 @@ def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
     return _batch(rows, ["bucket", "chunk", "data"], [pa.int64(), pa.int64(), pa.binary()])
 
 
+def _asked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's hashes in a bucket, their numbers in the chunk, and in how many of its sets each is."""
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    key = np.frombuffer(raw, np.uint32, n, 4).astype(np.uint64) | (np.frombuffer(raw, np.uint8, n, 4 + 4 * n).astype(np.uint64) << np.uint64(32))
+    planes = np.zeros((n, 4), dtype=np.uint8)
+    planes[:, :3] = np.frombuffer(raw, np.uint8, 3 * n, 4 + 5 * n).reshape(3, -1).T
+    more = np.frombuffer(raw[4 + 8 * n :], np.uint32).reshape(2, -1)
+    counts = np.ones(n, dtype=np.int64)
+    counts[more[0]] = more[1]
+    return key, planes.view("<u4").ravel(), counts
+
+
 def _count_bucket(table: pa.Table) -> pa.Table:
     """Of a bucket's hashes, those that two or more sets have, by chunk, with their document frequency."""
     bucket = table.column("bucket")[0].as_py()
     if bucket < 0:
         return table
     chunks = table.column("chunk").to_pylist()
-    keys, docs, sizes = [], [], []
-    for raw in table.column("data"):
-        buf = raw.as_buffer()
-        n = buf.size // 7
-        low = np.frombuffer(buf, np.uint32, n).astype(np.uint64)
-        keys.append(low | (np.frombuffer(buf, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)))
-        docs.append(np.frombuffer(buf[5 * n :].to_pybytes(), np.uint16))
-        sizes.append(n)
-    key = np.concatenate(keys)
-    _, where, df = np.unique(key, return_inverse=True, return_counts=True)
-    df = df[where]
-    rows = []
-    for chunk, at, k, d, i in zip(chunks, np.cumsum([0, *sizes[:-1]]).tolist(), keys, docs, range(len(sizes)), strict=True):
-        mine = df[at : at + sizes[i]]
+    asked = [_asked(x) for x in table.column("data").to_pylist()]
+    distinct, which = np.unique(np.concatenate([k for k, _, _ in asked]), return_inverse=True)
+    df = np.bincount(which, weights=np.concatenate([n for _, _, n in asked]), minlength=len(distinct)).astype(np.int64)[which]
+    rows, at = [], 0
+    for chunk, (k, number, _) in zip(chunks, asked, strict=True):
+        mine = np.minimum(df[at : at + len(k)], 0xFFFFFFFF)
+        at += len(k)
         shared = mine > 1
         if shared.any():
-            rows.append((bucket, chunk, k[shared].tobytes() + mine[shared].astype(np.uint32).tobytes() + d[shared].tobytes()))
+            rows.append((bucket, chunk, k[shared].tobytes() + mine[shared].astype(np.uint32).tobytes() + number[shared].tobytes()))
     return pa.Table.from_batches([_packed_batch(rows)])
 
 
@@ -143,20 +158,29 @@ def _gather_chunk(percent: int):
     """The documents of a chunk with their shared shingles in rare-first order."""
 
     def run(table: pa.Table) -> pa.Table:
-        meta, parts = None, []
+        raw = next(d for k, d in zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True) if k < 0)
+        again = int(np.frombuffer(raw, "<u4", 1)[0])
+        meta = pa.ipc.open_stream(raw[4 + 8 * again :]).read_all()
+        docs, n_all = len(meta), meta.column("n").to_numpy()
+        sizes = np.where(meta.column("own").to_numpy(zero_copy_only=False), n_all, 0)
+        stream = np.zeros(int(sizes.sum()), dtype=np.int64)
+        new = np.ones(len(stream), dtype=bool)
+        where = np.frombuffer(raw, np.uint32, again, 4)
+        new[where] = False
+        stream[new] = np.arange(new.sum())
+        stream[where] = np.frombuffer(raw, np.uint32, again, 4 + 4 * again)
+        df_of, key_of = np.zeros(int(new.sum()), dtype=np.uint32), np.zeros(int(new.sum()), dtype=np.uint64)
         for bucket, raw in zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True):
-            if bucket < 0:
-                meta = pa.ipc.open_stream(raw).read_all()
-                continue
-            n = len(raw) // 14
-            key = np.frombuffer(raw, np.uint64, n) | (np.uint64(bucket) << np.uint64(40))
-            parts.append((np.frombuffer(raw, np.uint16, n, 12 * n), np.frombuffer(raw, np.uint32, n, 8 * n), key))
-        docs = len(meta)
-        at, df, key = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint16), np.zeros(0, np.uint32), np.zeros(0, np.uint64))
+            if bucket >= 0:
+                k = len(raw) // 16
+                number = np.frombuffer(raw, np.uint32, k, 12 * k)
+                df_of[number] = np.frombuffer(raw, np.uint32, k, 8 * k)
+                key_of[number] = np.frombuffer(raw, np.uint64, k) | (np.uint64(bucket) << np.uint64(40))
+        at, df, key = np.repeat(np.arange(docs), sizes), df_of[stream], key_of[stream]
+        at, df, key = at[df > 1], df[df > 1], key[df > 1]
         order = np.lexsort((key, df, at))
         key, cuts = key[order], np.searchsorted(at[order], np.arange(docs + 1))
-        n = meta.column("n").to_numpy()
-        shared = np.diff(cuts)
+        n, shared = n_all, np.diff(cuts)
         need = -(-percent * n // 100)
         prefix = np.maximum(0, np.minimum(shared, n - need + 1 - (n - shared)))
         live = meta.column("own").to_numpy(zero_copy_only=False) & (prefix > 0)
@@ -164,6 +188,7 @@ def _gather_chunk(percent: int):
         return pa.table(
             {
                 "doc_id": meta.column("doc_id"),
+                "row_hash": meta.column("row_hash"),
                 "digest": meta.column("digest"),
                 "n": meta.column("n"),
                 "unique_n": pa.array(n - shared, pa.int64()),
@@ -176,10 +201,8 @@ def _gather_chunk(percent: int):
     return run
 
 
-def shared_shingles(docs: DataFrame, size: int = 5, percent: int = 75, chunk_docs: int = 4096, chunk_shingles: int = 2_000_000, bucket_shingles: int = 4_000_000) -> DataFrame:
-    """Every document (doc_id, text) with its set's digest and size and, once a chunk and set, its shared shingles and prefix length."""
-    if not 0 < chunk_docs <= 65536:
-        raise ValueError("a chunk has at most 65536 documents")
+def shared_shingles(docs: DataFrame, size: int = 5, percent: int = 75, chunk_docs: int = 8192, chunk_shingles: int = 2_000_000, bucket_shingles: int = 4_000_000) -> DataFrame:
+    """Every document (doc_id, text) with a hash of its text, its set's digest and size and, once a chunk and set, its shared shingles and prefix length."""
     buckets = max(shuffle_partitions(docs), math.ceil(plan_bytes(docs) / BYTES_A_SHINGLE / bucket_shingles))
     buckets = min(buckets, max(1, chunk_shingles // 8))
 
@@ -189,17 +212,17 @@ def shared_shingles(docs: DataFrame, size: int = 5, percent: int = 75, chunk_doc
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 some = whole.slice(at, 256)
-                for doc, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                for doc, text, row in zip(*(some.column(c).to_pylist() for c in ("doc_id", "text", "row_hash")), strict=True):
                     if ids and (len(ids) >= chunk_docs or total >= chunk_shingles):
                         yield _packed_batch(list(_pack_chunk(chunk, buckets, ids, sets)))
                         chunk, ids, sets, total = chunk + 1, [], [], 0
-                    ids.append(doc)
+                    ids.append((doc, row))
                     sets.append(shingle_hashes(text, words, size))
                     total += len(sets[-1])
         if ids:
             yield _packed_batch(list(_pack_chunk(chunk, buckets, ids, sets)))
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PACKED)
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_hash")).mapInArrow(run, PACKED)
     counted = packed.groupBy("bucket").applyInArrow(_count_bucket, PACKED)
     return counted.groupBy("chunk").applyInArrow(_gather_chunk(percent), DOCS)
 
@@ -216,58 +239,62 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     return met.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("a_n") + F.col("b_n") - F.col("both"))).select("a", "b")
 
 
-def _block_pairs(percent: int, tile: int = 256):
-    """The pairs of a block that lie in different components and pass the length, positional and suffix filters."""
+def _block_links(percent: int):
+    """Links between sets of a block that lie in different components: length and suffix filters, then the whole sets.
 
-    def sides(table: pa.Table, rows: np.ndarray, bits: int) -> dict[str, np.ndarray]:
-        raw = table.column("signature").take(pa.array(rows)).to_pylist()
-        sig = np.zeros((len(rows), bits // 64), dtype=np.uint64)
-        for i, x in enumerate(raw):
-            sig[i] = np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, bits // 64), axis=0)
-        return {k: table.column(k).to_numpy()[rows] for k in ("n", "unique_n", "pos")} | {"sig": sig}
+    The suffix filter bounds an overlap from above by the signatures' bits that only one of the two sets has. Sets
+    that a link has just joined are not compared further.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        none = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
         left_block, right_block = table.column("left")[0].as_py(), table.column("right")[0].as_py()
-        block = table.column("block").to_numpy()
-        bits = min(len(x.as_py()) for x in table.column("signature")) * 8
-        codes = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        block, n, unique_n = (table.column(c).to_numpy() for c in ("block", "n", "unique_n"))
+        raw = table.column("signature").to_pylist()
+        bits = min(map(len, raw)) // 8
+        sig = np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, bits), axis=0) for x in raw])
+        sets = table.column("keys").combine_chunks()
+        ends = sets.offsets.to_numpy()
+        _, key = np.unique(sets.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)
+        ends = ends - ends[0]
+        marked = np.zeros(int(key.max()) + 1, dtype=bool)
+        place = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy().copy()
         digests = table.column("digest").to_pylist()
-        i_rows = np.flatnonzero(block == left_block)
-        j_rows = i_rows if left_block == right_block else np.flatnonzero(block == right_block)
-        if not i_rows.size or not j_rows.size:
-            return none
-        b = sides(table, j_rows, bits)
-        out_a, out_b = [], []
-        for at in range(0, len(i_rows), tile):
-            rows = i_rows[at : at + tile]
-            a = sides(table, rows, bits)
-            an, bn = a["n"][:, None], b["n"][None, :]
-            open_ = codes[rows][:, None] != codes[j_rows][None, :]
-            if left_block == right_block:
-                open_ &= np.arange(at, at + len(rows))[:, None] < np.arange(len(j_rows))[None, :]
-            open_ &= 100 * np.minimum(an, bn) >= percent * np.maximum(an, bn)
-            if not open_.any():
+        j_all = np.flatnonzero(block == right_block)
+        out = []
+        for i in np.flatnonzero(block == left_block):
+            j = j_all[j_all > i] if left_block == right_block else j_all
+            j = j[(place[j] != place[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))]
+            if not j.size:
+                continue
+            need = -(-percent * (n[i] + n[j]) // (100 + percent))
+            only_i = np.bitwise_count(sig[i] & ~sig[j]).sum(axis=1) + unique_n[i]
+            only_j = np.bitwise_count(sig[j] & ~sig[i]).sum(axis=1) + unique_n[j]
+            good = np.minimum(n[i] - only_i, n[j] - only_j) >= need
+            j, need = j[good], need[good]
+            if not j.size:
                 continue
-            need = -(-percent * (an + bn) // (100 + percent))
-            ap, bp = a["pos"][:, None], b["pos"][None, :]
-            open_ &= np.minimum(ap, bp) + np.minimum(an - ap, bn - bp) >= need
-            x, y = np.nonzero(open_)
-            for lo in range(0, len(x), 1 << 16):
-                xs, ys = x[lo : lo + (1 << 16)], y[lo : lo + (1 << 16)]
-                only_a = np.bitwise_count(a["sig"][xs] & ~b["sig"][ys]).sum(axis=1) + a["unique_n"][xs]
-                only_b = np.bitwise_count(b["sig"][ys] & ~a["sig"][xs]).sum(axis=1) + b["unique_n"][ys]
-                good = np.minimum(a["n"][xs] - only_a, b["n"][ys] - only_b) >= need[xs, ys]
-                out_a += [digests[i] for i in rows[xs[good]]]
-                out_b += [digests[j] for j in j_rows[ys[good]]]
-        pairs = {(min(p), max(p)) for p in zip(out_a, out_b, strict=True)}
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())}) if pairs else none
+            own = key[ends[i] : ends[i + 1]]
+            marked[own] = True
+            sizes = ends[j + 1] - ends[j]
+            hits = marked[key[np.repeat(ends[j] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())]]
+            both = np.add.reduceat(hits.astype(np.int64), np.append(0, np.cumsum(sizes)[:-1]))
+            marked[own] = False
+            for k in j[both >= need]:
+                if place[k] != place[i]:
+                    out.append((digests[i], digests[k]))
+                    place[place == place[k]] = place[i]
+        return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
 
     return run
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, block: int = 4096) -> DataFrame:
-    """Every document (doc_id, text) with n_shingles, digest (of its set), class_id and component_id.
+def _overlap_bound(a_n, a_pos, b_n, b_pos):
+    """Positional filter: the most that two ordered sets can share if they share the elements at these positions."""
+    return F.least(a_pos, b_pos) + F.least(a_n - a_pos, b_n - b_pos)
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, block: int = 1_000_000) -> DataFrame:
+    """Every document (doc_id, text) with row_hash (of its text), n_shingles, digest (of its set), class_id and component_id.
 
     Words are what ASCII white space parts, with A-Z in lower case; a set is all distinct shingles of size words, or
     the whole sequence where there are fewer; a text without words (or null) has the empty set, links with nothing
@@ -277,28 +304,49 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, block:
     are ignored. An empty table gives no rows.
     """
     all_docs = materialise(shared_shingles(docs, size, percent), "shingles")
-    sets = materialise(all_docs.where("prefix > 0").dropDuplicates(["digest"]).drop("doc_id"), "sets")
+    sets = materialise(all_docs.where("prefix > 0").dropDuplicates(["digest"]).drop("doc_id", "row_hash"), "sets")
     entries = sets.select("digest", "n", "unique_n", "signature", F.posexplode(F.slice("keys", F.lit(1), F.col("prefix"))).alias("i", "key"))
     entries = entries.withColumn("pos", F.col("unique_n") + F.col("i") + 1)
-    heads = entries.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    tries = entries.select("key", "digest", "n").join(heads, "key").where(F.col("digest") != F.col("pivot.digest"))
+    heads = entries.groupBy("key").agg(F.min(F.struct("digest", "n", "pos")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("pivot.n")) / F.lit(100 + percent))
+    tries = entries.select("key", "digest", "n", "pos").join(heads, "key").where(F.col("digest") != F.col("pivot.digest"))
     tries = tries.where(F.lit(100) * F.least("n", "pivot.n") >= F.lit(percent) * F.greatest("n", "pivot.n"))
+    tries = tries.where(_overlap_bound(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos")) >= need)
     links = materialise(verify(tries.select(F.col("digest").alias("a"), F.col("pivot.digest").alias("b")), sets, percent), "links")
     near = connected_components(links)
-    placed = entries.join(near, entries["digest"] == near["node"], "left").withColumn("component", F.coalesce("component", "digest")).drop("node", "i")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    dealt = placed.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    placed = entries.select("key", "digest").join(near, entries["digest"] == near["node"], "left").withColumn("component", F.coalesce("component", "digest"))
+    mixed = placed.groupBy("key").agg(F.min("digest").alias("pivot"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    # Keys with one pivot are examined together: a set appears once a pivot, not once a key.
+    met = placed.join(mixed.select("key", "pivot"), "key").select("pivot", "digest", "component").distinct()
+    met = materialise(met.join(sets.select("digest", F.size("keys").alias("load")), "digest"), "met")
+    spread = met.groupBy("pivot").agg(F.ceil(F.sum("load") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = met.join(spread, "pivot").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    shared = dealt.select("*", other).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
-    rest = shared.select("key", "left", "right", "block", "digest", "component", "n", "unique_n", "pos", "signature")
-    pairs = rest.groupBy("key", "left", "right").applyInArrow(_block_pairs(percent), "a binary, b binary")
-    more = materialise(verify(pairs, sets, percent), "links")
+    shared = dealt.select("*", other).select("pivot", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "digest", "component")
+    rest = shared.join(sets.select("digest", "n", "unique_n", "signature", "keys"), "digest")
+    more = materialise(rest.groupBy("pivot", "left", "right").applyInArrow(_block_links(percent), "a binary, b binary"), "links")
     whole = near if more.isEmpty() else connected_components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    found = all_docs.select("doc_id", "n", "digest").join(whole, all_docs["digest"] == whole["node"], "left")
-    found = found.select("doc_id", F.col("n").alias("n_shingles"), "digest", F.coalesce("component", "digest").alias("class_id"))
+    found = all_docs.select("doc_id", "row_hash", "n", "digest").join(whole, all_docs["digest"] == whole["node"], "left")
+    found = found.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), "digest", F.coalesce("component", "digest").alias("class_id"))
     least = found.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("documents")).where("documents > 1")
     alone = F.col("n_shingles") == 0
     return found.join(least, "class_id", "left").select(
-        "doc_id", "n_shingles", "digest", "class_id", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("least_id", "doc_id")).alias("component_id")
+        "doc_id", "row_hash", "n_shingles", "digest", "class_id", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("least_id", "doc_id")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs, all their columns unchanged, of one document a component: the one with the least doc_id.
+
+    Of repeated rows of that document one stays; of different texts under its doc_id one that belongs to the
+    component. A null doc_id stays only where the component has no other. Documents without words all stay.
+    """
+    last = (1 << 63) - 1
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(last))
+    found = jaccard_components(docs, size, percent).select(key.alias("key"), "row_hash", "class_id", "n_shingles")
+    chosen = found.where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct("key", "row_hash")).alias("c")).select("c.key", "c.row_hash", F.lit(True).alias("once"))
+    empty = found.where("n_shingles = 0").select("key", "row_hash").distinct().withColumn("once", F.lit(False))
+    stay = materialise(chosen.unionByName(empty), "kept").select(F.col("key").alias("_key"), F.col("row_hash").alias("_hash"), F.col("once").alias("_once"))
+    rows = docs.withColumn("_key", key).withColumn("_hash", F.xxhash64("text")).join(stay, ["_key", "_hash"])
+    several = rows.where("_once").dropDuplicates(["_key", "_hash"]).unionByName(rows.where("not _once"))
+    return several.select(*docs.columns)
