@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +41,24 @@ def plan_bytes(df: DataFrame) -> int:
 def shuffle_partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def annotate(df: DataFrame, make: Callable[[], Callable[[list[str | None]], list[pa.Array]]], fields: list[tuple[str, str]], text: str = "text", batch: int = 128) -> DataFrame:
+    """df with new columns (name, type) computed from its text column alone, in Arrow batches.
+
+    make() is called once a task and returns the function from texts to the new columns. Input columns with the
+    name of a new one are replaced.
+    """
+    names = [n for n, _ in fields]
+    kept = df.select(*[f"`{c}`" for c in df.columns if c not in names])
+    schema = T.StructType([*kept.schema.fields, *T._parse_datatype_string(", ".join(f"{n} {k}" for n, k in fields)).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                some = whole.slice(at, batch)
+                new = fn(some.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*some.columns, *new], names=[*some.schema.names, *names])
+
+    return kept.mapInArrow(run, schema)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.llm.common import materialise
+
 #: Units after a number. Fixed values.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres g kg mg lb lbs oz gram grams "
@@ -123,3 +125,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 8, least_coverage
         .where(F.col("coverage") >= least_coverage)
         .select("doc_id", "item_id", "item_windows", "matched_windows", F.round("coverage", 6).alias("coverage"), "n_slots", "changed_slots", (F.col("changed_slots") > 0).alias("reparameterised"))
     )
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, width: int = 8, least_coverage: float = 0.5, most_broadcast: int = 200_000) -> DataFrame:
+    """The rows of docs, all their columns unchanged, into which no item leaks.
+
+    Rows with a repeated doc_id share its fate; so do all rows with a null doc_id. The leaking ids are broadcast up
+    to most_broadcast of them; beyond that both sides are shuffled.
+    """
+    none = F.lit(-(1 << 63))
+    bad = materialise(find_leaks(docs, items, width, least_coverage).select(F.coalesce(F.col("doc_id").cast("long"), none).alias("_leak")).distinct(), "leaks")
+    side = F.broadcast(bad) if bad.count() <= most_broadcast else bad
+    return docs.join(side, F.coalesce(docs["doc_id"].cast("long"), none) == side["_leak"], "left_anti")

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.llm import common
+
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Longer runs of letters are scored as consecutive runs of this length, so products stay above the least double.
@@ -237,30 +238,41 @@ def fit_on(docs: DataFrame, model_file: str, most_docs: int = 300, most_language
     return fit({k: sorted(v) for k, v in texts.items() if v}, vocabulary(model_file))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score (posterior of lang_pred, equal priors) of every document, from its whole text.
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred and score (posterior of lang_pred, equal priors), from each whole text.
 
     und (score 0) where the text is null or has no letter, or no language was learned. Ties go to the first
-    language by name. Repeated rows keep a result each; other columns are ignored; an empty table gives no rows.
+    language by name. Input columns of these two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         own = shared.value
         score = Scorer(own) if own.languages else None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                texts = batch.column("text").to_pylist()
-                if score is None:
-                    langs, best = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-                else:
-                    out = score(texts)
-                    ll, units = out[:, :-1], out[:, -1]
-                    top = ll.argmax(axis=1)
-                    best = 1.0 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
-                    best = np.where(units > 0, np.round(best, 9), 0.0)
-                    langs = [own.languages[k] if u > 0 else UNDETERMINED for k, u in zip(top, units, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(best, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+        def run(texts: list[str | None]) -> list[pa.Array]:
+            if score is None:
+                return [pa.array([UNDETERMINED] * len(texts), pa.string()), pa.array([0.0] * len(texts), pa.float64())]
+            out = score(texts)
+            ll, units = out[:, :-1], out[:, -1]
+            best = np.where(units > 0, np.round(1.0 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1), 9), 0.0)
+            langs = [own.languages[k] if u > 0 else UNDETERMINED for k, u in zip(ll.argmax(axis=1), units, strict=True)]
+            return [pa.array(langs, pa.string()), pa.array(best, pa.float64())]
+
+        return run
+
+    return common.annotate(docs, make, [("lang_pred", "string"), ("score", "double")])
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred and score of every document (doc_id, text), as annotate() gives them.
+
+    Repeated rows keep a result each; other columns are ignored; an empty table gives no rows.
+    """
+    return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
+
+
+def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+    """The rows of docs, all their columns unchanged, whose language is determined with at least least_score."""
+    told = annotate(docs.withColumns({f"_own_{c}": F.col(c) for c in ("lang_pred", "score") if c in docs.columns}), model)
+    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select(*[F.col(f"_own_{c}" if f"_own_{c}" in told.columns else c).alias(c) for c in docs.columns])

@@ -263,7 +263,9 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_toxicity, op4_license_scan, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_lm_scoring, op8_best_fit_packing, op9_document_fingerprints, op10_html_extraction)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_toxicity, op4_license_scan, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_lm_scoring, op8_best_fit_packing, op9_document_fingerprints, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:

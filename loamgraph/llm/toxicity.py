@@ -7,7 +7,6 @@ one pass over the labelled rows; scoring is one pass over all texts without any
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.llm import common
+
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -126,19 +127,36 @@ def fit_on(docs: DataFrame, labels: DataFrame, grams: Grams | None = None, most_
     return fit([t for t, _ in rows], [y for _, y in rows], grams)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1; higher: toxic likelier) and predicted (1 if score >= 0.5), from the whole text alone.
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with score (0 to 1; higher: toxic likelier) and predicted (1 if score >= 0.5), from each whole text alone.
 
-    A null text counts as empty. Needs doc_id and text; returns doc_id, score, predicted.
+    A null text counts as empty. Input columns of these two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         own = shared.value
         scratch = own.grams.slots()
-        for batch in batches:
-            z = np.array([own.margin(t.as_py(), scratch) for t in batch.column("text")], dtype=np.float64)
+
+        def run(texts: list[str | None]) -> list[pa.Array]:
+            z = np.array([own.margin(t, scratch) for t in texts], dtype=np.float64)
             p = np.round(1 / (1 + np.exp(-np.clip(z, -500, 500))), 9)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            return [pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))]
+
+        return run
+
+    return common.annotate(docs, make, [("score", "double"), ("predicted", "int")])
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score and predicted of every document (doc_id, text), as annotate() gives them.
+
+    Repeated rows keep a result each; other columns are ignored; an empty table gives no rows.
+    """
+    return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all their columns unchanged, that are not predicted toxic."""
+    told = annotate(docs.withColumns({f"_own_{c}": F.col(c) for c in ("score", "predicted") if c in docs.columns}), model)
+    return told.where("predicted = 0").select(*[F.col(f"_own_{c}" if f"_own_{c}" in told.columns else c).alias(c) for c in docs.columns])
