@@ -11,6 +11,7 @@ from loamgraph.operators import traverse as T
 from loamgraph.sources import model as M
 
 SYMBOL = "order 7"
+CHANGED = "red widget"
 N, E, U = (f"{name} AS ({sql})" for name, sql in (("n", M.NODES_SQL), ("e", M.EDGES_SQL), ("u", M.USES_SQL)))
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -101,13 +102,13 @@ def graph_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.crossings(M.nodes(spark, sf_dir), M.edges(spark, sf_dir), F.col("container"))
 
 
-def _rounds_sql(view: str, depth: int) -> str:
+def _rounds_sql(view: str, depth: int, symbol: str) -> str:
     """CTEs h0..h<depth> of T.hops() over view v(at, to, label, confidence) from seeds h0(id)."""
-    out = [f"v AS ({view})", f"h0 AS (SELECT id, 0 AS hop, NULL AS via, NULL AS label, NULL AS confidence FROM n WHERE lower(name) = '{SYMBOL}')"]
+    out = [f"v AS ({view})", f"h0 AS (SELECT id, 0 AS hop, NULL AS via, NULL AS label, NULL AS confidence FROM n WHERE lower(name) = '{symbol}')"]
     for k in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT id FROM h{j}" for j in range(k))
         out.append(f"""h{k} AS (SELECT "to" AS id, {k} AS hop, "at" AS via, label, confidence FROM (
-  SELECT v.*, row_number() OVER (PARTITION BY "to" ORDER BY "at", label, confidence) AS r FROM v JOIN h{k - 1} ON h{k - 1}.id = v."at" WHERE "to" NOT IN ({seen})) WHERE r = 1)""")
+  SELECT v.*, row_number() OVER (PARTITION BY "to" ORDER BY v."at", v.label, v.confidence) AS r FROM v JOIN h{k - 1} ON h{k - 1}.id = v."at" WHERE "to" NOT IN ({seen})) WHERE r = 1)""")
     return ", ".join(out)
 
 
@@ -115,14 +116,14 @@ VIEW_SQL = """SELECT target AS "at", source AS "to", label, confidence FROM e UN
 BOTH_SQL = """SELECT source AS "at", target AS "to", label, confidence FROM e UNION ALL SELECT target, source, label, confidence FROM e"""
 
 
-@query(f"""WITH {N}, {E}, {_rounds_sql(BOTH_SQL, 2)} SELECT id, hop FROM h0 UNION ALL SELECT id, hop FROM h1 UNION ALL SELECT id, hop FROM h2""")
+@query(f"""WITH {N}, {E}, {_rounds_sql(BOTH_SQL, 2, SYMBOL)} SELECT id, hop FROM h0 UNION ALL SELECT id, hop FROM h1 UNION ALL SELECT id, hop FROM h2""")
 def graph_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.neighborhood(M.nodes(spark, sf_dir), M.edges(spark, sf_dir), SYMBOL, 2)
 
 
-@query(f"""WITH {N}, {E}, {_rounds_sql(VIEW_SQL, 2)} SELECT h.id, n.name, hop, via, label, confidence FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) h LEFT JOIN n ON n.id = h.id""")
+@query(f"""WITH {N}, {E}, {_rounds_sql(VIEW_SQL, 2, CHANGED)} SELECT h.id, n.name, hop, via, label, confidence FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) h LEFT JOIN n ON n.id = h.id""")
 def graph_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.blast_radius(M.nodes(spark, sf_dir), M.edges(spark, sf_dir), SYMBOL, 2)
+    return T.blast_radius(M.nodes(spark, sf_dir), M.edges(spark, sf_dir), CHANGED, 2)
 
 
 @query()
