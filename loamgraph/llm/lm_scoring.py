@@ -186,7 +186,7 @@ def _score(buckets: int, cutoff: int):
                 "doc_id": pa.array(chunk.ids, pa.int64()),
                 "n_tokens": pa.array(np.diff(chunk.ends, prepend=0).astype(np.int64)),
                 "n_backoff": pa.array(np.bincount(doc, weights=~known, minlength=n).astype(np.int64)),
-                "log_counts": pa.array(np.bincount(doc, weights=logs, minlength=n)),
+                "log_counts": pa.array(np.bincount(doc, weights=logs, minlength=n).astype(np.float64)),
             }
         )
 
