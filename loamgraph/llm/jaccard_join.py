@@ -43,7 +43,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for recent words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -201,7 +201,7 @@ def _gather_chunk(percent: int):
     return run
 
 
-def shared_shingles(docs: DataFrame, size: int = 5, percent: int = 75, chunk_docs: int = 8192, chunk_shingles: int = 2_000_000, bucket_shingles: int = 4_000_000) -> DataFrame:
+def shared_shingles(docs: DataFrame, size: int = 5, percent: int = 75, chunk_docs: int = 8192, chunk_shingles: int = 1_000_000, bucket_shingles: int = 2_000_000) -> DataFrame:
     """Every document (doc_id, text) with a hash of its text, its set's digest and size and, once a chunk and set, its shared shingles and prefix length."""
     buckets = max(shuffle_partitions(docs), math.ceil(plan_bytes(docs) / BYTES_A_SHINGLE / bucket_shingles))
     buckets = min(buckets, max(1, chunk_shingles // 8))

@@ -116,7 +116,7 @@ def _lattice(pieces: Pieces, words: list[str], probs: np.ndarray) -> tuple[int,
     return n, spans, at, forward
 
 
-def word_scores(pieces: Pieces, words: list[str], probs: np.ndarray, batch: int = 4096) -> np.ndarray:
+def word_scores(pieces: Pieces, words: list[str], probs: np.ndarray, batch: int = 2048) -> np.ndarray:
     """Log probability of each unit (rows) in each language (columns): all segmentations summed."""
     out = np.zeros((len(words), probs.shape[1]))
     by_length: dict[int, list[int]] = {}
@@ -130,7 +130,7 @@ def word_scores(pieces: Pieces, words: list[str], probs: np.ndarray, batch: int
     return out
 
 
-def expected_counts(pieces: Pieces, counts: Counter, probs: np.ndarray, batch: int = 4096) -> np.ndarray:
+def expected_counts(pieces: Pieces, counts: Counter, probs: np.ndarray, batch: int = 2048) -> np.ndarray:
     """Expected number of each piece over all segmentations of the counted units, under one distribution (a column)."""
     total = np.zeros(len(pieces.names))
     by_length: dict[int, list[str]] = {}
