@@ -136,7 +136,7 @@ class Site:
         r, x = self.r, self.r.random()
         if x < 0.05:  # articles quote such phrases too: the path and the context decide
             return f"<p>{self.text(True, r.choice(PHRASES[r.choice(sorted(PHRASES))]))}</p>"
-        if x < 0.74:
+        if x < 0.70:
             s = self.prose()
             if r.random() < 0.2 and " " in s:
                 a, b = s.split(" ", 1)
@@ -146,7 +146,7 @@ class Site:
             if r.random() < 0.08:
                 s = f"<b>{s}<br>{self.text(True, self.prose(2))}"
             return f"<p>{self.text(True, s)}" + ("</p>" if self.closed else "")
-        if x < 0.84:
+        if x < 0.79:
             t = r.choice(("h2", "h3", "h4"))
             return f"<{t}>{self.text(True, self.words(r.randint(1, 8)))}</{t}>"
         if x < 0.90:
@@ -165,7 +165,7 @@ class Site:
         n = 1 if r.random() < 0.1 else r.randint(2, 12)
         for _ in range(n):
             parts.append(self.leaf())
-            if r.random() < 0.07 and not self.bare:
+            if r.random() < 0.12 and not self.bare:
                 parts.append(self.other(r.choice(("ad", "ad", "share", "side", "form", "notice"))))
         if r.random() < 0.15 and not self.bare:
             parts.insert(1, self.other("share"))
@@ -239,7 +239,7 @@ def _backward(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, kept: list, dout: n
     return dz @ wx.T, x.reshape(-1, x.shape[2]).T @ dz.reshape(-1, 4 * u), dwh, dz.sum(axis=(0, 1))
 
 
-def train(pages: int = 9000, epochs: int = 8, units: int = 20, dims: int = 20, batch: int = 48, seed: int = 7) -> tuple[dict[str, np.ndarray], float]:
+def train(pages: int = 12000, epochs: int = 8, units: int = 20, dims: int = 20, batch: int = 48, seed: int = 7) -> tuple[dict[str, np.ndarray], float]:
     """Weights, and the share of right labels on a tenth of the pages that is held out."""
     rng = random.Random(seed)
     nr = np.random.default_rng(seed)
