@@ -1,0 +1,152 @@
+"""Session, routing, ranking and evidence operators."""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from loamgraph.functions import text as X
+
+#: Cues of what an answer must contain, and the pattern that shows it. Fixed values.
+OBLIGATIONS = {"command": (r"(?i)(command|run|execute)", r"`[^`]+`"), "endpoint": (r"(?i)(endpoint|route|url)", r"/[a-z]+(/[a-z]+)*"), "port": (r"(?i)(^|[^a-z])port([^a-z]|$)", r"[0-9]{2,5}"), "rationale": (r"(?i)(why|reason)", r"(?i)because")}
+
+
+def drop_keyword_noise(nodes: DataFrame, edges: DataFrame, keywords: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose name is no keyword, and the edges that touch no dropped node."""
+    bad = nodes.where(F.lower("name").isin(*keywords)).select("id")
+    kept = edges.join(bad.withColumnRenamed("id", "source"), "source", "left_anti").join(bad.withColumnRenamed("id", "target"), "target", "left_anti")
+    return nodes.where(~F.lower("name").isin(*keywords)), kept.select(*edges.columns)
+
+
+def session_catalog(messages: DataFrame, memories: DataFrame) -> DataFrame:
+    """Messages and distinct memories by session: each side is counted before the join, so rows never multiply."""
+    m = messages.groupBy("session").agg(F.count("*").alias("messages"), F.max("seq").alias("last_seq"))
+    k = memories.groupBy("session").agg(F.count_distinct("digest").alias("memories"))
+    return m.join(k, "session", "left").select("session", "messages", "last_seq", F.coalesce("memories", F.lit(0)).cast("long").alias("memories"))
+
+
+def route(messages: DataFrame, names: list[str]) -> DataFrame:
+    """The project of each message: one named project sets it for what follows, several at once clear it."""
+    low = F.lower("content")
+    hits = F.filter(F.array(*[F.when(low.contains(n), F.lit(n)) for n in names]), lambda x: x.isNotNull())
+    signal = F.when(F.size(hits) == 1, hits[0]).when(F.size(hits) > 1, "-")
+    w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return messages.select("session", "seq", F.nullif(F.last(signal, ignorenulls=True).over(w), F.lit("-")).alias("project"))
+
+
+def route_status(routed: DataFrame) -> DataFrame:
+    """Sessions as routed, partial, ambiguous or unassigned."""
+    s = routed.groupBy("session").agg(F.count_distinct("project").alias("projects"), F.count("project").alias("placed"), F.count("*").alias("messages"))
+    status = F.when(F.col("placed") == 0, "unassigned").when(F.col("projects") > 1, "ambiguous").when(F.col("placed") < F.col("messages"), "partial").otherwise("routed")
+    return s.select("session", status.alias("status"))
+
+
+def round_robin(rows: DataFrame, group: str, order: list, limit: int) -> DataFrame:
+    """One row of each group in turn."""
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("turn", turn).where(F.col("turn") <= limit).orderBy("turn", group).limit(limit)
+
+
+def spaced_terms(text: Column, ends: int = 8, middle: int = 8) -> Column:
+    """Long token lists keep their first and last ends tokens and middle evenly spaced ones between."""
+    t = X.tokens(text)
+    n = F.size(t)
+    inner = F.transform(F.sequence(F.lit(0), F.lit(middle - 1)), lambda i: F.element_at(t, (F.lit(ends + 1) + F.floor(i * (n - 2 * ends) / F.lit(middle))).cast("int")))
+    return F.when(n <= 2 * ends + middle, t).otherwise(F.concat(F.slice(t, 1, ends), inner, F.slice(t, -ends, ends)))
+
+
+def obligations(text: Column, answer: Column) -> Column:
+    """The obligations that a request states and its answer does not meet, in name order."""
+    return F.filter(F.array(*[F.when(text.rlike(cue) & ~answer.rlike(shown), F.lit(k)) for k, (cue, shown) in sorted(OBLIGATIONS.items())]), lambda x: x.isNotNull())
+
+
+def grade(answers: DataFrame, facts: dict[str, list[str]]) -> DataFrame:
+    """Answers (answer_id, text) against facts (all patterns: covered, some: partial): counts and score."""
+    counts = {k: sum((F.when(F.coalesce(F.col("text"), F.lit("")).rlike(p), 1).otherwise(0) for p in ps), F.lit(0)) for k, ps in facts.items()}
+    covered = sum((F.when(c == len(facts[k]), 1).otherwise(0) for k, c in counts.items()), F.lit(0))
+    partial = sum((F.when((c > 0) & (c < len(facts[k])), 1).otherwise(0) for k, c in counts.items()), F.lit(0))
+    return answers.select("answer_id", covered.cast("long").alias("covered"), partial.cast("long").alias("partial"), F.round((covered + 0.5 * partial) / len(facts), 6).alias("score"))
+
+
+def segments(files: DataFrame, share: int = 20) -> DataFrame:
+    """Directory names that hold at least one file in share of them."""
+    n = files.agg(F.count("*").alias("n"))
+    dirs = files.select(F.explode(F.array_distinct(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1))).alias("name")).groupBy("name").agg(F.count("*").alias("files"))
+    return dirs.join(F.broadcast(n)).where(F.col("files") * share >= F.col("n")).select("name", "files")  # n: one row
+
+
+def dispatch(calls: DataFrame, overrides: DataFrame, most: int = 8) -> DataFrame:
+    """Calls to a contract (call_id, contract) to its overrides (contract, id): each one up to most, else one summary row."""
+    n = overrides.groupBy("contract").agg(F.count("*").alias("n"))
+    few = calls.join(overrides.join(n.where(F.col("n") <= most), "contract"), "contract").select("call_id", F.col("id").alias("target"), F.lit("INFERRED").alias("confidence"))
+    many = calls.join(n.where(F.col("n") > most), "contract").select("call_id", F.concat(F.col("n").cast("string"), F.lit(" overrides")).alias("target"), F.lit("AMBIGUOUS").alias("confidence"))
+    return few.unionByName(many)
+
+
+def first_neighbors(edges: DataFrame, most: int = 6) -> DataFrame:
+    """Up to most distinct neighbors of every node, in id order."""
+    both = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("other"))).where("id <> other").distinct()
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("other"))).where(F.col("place") <= most)
+
+
+def risk_signals(nodes: DataFrame, edges: DataFrame, hot: int = 20) -> DataFrame:
+    """One row: ambiguous edges, hotspots (distinct names of degree hot and more), nodes without edges, nodes without tests."""
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    met = nodes.select("id", "name", "file").join(ends, "id", "left")
+    a = met.agg(F.count_distinct(F.when(F.col("degree") >= hot, F.col("name"))).alias("hotspots"), F.count_if(F.col("degree").isNull()).alias("isolated"), F.count_if(F.col("file").startswith("tests/")).alias("tests"))
+    return a.join(F.broadcast(edges.agg(F.count_if(F.col("confidence") == "AMBIGUOUS").alias("ambiguous"))))  # two one-row sides
+
+
+def classify_tool(name: Column, arguments: Column) -> Column:
+    """A tool call as edit, search, read or other, by its name and arguments."""
+    both = F.lower(F.concat_ws(" ", name, arguments))
+    return F.when(both.rlike("(write|edit|patch|sed -i)"), "edit").when(both.rlike("(grep|search|find|rg )"), "search").when(both.rlike("(cat |read|open|view|head )"), "read").otherwise("other")
+
+
+def current_version(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """The latest row of each key of an append-only log, without tombstones (status deleted)."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, *[c for c in rest if c != at])).alias("r")).select(key, "r.*").where("status <> 'deleted'")
+
+
+def bootstrap(pairs: DataFrame, delta: str, draws: int = 5000, seed: int = 7) -> DataFrame:
+    """One row: pairs, mean, 95 % bootstrap interval and sign-flip p of paired deltas (one value a task, a bounded evaluation set)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values = sorted(float(v) for b in batches for v in b[delta])
+        if values:
+            rng, n = random.Random(seed), len(values)
+            means = sorted(sum(rng.choices(values, k=n)) / n for _ in range(draws))
+            mean = sum(values) / n
+            flips = sum(abs(sum(v if rng.random() < 0.5 else -v for v in values)) / n >= abs(mean) for _ in range(draws))
+            yield pd.DataFrame([(n, mean, means[int(0.025 * draws)], means[int(0.975 * draws)], (flips + 1) / (draws + 1))], columns=["pairs", "mean", "low", "high", "p"])
+
+    if pairs.count() > 100_000:
+        raise ValueError("at most 100000 pairs; average within tasks first")
+    return pairs.select(delta).coalesce(1).mapInPandas(run, "pairs long, mean double, low double, high double, p double")
+
+
+def linearise(hierarchy: DataFrame) -> DataFrame:
+    """Method resolution order of each type: prepended modules, itself, included modules (last line first), then its parent's.
+
+    hierarchy: root (groups one connected hierarchy), type, parent, includes, prepends (arrays in line order).
+    """
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        rows = {r.type: r for r in df.itertuples(index=False)}
+        out = []
+        for name in sorted(rows):
+            chain, at, seen = [], name, set()
+            while at in rows and at not in seen:
+                seen.add(at)
+                r = rows[at]
+                chain += [*reversed(list(r.prepends)), at, *reversed(list(r.includes))]
+                at = r.parent
+            out += [(name, i, t) for i, t in enumerate(dict.fromkeys(chain))]
+        return pd.DataFrame(out, columns=["type", "position", "ancestor"])
+
+    return hierarchy.groupBy("root").applyInPandas(run, "type string, position int, ancestor string")
