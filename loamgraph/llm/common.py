@@ -10,9 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from loamgraph.functions.ship import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input directory, read by Spark alone (any file system)."""
+    """A table of the input directory, read by Spark alone (any file system); executors learn of this package first."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
