@@ -99,7 +99,7 @@ def graph_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {N}, t AS (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS turn FROM n) SELECT * FROM t WHERE turn <= 15 ORDER BY turn, kind LIMIT 15")
 def graph_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.round_robin(M.nodes(spark, sf_dir).select("kind", "id", "name"), "kind", ["name", "id"], 15).select("kind", "id", "turn")
+    return O.round_robin(M.nodes(spark, sf_dir).select("kind", "id", "name"), "kind", ["name", "id"], 15).select("kind", "id", F.col("turn").cast("long").alias("turn"))
 
 
 @query(f"WITH {N} SELECT name, container, kind, min(id) AS id, count(*) AS definitions FROM n GROUP BY 1, 2, 3")
@@ -134,7 +134,7 @@ def graph_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {E}, b AS (SELECT source AS id, target AS other FROM e WHERE source <> target UNION SELECT target, source FROM e WHERE source <> target)
 SELECT id, other, place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY other) AS place FROM b) WHERE place <= 6""")
 def graph_first_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.first_neighbors(M.edges(spark, sf_dir))
+    return O.first_neighbors(M.edges(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"""WITH {N}, {E}, d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1)

@@ -106,7 +106,7 @@ def graph_concept_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {N}, {E}, d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1),
 t AS (SELECT id, kind, degree, row_number() OVER (PARTITION BY kind ORDER BY degree DESC, id) AS turn FROM n JOIN d USING (id)) SELECT * FROM t WHERE turn <= 12 ORDER BY turn, kind LIMIT 12""")
 def graph_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.overview(M.nodes(spark, sf_dir), M.edges(spark, sf_dir)).select("id", "kind", "degree", "turn")
+    return I.overview(M.nodes(spark, sf_dir), M.edges(spark, sf_dir)).select("id", "kind", "degree", F.col("turn").cast("long").alias("turn"))
 
 
 @query()
