@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +48,15 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy() -> None:
+    """Give memory that a task has freed back to the system: Python workers live on after it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def annotate(df: DataFrame, make: Callable[[], Callable[[list[str | None]], list[pa.Array]]], fields: list[tuple[str, str]], text: str = "text", batch: int = 128) -> DataFrame:
     """df with new columns (name, type) computed from its text column alone, in Arrow batches.
 
@@ -63,5 +74,7 @@ def annotate(df: DataFrame, make: Callable[[], Callable[[list[str | None]], list
                 some = whole.slice(at, batch)
                 new = fn(some.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*some.columns, *new], names=[*some.schema.names, *names])
+        del fn
+        tidy()
 
     return kept.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import materialise
+from loamgraph.llm.common import materialise, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -37,40 +37,42 @@ class CachedEncoder:
     """The tokenizer's ids as little-endian bytes, with the ids of recent words and pre-tokens kept.
 
     No pre-token of this vocabulary crosses white space, and pre-tokens are encoded independently, so a text's ids
-    are those of its words in order, and a word's those of its pre-tokens. Each cache is emptied when it holds
-    max_words entries, which bounds a worker's memory.
+    are those of its words in order, and a word's those of its pre-tokens. New pre-tokens of a batch go to the
+    tokenizer's model as one text, already normalised and parted, and are told apart by the ids that end one. A cache
+    is emptied when it holds max_words entries, which bounds a worker's memory.
     """
 
     def __init__(self, path: str, max_words: int = 400_000) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.max_words, self.words, self.tokens = max_words, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [array("I", e.ids).tobytes() for e in encode(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, tokens: list[str]) -> list[bytes]:
-        """The ids of pre-tokens, encoded as one text and parted after each id that ends a word."""
-        ids = np.asarray(self.tokenizer.encode(" ".join(tokens), add_special_tokens=False).ids, dtype="<u4")
+    def _encode(self, tokens: list[str]) -> list[bytes]:
+        ids = np.asarray(self.model.encode_batch_fast([" ".join(tokens)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
-        if len(ends) != len(tokens):
+        if len(ends) != len(tokens):  # a pre-token that the model parts otherwise: one by one
             return self._raw(tokens)
         raw, at = ids.tobytes(), [0, *ends.tolist()]
         return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
 
     def _learn(self, new: list[str]) -> None:
-        cut = [PRE_TOKEN.findall(w) for w in new]
+        cut = list(map(PRE_TOKEN.findall, new))
         if len(self.tokens) > self.max_words:
             self.tokens.clear()
         fresh = list(set(chain.from_iterable(cut)).difference(self.tokens))
-        self.tokens.update(zip(fresh, self._words(fresh) if fresh else [], strict=True))
+        if fresh:
+            self.tokens.update(zip(fresh, self._encode(fresh), strict=True))
         get = self.tokens.__getitem__
-        self.words.update((w, get(c[0]) if len(c) == 1 else b"".join(map(get, c))) for w, c in zip(new, cut, strict=True))
+        self.words.update(zip(new, [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut], strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -80,7 +82,9 @@ class CachedEncoder:
         cut = {i: t.lower().split() for i, t in enumerate(texts) if out[i] is None}
         if len(self.words) > self.max_words:
             self.words.clear()
-        self._learn(list(set(chain.from_iterable(cut.values())).difference(self.words)))
+        new = list(set(chain.from_iterable(cut.values())).difference(self.words))
+        if new:
+            self._learn(new)
         get = self.words.__getitem__
         for i, words in cut.items():
             out[i] = b"".join(map(get, words))
@@ -106,6 +110,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_tok
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del encode
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
