@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import materialise, plan_bytes, shuffle_partitions
+from loamgraph.llm.common import materialise, plan_bytes, shuffle_partitions, tidy
 from loamgraph.llm.components import connected_components
 
 LOW = np.uint64((1 << 40) - 1)
@@ -43,7 +43,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for recent words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -201,7 +201,7 @@ def _gather_chunk(percent: int):
     return run
 
 
-def shared_shingles(docs: DataFrame, size: int = 5, percent: int = 75, chunk_docs: int = 8192, chunk_shingles: int = 1_000_000, bucket_shingles: int = 2_000_000) -> DataFrame:
+def shared_shingles(docs: DataFrame, size: int = 5, percent: int = 75, chunk_docs: int = 8192, chunk_shingles: int = 500_000, bucket_shingles: int = 1_000_000) -> DataFrame:
     """Every document (doc_id, text) with a hash of its text, its set's digest and size and, once a chunk and set, its shared shingles and prefix length."""
     buckets = max(shuffle_partitions(docs), math.ceil(plan_bytes(docs) / BYTES_A_SHINGLE / bucket_shingles))
     buckets = min(buckets, max(1, chunk_shingles // 8))
@@ -221,6 +221,8 @@ def shared_shingles(docs: DataFrame, size: int = 5, percent: int = 75, chunk_doc
                     total += len(sets[-1])
         if ids:
             yield _packed_batch(list(_pack_chunk(chunk, buckets, ids, sets)))
+        del words, ids, sets
+        tidy()
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_hash")).mapInArrow(run, PACKED)
     counted = packed.groupBy("bucket").applyInArrow(_count_bucket, PACKED)

@@ -176,7 +176,7 @@ def fit(texts: dict[str, list[str]], names: list[str], rounds: int = 4, smoothin
 class Scorer:
     """Log probabilities of texts in each language; scores of recent tokens are kept (at most most_tokens)."""
 
-    def __init__(self, model: Model, most_tokens: int = 300_000) -> None:
+    def __init__(self, model: Model, most_tokens: int = 150_000) -> None:
         self.model, self.pieces, self.most = model, Pieces(model.names), most_tokens
         self._clear()
 
