@@ -9,6 +9,8 @@ windows before anything is exploded, so what is shuffled follows the number of m
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,27 +56,76 @@ def template(marked: Column) -> Column:
     return F.regexp_replace(marked, r"([#@%])[\p{L}\p{N}_]+", "$1")
 
 
-def _windows(text: Column, width: int, keep: Column | None = None) -> Column:
-    """array of struct(pos, hash, plain, slots) of a text's windows; keep(hash) drops windows early.
+def _both(text: Column) -> Column:
+    """One struct of a text's tokens: t (template), m (marked)."""
+    return F.transform(F.array(marked_text(text)), lambda m: F.struct(tokens(template(m)).alias("t"), tokens(m).alias("m")))
+
+
+def _bare(marked: Column) -> Column:
+    """Marked tokens without their marks: alike wherever the words stand."""
+    return F.transform(marked, lambda t: F.translate(t, "#@%", ""))
 
-    A text with fewer tokens than width is one window of its own.
+
+def _cut(of: Column, marked: Column, width: int | Column, last: Column, exact: bool = False, keep: Callable[[Column], Column] | None = None) -> Column:
+    """array of struct(pos, hash, plain, slots) of the windows that start at 1 to last; keep(hash) drops some early.
+
+    Windows of bare tokens (exact) get "=" before them, which no template has.
+    """
+
+    def plain(i: Column) -> Column:
+        joined = F.array_join(F.slice(of, i, width), " ")
+        return F.concat(F.lit("= "), joined) if exact else joined
+
+    def hashed(i: Column) -> Column:
+        return F.xxhash64(F.lit("="), F.slice(of, i, width)) if exact else F.xxhash64(F.slice(of, i, width))
+
+    all_ = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.alias("pos"), hashed(i).alias("hash")))
+    if keep is not None:
+        all_ = F.filter(all_, lambda w: keep(w["hash"]))
+    return F.transform(all_, lambda w: F.struct(w["pos"].alias("pos"), w["hash"].alias("hash"), plain(w["pos"]).alias("plain"), F.slice(marked, w["pos"], width).alias("slots")))
+
+
+NO_WINDOWS = "array<struct<pos:int,hash:bigint,plain:string,slots:array<string>>>"
+
+
+def _windows(text: Column, width: int, keep: Callable[[Column], Column] | None = None, short: Sequence[int] = (), exact: Sequence[int] = ()) -> Column:
+    """Windows of a document: of width template tokens, of each shorter width in short, of exact bare tokens in exact.
+
+    A text with fewer tokens than width is also one template window of its own.
     """
-    both = F.transform(F.array(marked_text(text)), lambda m: F.struct(tokens(template(m)).alias("t"), tokens(m).alias("m")))
 
     def of(b: Column) -> Column:
-        last = F.greatest(F.size(b["t"]) - F.lit(width - 1), F.lit(1))
-        all_ = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(b["t"], i, width)).alias("hash")))
-        if keep is not None:
-            all_ = F.filter(all_, lambda w: keep(w["hash"]))
-        full = F.transform(
-            all_,
-            lambda w: F.struct(
-                w["pos"].alias("pos"), w["hash"].alias("hash"), F.array_join(F.slice(b["t"], w["pos"], width), " ").alias("plain"), F.slice(b["m"], w["pos"], width).alias("slots")
-            ),
-        )
-        return F.when(F.size(b["t"]) == 0, F.array().cast("array<struct<pos:int,hash:bigint,plain:string,slots:array<string>>>")).otherwise(full)
+        n, none = F.size(b["t"]), F.array().cast(NO_WINDOWS)
+        own = _cut(b["t"], b["m"], width, F.greatest(n - F.lit(width - 1), F.lit(1)), keep=keep)
+        more = [F.when(n > k, _cut(b["t"], b["m"], k, n - F.lit(k - 1), keep=keep)).otherwise(none) for k in short]
+        if exact:
+            bare = F.transform(F.array(_bare(b["m"])), lambda x: F.concat(*[F.when(n >= k, _cut(x, b["m"], k, n - F.lit(k - 1), True, keep)).otherwise(none) for k in exact]))
+            more.append(bare[0])
+        return F.when(n == 0, none).otherwise(F.concat(own, *more) if more else own)
+
+    return F.transform(_both(text), of)[0]
+
+
+def _item_windows(text: Column, width: int) -> Column:
+    """Windows of an item: struct(pos, hash, plain, slots, exact, window); window is what coverage counts.
+
+    Telling template windows; an item with fewer tokens than width (one window) or without a telling one has
+    windows of bare tokens too. A short item's two windows count as one.
+    """
+
+    def of(b: Column) -> Column:
+        n, none = F.size(b["t"]), F.array().cast("array<struct<pos:int,hash:bigint,plain:string,slots:array<string>,exact:boolean,window:string>>")
+        wide, last = F.least(n, F.lit(width)), F.greatest(n - F.lit(width - 1), F.lit(1))
+        told = F.filter(_cut(b["t"], b["m"], wide, last), lambda w: _telling(w["plain"]))
+        bare = _cut(_bare(b["m"]), b["m"], wide, last, True)
+
+        def named(ws: Column, exact: bool) -> Column:
+            whole = F.array_join(b["t"], " ")
+            return F.transform(ws, lambda w: F.struct(*[w[c].alias(c) for c in ("pos", "hash", "plain", "slots")], F.lit(exact).alias("exact"), (F.when(n < width, whole).otherwise(w["plain"]) if exact else w["plain"]).alias("window")))
+
+        return F.when(n == 0, none).otherwise(F.concat(named(told, False), F.when((n < width) | (F.size(told) == 0), named(bare, True)).otherwise(none)))
 
-    return F.transform(both, of)[0]
+    return F.transform(_both(text), of)[0]
 
 
 def _telling(plain: Column) -> Column:
@@ -89,14 +140,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 8, least_coverage
     Returns a row a leak: doc_id, item_id, item_windows, matched_windows, coverage, n_slots, changed_slots,
     reparameterised. An item leaks into a document if at least least_coverage of its distinct windows occur there
     on alignments (document position minus item position) where each slot value of the item has one value in
-    the document. Items with fewer tokens than width match only documents of just these tokens. Windows of mostly
-    placeholders tell nothing and are not counted. Null and empty texts match nothing; rows with a repeated doc_id
-    count as one document, and repeated item_ids as one item. Other columns are ignored.
+    the document. An item with fewer tokens than width is one window, looked for at every place of a document.
+    Windows of mostly placeholders tell nothing and are not counted; an item that has no other ones is looked for
+    word for word (windows of its tokens with their values), and so is, besides, an item with fewer tokens than
+    width, whose first word may be taken for a name inside a document. Null and empty texts match nothing; rows
+    with a repeated doc_id count as one document, and repeated item_ids as one item. Other columns are ignored.
     """
     spark = docs.sparkSession
-    own = items.select("item_id", F.explode(_windows(F.col("text"), width)).alias("w")).select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"), F.col("w.plain").alias("item_plain"), F.col("w.slots").alias("item_slots"))
-    own = own.where(_telling(F.col("item_plain")))
-    totals = own.groupBy("item_id").agg(F.countDistinct("item_plain").alias("item_windows"))
+    own = items.select("item_id", F.explode(_item_windows(F.col("text"), width)).alias("w")).select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"), F.col("w.plain").alias("item_plain"), F.col("w.slots").alias("item_slots"), "w.exact", "w.window")
+    totals = own.groupBy("item_id").agg(F.countDistinct("window").alias("item_windows"))
+    widths = sorted((r["exact"], r["n"]) for r in own.select("exact", F.size("item_slots").alias("n")).distinct().collect())
+    short, exact = [n for e, n in widths if not e and n < width], [n for e, n in widths if e]
     bit = F.pmod(F.col("hash"), F.lit(BITMAP_BITS))
     words = {r["word"]: r["bits"] for r in own.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(hash, 64) AS int))")).alias("bits")).collect()}
     keep = None
@@ -107,11 +161,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 8, least_coverage
             b = F.pmod(h, F.lit(BITMAP_BITS))
             return F.getbit(F.get(bitmap, F.floor(b / 64).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1
 
-    mine = docs.select("doc_id", F.explode(_windows(F.col("text"), width, keep)).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), F.col("w.plain").alias("plain"), F.col("w.slots").alias("slots"))
-    met = mine.join(own, (mine["hash"] == own["hash"]) & (mine["plain"] == own["item_plain"])).select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_plain", "item_slots", "slots")
+    mine = docs.select("doc_id", F.explode(_windows(F.col("text"), width, keep, short, exact)).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), F.col("w.plain").alias("plain"), F.col("w.slots").alias("slots"))
+    met = mine.join(own, (mine["hash"] == own["hash"]) & (mine["plain"] == own["item_plain"])).select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "window", "item_slots", F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("slots")).alias("slots"))
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda s: F.substring(s["item_slots"], 1, 1).isin("#", "@", "%"))
     lines = met.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("item_plain").alias("plains"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+        F.collect_set("window").alias("plains"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
     values = F.array_distinct(F.transform("pairs", lambda s: s["item_slots"]))
     changed = F.size(F.filter("pairs", lambda s: s["item_slots"] != s["slots"]))

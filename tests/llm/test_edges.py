@@ -204,6 +204,19 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert got == {2}
 
 
+def test_short_and_number_heavy_items_are_found_inside_documents(spark):
+    short, sums, table = "What is the capital of France", "12 + 5 = 17 , 8 + 9 = 17 , 20 + 31 = 51 , 4 + 4 = 8", "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan Judy Mallory Niaj"
+    items = spark.createDataFrame([(1, short), (2, sums), (3, "7 + 8 = 15"), (4, f"names {table}"), (5, ITEM), (6, "How many legs have 3 cats")], "item_id long, text string")
+    before, after = "a text of many other words stands here before it, and then: ", " and the text goes on for a while behind it as well"
+    rows = [(10 * k, before + t + after) for k, t in enumerate((short, sums, "7 + 8 = 15", f"names {table}", ITEM, "How many legs have 3 cats"), 1)]
+    rows += [(61, before + "how many legs have 5 cats" + after), (21, before + sums.replace("7", "6") + after), (31, before + "7 + 8 = 16" + after), (99, before + after), (41, short)]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_leaks(make(spark, rows), items).collect()}
+    assert set(got) == {(10, 1), (41, 1), (20, 2), (30, 3), (40, 4), (50, 5), (60, 6), (61, 6)}
+    assert {k for k, r in got.items() if r["reparameterised"]} == {(61, 6)}
+    assert all(got[k]["item_windows"] == got[k]["matched_windows"] == 1 for k in ((10, 1), (30, 3), (60, 6), (61, 6))) and got[20, 2]["coverage"] == 1.0
+    assert {r["doc_id"] for r in decontamination.drop_leaks(make(spark, rows), items).collect()} == {21, 31, 99}
+
+
 def test_stupid_backoff_against_plain_count(spark):
     rows = [(1, "a b a b c"), (2, "a b d"), (3, None), (4, ""), (None, "A b"), (5, "z"), (1, "a b a b c")]
     uni, bi, n = Counter(), Counter(), 0
