@@ -217,13 +217,14 @@ class Scorer:
 
 
 def fit_on(docs: DataFrame, model_file: str, most_docs: int = 300, most_languages: int = 512) -> Model:
-    """Fit on about most_docs documents (text, lang) a language, chosen by a hash of the text, alike in every run.
+    """Fit on about most_docs distinct texts (text, lang) a language, chosen by a hash of the text, alike in every run.
 
-    Rows without text or language are left out. The sample is bounded by most_docs and most_languages; more
-    languages than that are an error.
+    Rows without text or language are left out, and copies of a text in a language count once, so neither the choice
+    nor the sample's size follows them. The sample is bounded by most_docs and most_languages; more languages than
+    that are an error, and so is a language that no text was drawn for.
     """
     own = docs.where("text is not null and lang is not null").select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).limit(most_languages + 1).collect()}
     if len(counts) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     if not counts:
@@ -231,11 +232,13 @@ def fit_on(docs: DataFrame, model_file: str, most_docs: int = 300, most_language
     share: Column = F.lit(0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == F.lit(lang), F.lit(int(min(1.0, most_docs / n) * (1 << 30)))).otherwise(share)
-    rows = own.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).collect()
+    rows = own.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).distinct().collect()
     texts: dict[str, list[str]] = {k: [] for k in counts}
     for r in rows:
         texts[r["lang"]].append(r["text"])
-    return fit({k: sorted(v) for k, v in texts.items() if v}, vocabulary(model_file))
+    if missing := sorted(k for k, v in texts.items() if not v):
+        raise ValueError(f"no text drawn for {', '.join(missing)}; most_docs {most_docs} is too small")
+    return fit({k: sorted(v) for k, v in texts.items()}, vocabulary(model_file))
 
 
 def annotate(docs: DataFrame, model: Model) -> DataFrame:

@@ -81,6 +81,17 @@ def test_language_id_edges_and_brute_force(spark, docs):
     assert {r["lang_pred"] for r in language_id.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_sample_is_of_distinct_texts(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(language_id, "fit", lambda texts, names: drawn.append(texts))
+    for hot in ("the same text again", "one more text that has all these copies"):
+        rows = [(hot, "en")] * 3000 + [(f"another text {i}", "en") for i in range(10)] + [(hot, "fr")] * 2000 + [("un texte", "de")]
+        language_id.fit_on(spark.createDataFrame(rows, "text string, lang string"), public_tokenizers.path("piece_bpe_32k.model"), most_docs=20)
+        assert drawn.pop() == {"de": ["un texte"], "en": sorted([hot, *(f"another text {i}" for i in range(10))]), "fr": [hot]}
+    with pytest.raises(ValueError, match="no text drawn for de, en, fr"):
+        language_id.fit_on(spark.createDataFrame(rows, "text string, lang string"), public_tokenizers.path("piece_bpe_32k.model"), most_docs=0)
+
+
 def test_toxicity_edges_and_held_out(spark, docs):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice(["ka", "to", "mi", "re", "no", "sul", "en"]) for _ in range(rng.randint(1, 4)))
