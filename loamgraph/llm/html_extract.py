@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Comments, elements whose content is no text, tags, declarations.
+#: Comments, elements of raw text (to the end of the page if not closed), tags, declarations. An element's name ends at white space, "/" or ">".
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title|object|canvas|audio|video|datalist)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe|textarea|title)(?=[\s/>])[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>",
     re.S | re.I,
 )
+#: Other elements whose content is no text, with their ends. Where no end follows, the tag alone is left out.
+SKIPPED = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("template", "svg", "object", "canvas", "audio", "video", "datalist")}
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+", re.I)
 CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -87,7 +89,8 @@ def blocks(page: str | None) -> list[Block]:
         path = paths[-1]
 
     at = 0
-    for m in TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             part = page[at : m.start()]
             text.append(part)
@@ -96,10 +99,19 @@ def blocks(page: str | None) -> list[Block]:
         at = m.end()
         tag = m[3]
         if tag is None:
-            if m[1] and m[1].lower() not in ("svg",):
+            if m[1]:
                 flush()
             continue
         tag = tag.lower()
+        if tag in SKIPPED and not m[2]:
+            if not m[4].endswith("/") and tag not in unclosed:
+                if end := SKIPPED[tag].search(page, at):
+                    at = end.end()
+                else:
+                    unclosed.add(tag)  # nor does an end follow any later one
+            if tag != "svg":
+                flush()
+            continue
         if tag in INLINE:
             if tag == "a":
                 links = 0 if m[2] else 1

@@ -332,6 +332,20 @@ def test_html_extraction(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_skipped_elements_end_where_they_end():
+    def texts(page):
+        return [b.text for b in html_extract.blocks(page)]
+
+    for k in ("video-player", "audio-player", "svg-icon", "object-view", "template-part", "title-bar", "script-x"):
+        assert texts(f'<article><p>one</p><{k} src="a"></{k}><p>two</p></article>') == ["one", "two"]
+    for k in ("svg", "object", "canvas", "audio", "video", "template", "datalist"):
+        assert texts(f"<article><p>one</p><{k} a=1><p>two</p></article>") == ["one", "two"]
+        assert texts(f"<p>one</p><{k} a=1>no<p>no</p></{k.upper()} ><p>two</p><{k}/><p>three</p><{k}>") == ["one", "two", "three"]
+    for k in ("script", "style", "noscript", "iframe", "textarea", "title"):
+        assert texts(f"<p>one</p><{k}>no</{k}><p>two</p><{k} a=1><p>no</p>") == ["one", "two"]
+    assert texts("a <svg><path/></svg>b") == ["a b"] and len(texts("<svg>x" * 100_000)) == 1
+
+
 def test_labeller_on_new_pages():
     from loamgraph.llm import html_train
 
