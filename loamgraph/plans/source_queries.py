@@ -82,8 +82,8 @@ def doc_symbol_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def doc_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = M.table(spark, sf_dir, "benchmark")
-    return d.select("item_id", S.feature_vector(X.tokens(F.col("text"))).alias("vector"))
+    d = M.table(spark, sf_dir, "documents")
+    return d.select("doc_id", S.feature_vector(X.tokens(F.col("text"))).alias("vector"))
 
 
 def _cues_sql(column: str) -> str:

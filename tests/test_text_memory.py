@@ -117,3 +117,15 @@ def test_tail_is_idempotent(spark):
 def test_topics_change_with_the_words(spark):
     m = spark.createDataFrame([(1, 0, "gateway timeout errors"), (1, 1, "gateway timeout again"), (1, 2, "holiday picture album"), (2, 0, None)], "session long, seq long, content string")
     assert [(r["session"], r["topic"]) for r in tail.assign_topics(m).orderBy("session", "seq").collect()] == [(1, 0), (1, 0), (1, 1), (2, 0)]
+
+
+def test_every_document_has_a_feature_vector(spark):
+    from loamgraph import registry
+    from loamgraph.sources import model as M
+    from tests.conftest import SF
+
+    texts = {r["doc_id"]: r["text"] for r in M.table(spark, SF, "documents").collect()}
+    got = {r["doc_id"]: r["vector"] for r in registry.queries()["doc_feature_vectors"](spark, SF).collect()}
+    assert set(got) == set(texts) and all(len(v) == 384 for v in got.values())
+    some = min(k for k, t in texts.items() if t and len(t) > 100)
+    assert got[some] == one(spark, lambda t: S.feature_vector(X.tokens(t)), texts[some])
