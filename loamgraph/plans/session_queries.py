@@ -188,4 +188,4 @@ def msg_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamgraph.operators.memory import paired
 
-    return O.bootstrap(paired(M.table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_totalprice", "1-URGENT", "5-LOW"), "delta", 500)
+    return O.bootstrap(paired(M.table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_totalprice", "1-URGENT", "5-LOW"), "delta")

@@ -58,6 +58,23 @@ def test_bootstrap_is_repeatable(spark):
     assert O.bootstrap(d.limit(0), "delta", 200).count() == 0
 
 
+def test_bootstrap_is_exact_for_few_pairs_and_takes_many(spark):
+    p = lambda *v: O.bootstrap(spark.createDataFrame([(float(x),) for x in v], "delta double"), "delta").first()["p"]
+    assert p(1, 2, 3) == 2 / 8 and p(1, -1) == 1.0 and p(*[0.1] * 20) == 2 / 2**20
+    many = O.bootstrap(spark.range(100_001).selectExpr("cast(id as double) as delta"), "delta", draws=2, flips=2).first()
+    assert many["pairs"] == 100_001 and many["mean"] == 50_000.0
+
+
+def test_bootstrap_query_takes_the_reference_numbers(spark):
+    from loamgraph import registry
+    from loamgraph.operators.memory import paired
+    from loamgraph.sources import model as M
+    from tests.conftest import SF
+
+    pairs = paired(M.table(spark, SF, "orders"), "o_custkey", "o_orderpriority", "o_totalprice", "1-URGENT", "5-LOW")
+    assert registry.queries()["eval_bootstrap"](spark, SF).first() == O.bootstrap(pairs, "delta", draws=5000, flips=10_000).first()
+
+
 def test_current_version_and_noise(spark):
     log = spark.createDataFrame([("a", 1, "ok"), ("a", 2, "deleted"), ("b", 1, "ok"), ("b", 3, "fixed")], "key string, at int, status string")
     assert [(r["key"], r["status"]) for r in O.current_version(log, "key", "at").collect()] == [("b", "fixed")]
