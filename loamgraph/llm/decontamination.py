@@ -9,7 +9,8 @@ windows before anything is exploded, so what is shuffled follows the number of m
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +23,13 @@ UNITS = (
     "kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes l ml liter liters litre litres gallon gallons s ms sec second seconds min minute minutes h hr hour hours day "
     "days week weeks month months year years percent dollar dollars euro euros cent cents usd eur gbp kmh mph kph kw kwh w v hz khz mhz ghz kb mb gb tb degree degrees"
 ).split()
-BITMAP_BITS = 1 << 20
-#: Up to this many item windows the bitmap is used; beyond it most bits would be set, and the join alone decides.
-BITMAP_MOST = 1 << 18
+#: What parts tokens once marks are set.
+PARTING = r"[^\p{L}\p{N}#@_]+"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use() refers to it; inside lambdas Spark shares nothing by itself."""
+    return F.transform(F.array(value), use)[0]
 
 
 def marked_text(text: Column) -> Column:
@@ -32,23 +37,22 @@ def marked_text(text: Column) -> Column:
 
     A name is a capitalised word inside a sentence. Everything but letters and digits parts tokens.
     """
+
+    def with_numbers(out: Column) -> Column:
+        num = F.regexp_replace(out, r"([0-9])%", "$1 percent ")
+        num = F.regexp_replace(num, r"([0-9])[.,](?=[0-9])", "$1_")
+        num = F.regexp_replace(num, r"\$([0-9])", "dollar $1")
+        num = F.regexp_replace(num, r"([0-9][0-9_]*)", " #$1 ")
+        num = F.concat(F.regexp_replace(F.lower(num), PARTING, " "), F.lit(" "))
+        return F.regexp_replace(F.regexp_replace(num, rf"(#[0-9_]+) ({'|'.join(UNITS)}) ", "$1 %$2 "), r" (dollar|euro|pound) #", " %$1 #")
+
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}.,;:!?%$€£]+", " ")
-    out = F.regexp_replace(out, r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)", "$1@$2")
-    out = F.regexp_replace(out, r"(@\p{Lu}\p{Ll}+ )(\p{Lu}\p{Ll}+)", "$1@$2")
-    digits = out.rlike("[0-9]")
-    units = "|".join(UNITS)
-    num = F.regexp_replace(out, r"([0-9])%", "$1 percent ")
-    num = F.regexp_replace(num, r"([0-9])[.,]([0-9])", "$1_$2")
-    num = F.regexp_replace(num, r"([0-9])[.,]([0-9])", "$1_$2")
-    num = F.regexp_replace(num, r"\$([0-9])", "dollar $1")
-    num = F.regexp_replace(num, r"([0-9][0-9_]*)", " #$1 ")
-    out = F.lower(F.when(digits, num).otherwise(out))
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}#@_]+", " ")
-    return F.trim(F.when(digits, F.regexp_replace(F.regexp_replace(F.concat(out, F.lit(" ")), rf"(#[0-9_]+) ({units}) ", "$1 %$2 "), rf" (dollar|euro|pound) #", " %$1 #")).otherwise(out))
+    out = F.regexp_replace(out, r"\p{Lu}(?<=[\p{L}\p{N},;:] \p{Lu})\p{Ll}+", "@$0")
+    return F.trim(bound(out, lambda o: F.when(o.rlike("[0-9]"), with_numbers(o)).otherwise(F.regexp_replace(F.lower(o), PARTING, " "))))
 
 
 def tokens(marked: Column) -> Column:
-    return F.filter(F.split(marked, " "), lambda t: t != "")
+    return F.when(marked == "", F.array().cast("array<string>")).otherwise(F.split(marked, " "))
 
 
 def template(marked: Column) -> Column:
@@ -56,76 +60,71 @@ def template(marked: Column) -> Column:
     return F.regexp_replace(marked, r"([#@%])[\p{L}\p{N}_]+", "$1")
 
 
-def _both(text: Column) -> Column:
-    """One struct of a text's tokens: t (template), m (marked)."""
-    return F.transform(F.array(marked_text(text)), lambda m: F.struct(tokens(template(m)).alias("t"), tokens(m).alias("m")))
-
-
 def _bare(marked: Column) -> Column:
-    """Marked tokens without their marks: alike wherever the words stand."""
-    return F.transform(marked, lambda t: F.translate(t, "#@%", ""))
+    """Marked text without its marks: its tokens are alike wherever the words stand."""
+    return F.translate(marked, "#@%", "")
 
 
-def _cut(of: Column, marked: Column, width: int | Column, last: Column, exact: bool = False, keep: Callable[[Column], Column] | None = None) -> Column:
-    """array of struct(pos, hash, plain, slots) of the windows that start at 1 to last; keep(hash) drops some early.
+def _runs(of: Column, width: int, exact: bool) -> Column:
+    """The hash of every run of width tokens, by start: of two shorter runs' hashes, so a token is hashed once.
 
-    Windows of bare tokens (exact) get "=" before them, which no template has.
+    Runs of bare tokens (exact) have hashes of their own, so they meet no template.
     """
 
-    def plain(i: Column) -> Column:
-        joined = F.array_join(F.slice(of, i, width), " ")
-        return F.concat(F.lit("= "), joined) if exact else joined
+    def joined(apart: int) -> Callable[[Column], Column]:
+        def pairs(h: Column) -> Column:
+            n = F.size(h) - F.lit(apart)
+            return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + F.lit(apart))))).otherwise(F.array().cast("array<bigint>"))
 
-    def hashed(i: Column) -> Column:
-        return F.xxhash64(F.lit("="), F.slice(of, i, width)) if exact else F.xxhash64(F.slice(of, i, width))
+        return pairs
 
-    all_ = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.alias("pos"), hashed(i).alias("hash")))
-    if keep is not None:
-        all_ = F.filter(all_, lambda w: keep(w["hash"]))
-    return F.transform(all_, lambda w: F.struct(w["pos"].alias("pos"), w["hash"].alias("hash"), plain(w["pos"]).alias("plain"), F.slice(marked, w["pos"], width).alias("slots")))
+    out, have = F.transform(of, lambda t: F.xxhash64(F.lit("="), t) if exact else F.xxhash64(t)), 1
+    while have < width:
+        apart = min(have, width - have)
+        out, have = bound(out, joined(apart)), have + apart
+    return out
 
 
-NO_WINDOWS = "array<struct<pos:int,hash:bigint,plain:string,slots:array<string>>>"
+WINDOWS = "array<struct<pos:int,hash:bigint,plain:string,slots:array<string>,exact:boolean>>"
 
 
-def _windows(text: Column, width: int, keep: Callable[[Column], Column] | None = None, short: Sequence[int] = (), exact: Sequence[int] = ()) -> Column:
-    """Windows of a document: of width template tokens, of each shorter width in short, of exact bare tokens in exact.
+def _windows(marked: Column, width: int, exact: bool, keep: Callable[[Column], Column] | None = None) -> Column:
+    """All windows of width tokens of a marked text (a bound column); keep(hash) drops some before they are written out.
 
-    A text with fewer tokens than width is also one template window of its own.
+    plain is the template, or "=" and the bare tokens (exact), which no template has.
     """
 
-    def of(b: Column) -> Column:
-        n, none = F.size(b["t"]), F.array().cast(NO_WINDOWS)
-        own = _cut(b["t"], b["m"], width, F.greatest(n - F.lit(width - 1), F.lit(1)), keep=keep)
-        more = [F.when(n > k, _cut(b["t"], b["m"], k, n - F.lit(k - 1), keep=keep)).otherwise(none) for k in short]
-        if exact:
-            bare = F.transform(F.array(_bare(b["m"])), lambda x: F.concat(*[F.when(n >= k, _cut(x, b["m"], k, n - F.lit(k - 1), True, keep)).otherwise(none) for k in exact]))
-            more.append(bare[0])
-        return F.when(n == 0, none).otherwise(F.concat(own, *more) if more else own)
+    def written(hashes: Column) -> Column:
+        at = F.transform(hashes, lambda h, i: F.struct((i + 1).alias("pos"), h.alias("hash")))
+        at = at if keep is None else F.filter(at, lambda w: keep(w["hash"]))
 
-    return F.transform(_both(text), of)[0]
+        def plain(of: Column, pos: Column) -> Column:
+            out = F.array_join(F.slice(of, pos, width), " ")
+            return F.concat(F.lit("= "), out) if exact else out
 
+        def whole(b: Column) -> Column:
+            return F.transform(at, lambda w: F.struct(w["pos"].alias("pos"), w["hash"].alias("hash"), plain(b["of"], w["pos"]).alias("plain"), F.slice(b["m"], w["pos"], width).alias("slots"), F.lit(exact).alias("exact")))
 
-def _item_windows(text: Column, width: int) -> Column:
-    """Windows of an item: struct(pos, hash, plain, slots, exact, window); window is what coverage counts.
+        found = bound(F.struct(tokens(own).alias("of"), tokens(marked).alias("m")), whole)
+        return found if keep is None else F.when(F.exists(hashes, keep), found).otherwise(F.array().cast(WINDOWS))
 
-    Telling template windows; an item with fewer tokens than width (one window) or without a telling one has
-    windows of bare tokens too. A short item's two windows count as one.
-    """
+    own = _bare(marked) if exact else template(marked)
+    return bound(_runs(tokens(own), width, exact), written)
 
-    def of(b: Column) -> Column:
-        n, none = F.size(b["t"]), F.array().cast("array<struct<pos:int,hash:bigint,plain:string,slots:array<string>,exact:boolean,window:string>>")
-        wide, last = F.least(n, F.lit(width)), F.greatest(n - F.lit(width - 1), F.lit(1))
-        told = F.filter(_cut(b["t"], b["m"], wide, last), lambda w: _telling(w["plain"]))
-        bare = _cut(_bare(b["m"]), b["m"], wide, last, True)
 
-        def named(ws: Column, exact: bool) -> Column:
-            whole = F.array_join(b["t"], " ")
-            return F.transform(ws, lambda w: F.struct(*[w[c].alias(c) for c in ("pos", "hash", "plain", "slots")], F.lit(exact).alias("exact"), (F.when(n < width, whole).otherwise(w["plain"]) if exact else w["plain"]).alias("window")))
+def _item_windows(marked: Column, width: int, whole: bool) -> Column:
+    """Windows of an item (a bound marked text), each with window: what coverage counts.
 
-        return F.when(n == 0, none).otherwise(F.concat(named(told, False), F.when((n < width) | (F.size(told) == 0), named(bare, True)).otherwise(none)))
+    Telling template windows; an item that has none, or is a window of its own for lack of tokens (whole), has
+    windows of bare tokens too. The two windows of such a short item count as one.
+    """
 
-    return F.transform(_both(text), of)[0]
+    def both(told: Column) -> Column:
+        exact = _windows(marked, width, True)
+        return F.concat(told, exact) if whole else F.when(F.size(told) == 0, exact).otherwise(told)
+
+    found = bound(F.filter(_windows(marked, width, False), lambda w: _telling(w["plain"])), both)
+    return F.transform(found, lambda w: w.withField("window", template(marked) if whole else w["plain"]))
 
 
 def _telling(plain: Column) -> Column:
@@ -134,6 +133,19 @@ def _telling(plain: Column) -> Column:
     return (n - F.size(F.filter(F.split(plain, " "), lambda t: t.isin("#", "@", "%")))) * 2 >= n
 
 
+def _in_bitmap(own: DataFrame) -> Callable[[Column], Column]:
+    """Whether a hash may be one of own's: a bitmap of 16 bits or more a window, of 2^20 to 2^24 bits.
+
+    With more windows than 2^20 it lets more through, and the join decides; nothing else changes.
+    """
+    bits = 1 << min(24, max(20, (16 * own.count()).bit_length()))
+    place = lambda h: F.shiftright(h.bitwiseAND(F.lit(bits - 1)), 6).cast("int")
+    words = own.groupBy(place(F.col("hash")).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 AS int))")).alias("bits"))
+    set_bits = {r["word"]: r["bits"] for r in words.collect()}
+    bitmap = F.split(F.lit(",".join(str(set_bits.get(i, 0)) for i in range(bits // 64))), ",").cast("array<bigint>")  # one literal; folded once
+    return lambda h: F.getbit(F.get(bitmap, place(h)), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, width: int = 8, least_coverage: float = 0.5) -> DataFrame:
     """Documents (doc_id, text) that contain benchmark items (item_id, text), as they are or with other parameters.
 
@@ -146,22 +158,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 8, least_coverage
     width, whose first word may be taken for a name inside a document. Null and empty texts match nothing; rows
     with a repeated doc_id count as one document, and repeated item_ids as one item. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    own = items.select("item_id", F.explode(_item_windows(F.col("text"), width)).alias("w")).select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"), F.col("w.plain").alias("item_plain"), F.col("w.slots").alias("item_slots"), "w.exact", "w.window")
+    of = materialise(items.select("item_id", marked_text(F.col("text")).alias("marked")).withColumn("n", F.least(F.size(tokens(F.col("marked"))), F.lit(width))), "items")
+
+    def cut(n: int) -> DataFrame:
+        return of.where(F.col("n") == n).select("item_id", F.explode(bound(F.col("marked"), lambda m: _item_windows(m, n, n < width))).alias("w"))
+
+    lengths = {width, *(r["n"] for r in of.where("n > 0").select("n").distinct().collect())}
+    own = functools.reduce(DataFrame.unionByName, map(cut, sorted(lengths)))
+    own = materialise(own.select("item_id", F.col("w.pos").alias("item_pos"), "w.hash", F.col("w.plain").alias("item_plain"), F.col("w.slots").alias("item_slots"), "w.exact", "w.window"), "windows")
     totals = own.groupBy("item_id").agg(F.countDistinct("window").alias("item_windows"))
-    widths = sorted((r["exact"], r["n"]) for r in own.select("exact", F.size("item_slots").alias("n")).distinct().collect())
-    short, exact = [n for e, n in widths if not e and n < width], [n for e, n in widths if e]
-    bit = F.pmod(F.col("hash"), F.lit(BITMAP_BITS))
-    words = {r["word"]: r["bits"] for r in own.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(hash, 64) AS int))")).alias("bits")).collect()}
-    keep = None
-    if sum(bin(b & (2**64 - 1)).count("1") for b in words.values()) <= BITMAP_MOST:
-        bitmap = F.lit([words.get(i, 0) for i in range(BITMAP_BITS // 64)]).cast("array<bigint>")
-
-        def keep(h: Column) -> Column:
-            b = F.pmod(h, F.lit(BITMAP_BITS))
-            return F.getbit(F.get(bitmap, F.floor(b / 64).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1
-
-    mine = docs.select("doc_id", F.explode(_windows(F.col("text"), width, keep, short, exact)).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), F.col("w.plain").alias("plain"), F.col("w.slots").alias("slots"))
+    widths = [(width, False), *((r["n"], r["exact"]) for r in own.select("exact", F.size("item_slots").alias("n")).distinct().collect())]
+    keep = _in_bitmap(own)
+    found = bound(marked_text(F.col("text")), lambda m: F.concat(*[_windows(m, k, exact, keep) for k, exact in sorted(set(widths))]))
+    mine = docs.select("doc_id", F.explode(found).alias("w")).select("doc_id", "w.pos", "w.hash", "w.plain", "w.slots")
     met = mine.join(own, (mine["hash"] == own["hash"]) & (mine["plain"] == own["item_plain"])).select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "window", "item_slots", F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("slots")).alias("slots"))
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda s: F.substring(s["item_slots"], 1, 1).isin("#", "@", "%"))
     lines = met.groupBy("doc_id", "item_id", "shift").agg(
