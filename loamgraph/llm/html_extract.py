@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -39,6 +40,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",)), "option": (("option",), ("select",))}
 
 PATH_SLOTS, WORD_SLOTS, NUMBERS = 1024, 1024, 8
+#: A block's path names its outermost elements, about so many tokens of them, and its own tag: the labeller's view of very deep pages. Text is never cut.
+PATH_TOKENS = 400
 
 
 class Block:
@@ -77,7 +80,7 @@ def blocks(page: str | None) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if text:
-            words = " ".join(html.unescape("".join(text)).split())
+            words = " ".join("".join(text).split())
             if words:
                 out.append(Block(words, path, stack[-1][0] if stack else "", linked))
             text.clear()
@@ -85,15 +88,18 @@ def blocks(page: str | None) -> list[Block]:
 
     def pop_to(n: int) -> None:
         nonlocal path
+        for gone, _ in stack[n:]:
+            opened[gone] -= 1
         del stack[n:], paths[n + 1 :]
         path = paths[-1]
 
     at = 0
+    opened: Counter[str] = Counter()
     unclosed: set[str] = set()
     while m := TOKEN.search(page, at):
         if m.start() > at:
             part = page[at : m.start()]
-            text.append(part)
+            text.append(html.unescape(part))  # a reference does not reach over a tag
             if links:
                 linked += len(part)
         at = m.end()
@@ -118,11 +124,9 @@ def blocks(page: str | None) -> list[Block]:
             continue
         flush()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    links = 0
-                    break
+            if opened[tag]:
+                pop_to(max(k for k in range(len(stack)) if stack[k][0] == tag) if stack[-1][0] != tag else len(stack) - 1)
+                links = 0
             continue
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
@@ -142,14 +146,14 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID or (m[4] or "").endswith("/"):
             continue
         own = (tag, *_names(m[4] or ""))
-        if len(stack) < 200:  # deeper elements count as text of the 200th
-            stack.append((tag, own))
-            path = path + own if len(path) < 400 else path
-            paths.append(path)
+        stack.append((tag, own))
+        opened[tag] += 1
+        path = path + own if len(path) < PATH_TOKENS else path
+        paths.append(path)
     if at < len(page):
         rest = page[at:]
         cut = rest.rfind("<")
-        text.append(rest[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest)  # a tag cut off by the end
+        text.append(html.unescape(rest[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest))  # a tag cut off by the end
     flush()
     return out
 
