@@ -57,6 +57,17 @@ def tidy() -> None:
         trim(0)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores before it until no column of df has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def annotate(df: DataFrame, make: Callable[[], Callable[[list[str | None]], list[pa.Array]]], fields: list[tuple[str, str]], text: str = "text", batch: int = 128) -> DataFrame:
     """df with new columns (name, type) computed from its text column alone, in Arrow batches.
 

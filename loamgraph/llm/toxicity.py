@@ -108,29 +108,36 @@ def fit(texts: list[str | None], labels: list[int], grams: Grams | None = None,
     return Model(grams, weights, float(bias))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = 6_000) -> DataFrame:
-    """Rows text, label of about most_rows labelled documents, chosen by a hash of doc_id, alike in every run.
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = 6_000, most_chars: int = 100_000) -> DataFrame:
+    """Distinct rows text, label of about most_rows labelled documents, chosen by hashes, alike in every run.
 
-    labels: doc_id, label (0 or 1; other rows are left out). The chosen labels are bounded, so they are broadcast and
-    the documents' texts are not shuffled.
+    labels: doc_id, label (0 or 1; other rows are left out). Labels are thinned by a hash of doc_id until about most_rows
+    are left, so they are broadcast and the documents' texts are not shuffled; where documents repeat ids, the texts
+    that these give are thinned in the same way. Of a text drawn, the first most_chars characters are learned from.
     """
     own = labels.where("label in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("label").cast("int").alias("label")).distinct()
-    n = own.count()
-    if n > most_rows:
-        own = own.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < F.lit(int(most_rows / n * (1 << 30))))
-    return docs.join(F.broadcast(own), F.col("doc_id") == F.col("label_id")).select("text", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, most_chars).alias("text"))
+    met = texts.join(F.broadcast(_thinned(own, most_rows, "label_id")), F.col("doc_id") == F.col("label_id"))
+    return _thinned(met.select("text", "label").distinct(), most_rows, "text")
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, grams: Grams | None = None, most_rows: int = 6_000) -> Model:
-    """Fit on a bounded sample (most_rows) of documents (doc_id, text) with labels (doc_id, label)."""
-    rows = sorted(((r["text"] or "", r["label"]) for r in labelled_sample(docs, labels, most_rows).collect()))
+def _thinned(rows: DataFrame, most: int, by: str) -> DataFrame:
+    """About most of the rows, chosen by a hash of a column."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(by), F.lit(1 << 30)) < F.lit(int(most / n * (1 << 30))))
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, grams: Grams | None = None, most_rows: int = 6_000, most_chars: int = 100_000) -> Model:
+    """Fit on a bounded sample (most_rows texts, most_chars of each) of documents (doc_id, text) with labels (doc_id, label)."""
+    rows = sorted((r["text"], r["label"]) for r in labelled_sample(docs, labels, most_rows, most_chars).collect())
     return fit([t for t, _ in rows], [y for _, y in rows], grams)
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1; higher: toxic likelier) and predicted (1 if score >= 0.5), from each whole text alone.
+def annotate(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1; higher: toxic likelier) and predicted (1 if score >= 0.5), or by other names, from each whole text alone.
 
-    A null text counts as empty. Input columns of these two names are replaced.
+    A null text counts as empty. Input columns of these two names are replaced. A very long text is scored whole; memory
+    follows the longest one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -145,7 +152,7 @@ def annotate(docs: DataFrame, model: Model) -> DataFrame:
 
         return run
 
-    return common.annotate(docs, make, [("score", "double"), ("predicted", "int")])
+    return common.annotate(docs, make, [(names[0], "double"), (names[1], "int")])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -158,5 +165,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all their columns unchanged, that are not predicted toxic."""
-    told = annotate(docs.withColumns({f"_own_{c}": F.col(c) for c in ("score", "predicted") if c in docs.columns}), model)
-    return told.where("predicted = 0").select(*[F.col(f"_own_{c}" if f"_own_{c}" in told.columns else c).alias(c) for c in docs.columns])
+    score, predicted = common.free_names(docs, "score", "predicted")
+    return annotate(docs, model, (score, predicted)).where(F.col(predicted) == 0).select(*docs.columns)
