@@ -98,15 +98,15 @@ def _replaced_sql(column: str, steps: list[tuple[str, str]]) -> str:
 
 def _canonical_sql(column: str) -> str:
     """license_scan.canonical() in SQL."""
-    out = _replaced_sql(f"lower(coalesce({column}, ''))", [(license_scan.COPYRIGHT_LINE, " "), (r"[^\p{L}\p{N}]+", " ")])
-    out = f"' ' || trim({out}) || ' '"
+    out = _replaced_sql(f"lower(coalesce({column}, ''))", [(license_scan.COPYRIGHT_LINE, " "), (r"[^\p{L}\p{N}]+", "  ")])
+    out = f"'  ' || trim({out}) || '  '"
     for x, y in license_scan.SPELLINGS:
-        out = f"replace({out}, ' {x} ', ' {y} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {x.replace(' ', '  ')} ', ' {y.replace(' ', '  ')} ')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 def _known_sql() -> str:
-    rows = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in sorted(license_scan.KNOWN.items()))
+    rows = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in sorted(license_scan.known_texts()))
     return f"SELECT sha256({_canonical_sql('text')}) AS known, min(license_id) AS license_id FROM (VALUES {rows}) AS v(license_id, text) GROUP BY 1"
 
 
@@ -228,11 +228,17 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _fingerprint_sql(column: str) -> str:
-    """fingerprints.fingerprint() in SQL, on a list of words."""
+def _hashes_sql(column: str) -> str:
+    """The hashes of all shingles of a list of words, in SQL."""
     w = column
     shingles = f"CASE WHEN len({w}) = 0 THEN [] WHEN len({w}) < 5 THEN [array_to_string({w}, ' ')] ELSE list_transform(range(1, len({w}) - 3), lambda i: array_to_string({w}[i:i+4], ' ')) END"
-    return f"array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform({shingles}, lambda x: md5(x)), lambda h: h < '20'), lambda h: substr(h, 1, {fingerprints.DIGITS})))), ',')"
+    return f"list_distinct(list_transform({shingles}, lambda x: substr(md5(x), 1, {fingerprints.DIGITS})))"
+
+
+def _kept_sql(column: str) -> str:
+    """fingerprints.fingerprint() of a list of hashes, in SQL."""
+    below = f"list_filter({column}, lambda h: h < '{fingerprints.limit()}')"
+    return f"CASE WHEN len({below}) >= {fingerprints.LEAST} THEN list_sort({below}) ELSE list_sort({column})[1:{fingerprints.LEAST}] END"
 
 
 def _words_sql(column: str) -> str:
@@ -240,8 +246,10 @@ def _words_sql(column: str) -> str:
 
 
 def _near_sql(x: str, y: str) -> str:
-    a, b = (f"string_split({c}, ',')" for c in (x, y))
-    return f"CASE WHEN {x} = '' OR {y} = '' THEN 0.0::DOUBLE ELSE round(len(list_intersect({a}, {b})) / least(len({a}), len({b})), 6)::DOUBLE END"
+    """fingerprints.containment() of two sorted lists, in SQL."""
+    ends = [f"CASE WHEN len(list_filter({c}, lambda h: h < '{fingerprints.limit()}')) >= {fingerprints.LEAST} THEN '{fingerprints.limit()}' WHEN len({c}) < {fingerprints.LEAST} THEN 'g' ELSE {c}[-1] END" for c in (x, y)]
+    a, b = (f"list_filter({c}, lambda h: h <= least({', '.join(ends)}))" for c in (x, y))
+    return f"CASE WHEN {x} = {y} THEN 1.0::DOUBLE WHEN least(len({a}), len({b})) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect({a}, {b})) / least(len({a}), len({b})), 6)::DOUBLE END"
 
 
 OP9_SQL = f"""
@@ -250,9 +258,10 @@ WITH d AS (
 ), e AS (
   SELECT *, length(text) AS n_chars, substr(text, 1, length(text) - length(text) // 4) || substr(nxt, 1, length(text) // 4) AS edited FROM d
 ), w AS (SELECT *, {_words_sql("text")} AS w0, {_words_sql("edited")} AS w1, {_words_sql("nxt")} AS w2 FROM e),
-f AS (SELECT *, {_fingerprint_sql("w0")} AS fingerprint, {_fingerprint_sql("w1")} AS edited_fingerprint, {_fingerprint_sql("w2")} AS f2 FROM w)
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, {_near_sql("fingerprint", "edited_fingerprint")} AS near_edited,
-  {_near_sql("fingerprint", "f2")} AS near_next
+h AS (SELECT doc_id, n_chars, edited, {_hashes_sql("w0")} AS h0, {_hashes_sql("w1")} AS h1, {_hashes_sql("w2")} AS h2 FROM w),
+f AS (SELECT doc_id, n_chars, edited, {_kept_sql("h0")} AS f0, {_kept_sql("h1")} AS f1, {_kept_sql("h2")} AS f2 FROM h)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(f0, ',') AS fingerprint, array_to_string(f1, ',') AS edited_fingerprint,
+  {_near_sql("f0", "f1")} AS near_edited, {_near_sql("f0", "f2")} AS near_next
 FROM f"""
 
 
