@@ -9,21 +9,21 @@ distinct words. Scoring needs no shuffle.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.llm import common
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word: letters with the marks that belong to them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START = "▁"
-#: Longer runs of letters are scored as consecutive runs of this length, so products stay above the least double.
-RUN = 32
 UNKNOWN = 1e-8
 UNDETERMINED = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,20 +68,6 @@ class Pieces:
             out = np.where((keys[slot] == h) & (ids[slot] >= 0), ids[slot], out)
         return out
 
-    def spans(self, words: list[str]) -> tuple[int, dict[tuple[int, int], np.ndarray]]:
-        """Of words of one length: that length, and the piece number at each (start, end) where any word has one."""
-        n = len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, n).astype(np.uint64)
-        out = {}
-        for i in range(n):
-            h = np.zeros(len(words), dtype=np.uint64)
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                h = _step(h, codes[:, j - 1])
-                found = self.find(h)
-                if (found >= 0).any():
-                    out[i, j] = found
-        return n, out
-
 
 def vocabulary(model_file: str) -> list[str]:
     """The ordinary pieces of a sentencepiece model, in lower case, each once."""
@@ -92,63 +78,98 @@ def vocabulary(model_file: str) -> list[str]:
     return sorted({p for p in names if p == p.lower() and len(p) <= 16})
 
 
-def runs(token: str) -> list[str]:
-    """The scored units of a token: its letter runs, a start mark before each, cut after RUN characters."""
-    out = []
-    for word in LETTERS.findall(token):
-        word = START + word
-        out += [word[i : i + RUN] for i in range(0, len(word), RUN)]
-    return out
+def units(token: str) -> list[str]:
+    """The scored units of a token: its words, whole, with a start mark before each."""
+    return [START + word for word in LETTERS.findall(token)]
+
+
+def codes(words: list[str]) -> np.ndarray:
+    """Code points of words of one length: a row a word."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), -1).astype(np.uint64)
+
+
+def ending(pieces: Pieces, chars: np.ndarray) -> Iterator[np.ndarray]:
+    """For each end 1, 2, ...: the piece numbers (-1: none) of the spans of words that end there, the longest first."""
+    h = np.zeros((len(chars), 0), dtype=np.uint64)
+    for j in range(chars.shape[1]):
+        h = _step(np.concatenate([h[:, -(pieces.longest - 1) :], np.zeros((len(chars), 1), dtype=np.uint64)], axis=1), chars[:, j : j + 1])
+        yield pieces.find(h.ravel()).reshape(h.shape)
 
 
-def _lattice(pieces: Pieces, words: list[str], probs: np.ndarray) -> tuple[int, dict, dict, list[np.ndarray]]:
-    n, spans = pieces.spans(words)
-    at = {k: np.where((v >= 0)[:, None], probs[v], 0.0) for k, v in spans.items()}
-    for i in range(n):  # a character that is no piece by itself
-        lone = spans.get((i, i + 1))
-        known = lone >= 0 if lone is not None else np.zeros(len(words), dtype=bool)
-        at[i, i + 1] = np.where(known[:, None], at.get((i, i + 1), 0.0), UNKNOWN)
-    forward = [np.ones((len(words), probs.shape[1]))] + [np.zeros((len(words), probs.shape[1])) for _ in range(n)]
-    for i in range(n):
-        for j in range(i + 1, min(n, i + pieces.longest) + 1):
-            if (i, j) in at:
-                forward[j] += forward[i] * at[i, j]
-    return n, spans, at, forward
+def _probs(found: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    """Probabilities of the spans that end at one place; a character that is no piece by itself has a small one."""
+    at = np.where((found >= 0)[..., None], probs[found], 0.0)
+    at[:, -1] = np.where((found[:, -1] >= 0)[:, None], at[:, -1], UNKNOWN)
+    return at
+
+
+def forward(pieces: Pieces, chars: np.ndarray, probs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The forward algorithm, an end at a time: found, their probabilities, sums of the last ends (the newest last), log scale.
+
+    A sum is that of all segmentations up to its end, divided by exp(log scale); the scale follows the sums, so words of
+    any length stay within the range of a double, and only the last few ends are held.
+    """
+    sums = np.ones((len(chars), 1, probs.shape[1]))
+    scale = np.zeros((len(chars), probs.shape[1]))
+    for j, found in enumerate(ending(pieces, chars)):
+        at = _probs(found, probs)
+        sums = np.concatenate([sums[:, -(pieces.longest - 1) :], (sums[:, -at.shape[1] :] * at).sum(axis=1, keepdims=True)], axis=1)
+        if j % 8 == 7:
+            top = sums.max(axis=1)
+            sums, scale = sums / top[:, None], scale + np.log(top)
+        yield found, at, sums, scale
+
+
+def by_length(words: Iterable[str], batch: int) -> Iterator[list[str]]:
+    """Batches of words of one length, of about batch words of usual length; longer words go in smaller batches."""
+    groups: dict[int, list[str]] = {}
+    for w in words:
+        groups.setdefault(len(w), []).append(w)
+    for n, same in groups.items():
+        size = max(1, batch * 16 // max(16, n))
+        for k in range(0, len(same), size):
+            yield same[k : k + size]
 
 
 def word_scores(pieces: Pieces, words: list[str], probs: np.ndarray, batch: int = 2048) -> np.ndarray:
     """Log probability of each unit (rows) in each language (columns): all segmentations summed."""
     out = np.zeros((len(words), probs.shape[1]))
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    for rows in by_length.values():
-        for k in range(0, len(rows), batch):
-            some = rows[k : k + batch]
-            n, _, _, forward = _lattice(pieces, [words[i] for i in some], probs)
-            out[some] = np.log(forward[n])
-    return out
+    number = {w: i for i, w in enumerate(words)}
+    for some in by_length(number, batch):
+        for _, _, sums, scale in forward(pieces, codes(some), probs):
+            pass
+        out[[number[w] for w in some]] = np.log(sums[:, -1]) + scale
+    return out[[number[w] for w in words]]
 
 
 def expected_counts(pieces: Pieces, counts: Counter, probs: np.ndarray, batch: int = 2048) -> np.ndarray:
     """Expected number of each piece over all segmentations of the counted units, under one distribution (a column)."""
     total = np.zeros(len(pieces.names))
-    by_length: dict[int, list[str]] = {}
-    for w in sorted(counts):
-        by_length.setdefault(len(w), []).append(w)
-    for words in by_length.values():
-        for k in range(0, len(words), batch):
-            some = words[k : k + batch]
-            n, spans, at, forward = _lattice(pieces, some, probs)
-            back = [np.zeros((len(some), 1)) for _ in range(n)] + [np.ones((len(some), 1))]
-            for i in range(n - 1, -1, -1):
-                for j in range(i + 1, min(n, i + pieces.longest) + 1):
-                    if (i, j) in at:
-                        back[i] += at[i, j] * back[j]
-            weight = np.array([counts[w] for w in some])[:, None] / forward[n]
-            for (i, j), found in spans.items():
-                has = found >= 0
-                total += np.bincount(found[has], weights=(forward[i] * at[i, j] * back[j] * weight)[has, 0], minlength=len(total))
+    for some in by_length(sorted(counts), batch):
+        steps = list(forward(pieces, codes(some), probs))
+        n, weight = len(steps), np.array([counts[w] for w in some])[:, None]
+        ends = [(np.ones((len(some), 1)), np.zeros((len(some), 1))), *((sums[:, -1], scale) for _, _, sums, scale in steps)]
+        whole = np.log(ends[n][0]) + ends[n][1]
+        back: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((len(some), 1)), np.zeros((len(some), 1)))] * n + [(np.ones((len(some), 1)), np.zeros((len(some), 1)))]
+        for j in range(n, 0, -1):  # all that end at j have their sum of what follows when j is reached
+            found, at, _, _ = steps[j - 1]
+            rest, rest_scale = back[j]
+            for k in range(at.shape[1]):
+                i = j - at.shape[1] + k
+                gain = at[:, k] * rest
+                old, old_scale = back[i]
+                scale = np.where(old > 0, np.maximum(old_scale, rest_scale), rest_scale)
+                new = old * np.exp(np.minimum(0.0, old_scale - scale)) + gain * np.exp(np.minimum(0.0, rest_scale - scale))
+                back[i] = (new, scale)
+                has = found[:, k] >= 0
+                if has.any():
+                    share = ends[i][0] * gain * np.exp(ends[i][1] + rest_scale - whole) * weight
+                    total += np.bincount(found[has, k], weights=share[has, 0], minlength=len(total))
+            if (j - 1) % 8 == 0:
+                for i in range(max(0, j - pieces.longest), j):
+                    v, sc = back[i]
+                    ok = np.where(v > 0, v, 1.0)
+                    back[i] = (v / ok, sc + np.log(ok))
     return total
 
 
@@ -163,7 +184,7 @@ def fit(texts: dict[str, list[str]], names: list[str], rounds: int = 4, smoothin
     """Fit one distribution a language by expectation maximisation; smoothed by the languages' mean and the uniform one."""
     pieces = Pieces(names)
     languages = tuple(sorted(texts))
-    counted = [Counter(u for t in texts[k] for tok in t.lower().split() for u in runs(tok)) for k in languages]
+    counted = [Counter(u for t in texts[k] for tok in t.lower().split() for u in units(tok)) for k in languages]
     probs = np.full((len(names), len(languages)), 1.0 / max(1, len(names)))
     for _ in range(rounds):
         for k, counts in enumerate(counted):
@@ -185,16 +206,16 @@ class Scorer:
         self.rows = np.zeros((1024, len(self.model.languages) + 1))
 
     def _learn(self, new: list[str]) -> None:
-        units = [runs(t) for t in new]
-        distinct = sorted({u for us in units for u in us})
+        cut = [units(t) for t in new]
+        distinct = sorted({u for us in cut for u in us})
         number = {u: i for i, u in enumerate(distinct)}
         scores = word_scores(self.pieces, distinct, self.model.probs)
         first = len(self.known)
         while len(self.rows) < first + len(new):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        sizes = np.array([len(us) for us in units])
+        sizes = np.array([len(us) for us in cut])
         owner = np.repeat(np.arange(first, first + len(new)), sizes)
-        at = np.array([number[u] for us in units for u in us], dtype=np.int64)
+        at = np.array([number[u] for us in cut for u in us], dtype=np.int64)
         self.rows[first : first + len(new)] = 0.0
         np.add.at(self.rows[:, :-1], owner, scores[at])
         self.rows[first : first + len(new), -1] = sizes
@@ -216,36 +237,33 @@ class Scorer:
         return out
 
 
-def fit_on(docs: DataFrame, model_file: str, most_docs: int = 300, most_languages: int = 512) -> Model:
+def fit_on(docs: DataFrame, model_file: str, most_docs: int = 300, most_chars: int = 100_000) -> Model:
     """Fit on about most_docs distinct texts (text, lang) a language, chosen by a hash of the text, alike in every run.
 
     Rows without text or language are left out, and copies of a text in a language count once, so neither the choice
-    nor the sample's size follows them. The sample is bounded by most_docs and most_languages; more languages than
-    that are an error, and so is a language that no text was drawn for.
+    nor the sample's size follows them. Of a text drawn, the first most_chars characters are learned from. A language
+    that no text was drawn for is an error. The model holds a probability a piece and language.
     """
     own = docs.where("text is not null and lang is not null").select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).limit(most_languages + 1).collect()}
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    if not counts:
+    counts = own.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).withColumn("share", (F.least(F.lit(1.0), F.lit(most_docs) / F.col("n")) * F.lit(1 << 30)).cast("long"))
+    shares = counts.select(F.col("lang").alias("known"), "share").collect()
+    if not shares:
         return Model((), vocabulary(model_file), np.zeros((1, 0)))
-    share: Column = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == F.lit(lang), F.lit(int(min(1.0, most_docs / n) * (1 << 30)))).otherwise(share)
-    rows = own.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).distinct().collect()
-    texts: dict[str, list[str]] = {k: [] for k in counts}
-    for r in rows:
+    drawn = own.join(F.broadcast(docs.sparkSession.createDataFrame(shares)), F.col("lang") == F.col("known")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share"))
+    texts: dict[str, list[str]] = {r["known"]: [] for r in shares}
+    for r in drawn.select("lang", F.substring("text", 1, most_chars).alias("text")).distinct().collect():
         texts[r["lang"]].append(r["text"])
     if missing := sorted(k for k, v in texts.items() if not v):
         raise ValueError(f"no text drawn for {', '.join(missing)}; most_docs {most_docs} is too small")
     return fit({k: sorted(v) for k, v in texts.items()}, vocabulary(model_file))
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score (posterior of lang_pred, equal priors), from each whole text.
+def annotate(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (posterior of lang_pred, equal priors), from each whole text, or by other names.
 
     und (score 0) where the text is null or has no letter, or no language was learned. Ties go to the first
-    language by name. Input columns of these two names are replaced.
+    language by name. Input columns of these two names are replaced. Texts and words of any length are scored whole;
+    memory follows the longest text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -257,14 +275,14 @@ def annotate(docs: DataFrame, model: Model) -> DataFrame:
             if score is None:
                 return [pa.array([UNDETERMINED] * len(texts), pa.string()), pa.array([0.0] * len(texts), pa.float64())]
             out = score(texts)
-            ll, units = out[:, :-1], out[:, -1]
-            best = np.where(units > 0, np.round(1.0 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1), 9), 0.0)
-            langs = [own.languages[k] if u > 0 else UNDETERMINED for k, u in zip(ll.argmax(axis=1), units, strict=True)]
+            ll, scored = out[:, :-1], out[:, -1]
+            best = np.where(scored > 0, np.round(1.0 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1), 9), 0.0)
+            langs = [own.languages[k] if u > 0 else UNDETERMINED for k, u in zip(ll.argmax(axis=1), scored, strict=True)]
             return [pa.array(langs, pa.string()), pa.array(best, pa.float64())]
 
         return run
 
-    return common.annotate(docs, make, [("lang_pred", "string"), ("score", "double")])
+    return common.annotate(docs, make, [(names[0], "string"), (names[1], "double")])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -277,5 +295,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
     """The rows of docs, all their columns unchanged, whose language is determined with at least least_score."""
-    told = annotate(docs.withColumns({f"_own_{c}": F.col(c) for c in ("lang_pred", "score") if c in docs.columns}), model)
-    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select(*[F.col(f"_own_{c}" if f"_own_{c}" in told.columns else c).alias(c) for c in docs.columns])
+    lang, score = common.free_names(docs, "lang_pred", "score")
+    return annotate(docs, model, (lang, score)).where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least_score)).select(*docs.columns)
