@@ -6,10 +6,12 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -69,6 +71,32 @@ def test_language_id_edges_and_brute_force(spark, docs):
 
     for w in ("▁the", "▁maison", "▁日ab", "▁x"):
         assert np.allclose(language_id.word_scores(language_id.Pieces(names), [w], model.probs)[0], np.log(brute(w)))
+    long = "▁" + "maisonthe日" * 150  # far below the least double, and far beyond any piece
+    at_end = [np.zeros(2)]
+    for j in range(1, len(long) + 1):
+        terms = [at_end[i] + np.log(model.probs[at[long[i:j]]]) for i in range(max(0, j - 16), j) if long[i:j] in at]
+        if long[j - 1] not in at:
+            terms.append(at_end[j - 1] + np.log(language_id.UNKNOWN))
+        at_end.append(np.logaddexp.reduce(terms))
+    assert np.allclose(language_id.word_scores(language_id.Pieces(names), [long], model.probs)[0], at_end[-1]) and at_end[-1].max() < -1000
+
+    def segmentations(s: str):
+        if not s:
+            yield []
+        for k in range(1, len(s) + 1):
+            if s[:k] in at or k == 1:
+                yield from ([s[:k], *rest] for rest in segmentations(s[k:]))
+
+    want, one = np.zeros(len(names)), model.probs[:, :1]
+    for word, n in (("▁maison", 3), ("▁thethe日a", 2)):
+        weights = [(math.prod(one[at[p], 0] if p in at else language_id.UNKNOWN for p in s), s) for s in segmentations(word)]
+        for x, s in weights:
+            for p in s:
+                if p in at:
+                    want[at[p]] += n * x / sum(x for x, _ in weights)
+    assert np.allclose(language_id.expected_counts(language_id.Pieces(names), Counter({"▁maison": 3, "▁thethe日a": 2}), one), want)
+    assert np.isclose(language_id.expected_counts(language_id.Pieces(names), Counter({"▁" + "the" * 600: 1}), one) @ [len(n) for n in names], 1801)
+    assert language_id.units("न्यायालय का é a2b") == ["▁न्यायालय", "▁का", "▁é", "▁a", "▁b"]
     got = language_id.identify(docs, model).collect()
     assert len(got) == len(ROWS)
     by = {r["doc_id"]: r for r in got}
@@ -119,6 +147,60 @@ def test_toxicity_edges_and_held_out(spark, docs):
     assert len(set(grams.of("abcabcabc abc", scratch).tolist())) == len(grams.of("abcabcabc abc", scratch))
 
 
+def test_toxicity_against_plain_counts():
+    """Features, ratios and scores, counted with dictionaries of n-grams."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["Good", "day", "Vermin", "filth", "sun", "tea"]) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    labels = [int("Vermin" in t or "filth" in t) for t in texts]
+    grams = toxicity.Grams(sizes=(3, 4), bits=22)
+    scratch = grams.slots()
+
+    def plain(text: str) -> set[str]:
+        s = f" {' '.join(text.lower().split())} "
+        return {s[i : i + n] for n in (3, 4) for i in range(len(s) - n + 1)}
+
+    every = sorted(set().union(*map(plain, texts)))
+    model = toxicity.fit(texts, labels, grams, kept=10**6, l2=0.0, rounds=1)
+    pos, neg = (Counter(g for t, y in zip(texts, labels, strict=True) if y == k for g in plain(t)) for k in (1, 0))
+    ratio = {g: math.log((pos[g] + 0.5) / (sum(labels) + 1)) - math.log((neg[g] + 0.5) / (len(labels) - sum(labels) + 1)) for g in every}
+    norm = math.sqrt(sum(ratio[g] ** 2 for t in texts for g in plain(t) if pos[g] + neg[g] >= 2) / len(texts))
+    for t in texts:  # one step of 0.05 from weight 0, times the scaled ratio; n-grams seen in one text have no weight
+        want = sorted(0.05 * abs(ratio[g]) / norm if pos[g] + neg[g] >= 2 else 0.0 for g in plain(t))
+        assert np.allclose(sorted(np.abs(model.weights[grams.of(t, scratch)])), want, atol=1e-3)
+    for t in texts[:20]:
+        assert abs(model.margin(t, scratch) - model.bias - sum(float(model.weights[k]) for k in grams.of(t, scratch))) < 1e-5
+
+
+def test_labelled_sample_is_bounded_and_names_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "hot text", 5)] * 500 + [(1, f"other text {i}", 5) for i in range(400)] + [(2, None, 5), (3, "x" * 50, 5)], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, 1), (5, 7), (None, 1)], "doc_id long, label int")
+    rows = toxicity.labelled_sample(docs, labels, 100, 20).collect()
+    assert 40 < len(rows) < 180 and len(rows) == len(set(rows)) and max(len(r["text"]) for r in rows) <= 20
+    assert ("", 0) in {tuple(r) for r in toxicity.labelled_sample(docs, labels).collect()}
+    assert {r["predicted"] for r in toxicity.score(docs.where("doc_id = 3"), toxicity.fit_on(docs, labels)).collect()} <= {0, 1}
+
+
+INTERNAL = "key hash once _key _hash _once leak _leak lang_pred score predicted _lang_pred _score _predicted row_hash class_id digest label label_id head to marked item_id window n component".split()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Every internal name as a column of the input: values come back unchanged."""
+    base = spark.createDataFrame(ROWS + [(9, ITEM)], "doc_id long, text string")
+    docs = base.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in INTERNAL])
+    names = language_id.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    lang = language_id.fit({"en": ["the cat and the dog"], "fr": ["le chat et la maison"]}, names)
+    tox = toxicity.fit(["vermin filth", "good day"] * 3, [1, 0] * 3)
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    stages = [lambda d: language_id.keep_identified(d, lang), lambda d: toxicity.keep_clean(d, tox), jaccard_join.keep_one, lambda d: decontamination.drop_leaks(d, items)]
+    for stage in stages:
+        out = stage(docs)
+        assert out.columns == docs.columns and 0 < out.count()
+        for r in out.collect():
+            assert r["doc_id"] is None or all(r[c] == f"{c}:{r['doc_id']}" for c in INTERNAL)
+    assert fingerprints.edited_fingerprints(docs).count() == license_scan.scan(docs).count() == lm_scoring.stupid_backoff(docs).count() == docs.count()
+    assert jaccard_join.jaccard_components(docs).count() == docs.count() and packing.best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json")).where("piece = 0").count() == docs.count()
+
+
 def test_license_scan(spark, docs):
     mit = license_scan.KNOWN["MIT"]
     changed = "Copyright (c) 2020 Some One\n" + mit.upper().replace("COPYRIGHT HOLDERS", "copyright  holders").replace(",", " ,")
@@ -126,8 +208,16 @@ def test_license_scan(spark, docs):
     got = {r["doc_id"]: r["license_id"] for r in license_scan.scan(make(spark, rows)).collect()}
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: "Apache-2.0", 5: None, 6: None}
     assert license_scan.scan(docs).count() == len(ROWS) and license_scan.scan(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        license_scan.known_digests(spark, dict.fromkeys(map(str, range(license_scan.MAX_KNOWN + 1)), "x"))
+    holder = "Copyright (c) 2020, Some One\nAll rights reserved.\n\n"
+    files = [("MIT", f"MIT License\n\n{holder}{mit}"), ("MIT", f"The MIT License (MIT)\n{holder}{mit}"), ("BSD-3-Clause", f"BSD 3-Clause License\n\n{holder}{license_scan.KNOWN['BSD-3-Clause']}")]
+    files += [("BSD-2-Clause", holder + license_scan.KNOWN["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* ")), ("ISC", f"ISC License\n\n{holder}{license_scan.KNOWN['ISC']}")]
+    files += [(k, t.replace("\n", "\r\n")) for k, t in license_scan.known_texts() if k in ("Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0")]
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan(make(spark, [(i, t) for i, (_, t) in enumerate(files)])).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(files)}
+    twins = spark.createDataFrame([("licence licence, sub licence sub-licence copyright holder copyright holder",)], "t string").select(license_scan.canonical(F.col("t"))).first()[0]
+    assert twins == "license license sublicense sublicense copyright owner copyright owner"
+    many = [(str(i), f"text number {i}") for i in range(license_scan.MOST_BROADCAST + 1)]
+    assert license_scan.scan(make(spark, [(1, "Text NUMBER 7!"), (2, "x")]), many).where("license_id = '7'").count() == 1
 
 
 def shingles(text: str | None) -> frozenset:
@@ -252,8 +342,6 @@ def test_stupid_backoff_against_plain_count(spark):
 def test_packing_round_trip(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    import zlib
-
     got = packing.best_fit_pack(docs, path, shard_pieces=4).collect()
     pieces = defaultdict(list)
     for r in got:
@@ -278,9 +366,13 @@ def test_cached_encoder_equals_the_tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     texts = ["It's I'll we'd THE ÉCOLE straße x+y=z 3.14 ... ###", "İstanbul ΑΣ “quoted” á", "<|endoftext|> x", "a<b", "", "tab\tnew\nline", "o'clock'sx ''s", "日本語", "a\x00b", "×÷ÀÿÞ"]
-    enc = packing.CachedEncoder(path, max_words=3)
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in enc(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["''s 's's I'LL o'ré 12'd a1b2", "\x0b x", "ends with '", "  two  blanks\r\n\t", "it'sÉ 'RE're", "“", "no odd here"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    enc = packing.CachedEncoder(path, most_tokens=3)
+    for some in (slice(None), slice(None), slice(0, 1), slice(4, 5), slice(0, 0), slice(2, 12), slice(-1, None)):
+        ids, ends = enc(pa.array(texts[some], pa.string()))
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == want[some] and len(ids) == sum(map(len, want[some]))
+    assert list(packing.by_size(pa.array(["ab", None, "cdefgh", "", "i"]), 3)) == [(0, 2), (2, 3), (3, 5)] and not list(packing.by_size(pa.array([], pa.string()), 3))
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -305,7 +397,9 @@ def test_fingerprints(spark, docs):
         w = re.sub(r"[\x20\x09-\x0D]+", " ", text.lower()).split(" ")
         w = [x for x in w if x]
         sh = [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
-        return ",".join(sorted({h[:12] for h in (hashlib.md5(s.encode()).hexdigest() for s in sh) if h < "20"}))
+        all_ = sorted({hashlib.md5(s.encode()).hexdigest()[:12] for s in sh})
+        below = [h for h in all_ if h < "20"]
+        return ",".join(below if len(below) >= 16 else all_[:16])
 
     for i, (d, t) in enumerate(rows):
         t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
@@ -313,8 +407,27 @@ def test_fingerprints(spark, docs):
         e = t[: len(t) - q] + nxt[:q]
         assert (got[d]["n_chars"], got[d]["edited"], got[d]["fingerprint"], got[d]["edited_fingerprint"], got[d]["next_fingerprint"]) == (len(t), e, mark(t), mark(e), mark(nxt))
     assert fingerprints.edited_fingerprints(docs).count() == len(ROWS) and fingerprints.edited_fingerprints(docs.limit(0)).count() == 0
-    near = spark.createDataFrame([("a,b", "a,b,c,d"), ("", "a"), ("a", "b")], "x string, y string").select(fingerprints.containment(F.col("x"), F.col("y")), fingerprints.merge(F.col("x"), F.col("y"))).collect()
-    assert [tuple(r) for r in near] == [(1.0, "a,b,c,d"), (0.0, "a"), (0.0, "a,b")]
+    short = make(spark, [(1, "one two three"), (2, "one two three"), (None, "lost words"), (None, "a b c d e f g"), (3, ""), (4, None), (5, "one two three")])
+    got = {(r["doc_id"], r["n_chars"]): r for r in short.transform(fingerprints.edited_fingerprints).withColumn("near", fingerprints.containment(F.col("fingerprint"), F.col("next_fingerprint"))).collect()}
+    assert {k: r["near"] for k, r in got.items()} == {(1, 13): 1.0, (2, 13): 0.0, (None, 10): 0.0, (None, 13): 0.0, (3, 0): 1.0, (4, 0): 0.0, (5, 13): 0.0} and all(r["fingerprint"] for k, r in got.items() if k[1])
+
+
+def test_sketches_merge_and_contain(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) for n in (2, 5, 12, 19, 40, 300, 4000)]
+    texts += [" ".join(texts[6].split()[:k]) for k in (8, 30, 400, 2000)]
+    both = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    sketch = both.select("a", "b", fingerprints.fingerprint(F.col("a")).alias("x"), fingerprints.fingerprint(F.col("b")).alias("y"))
+    for r in sketch.select("*", fingerprints.merge(F.col("x"), F.col("y")).alias("m"), fingerprints.containment(F.col("x"), F.col("y")).alias("c")).collect():
+        a, b = ({hashlib.md5(" ".join(s).encode()).hexdigest()[:12] for s in (t.split()[i : i + 5] for i in range(max(1, len(t.split()) - 4)))} for t in (r["a"], r["b"]))
+        below = sorted(h for h in a | b if h < "20")
+        assert r["m"] == ",".join(below if len(below) >= 16 else sorted(a | b)[:16])
+        if r["a"] == r["b"]:
+            assert r["c"] == 1.0
+        elif min(len(a), len(b)) > 300:
+            assert abs(r["c"] - len(a & b) / min(len(a), len(b))) < 0.2
+        elif not a & b:
+            assert r["c"] == 0.0
 
 
 def test_html_extraction(spark):
@@ -346,6 +459,61 @@ def test_skipped_elements_end_where_they_end():
     assert texts("a <svg><path/></svg>b") == ["a b"] and len(texts("<svg>x" * 100_000)) == 1
 
 
+def test_deep_pages_and_split_references():
+    deep = "<div>" * 3000 + "<section><p>one</p></section><p>two</p>" + "</div>" * 3000 + "<article><p>three</p></article>"
+    assert [(b.text, b.tag) for b in html_extract.blocks(deep)] == [("one", "p"), ("two", "p"), ("three", "p")] and len(html_extract.blocks(deep)[2].path) == 2
+    assert [b.text for b in html_extract.blocks("<p>a &<b>amp;</b> b &amp; c</p>")] == ["a &amp; b & c"]
+
+
+def test_labeller_against_plain_loops():
+    rng = random.Random(5)
+    from loamgraph.llm import html_train
+
+    w = html_extract.load_weights()
+    pages = [html_extract.blocks(html_train.Site(rng).page()) for _ in range(5)] + [[], html_extract.blocks("<p>one</p>")]
+    label = html_extract.Labeller(w)
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def direction(xs: list[np.ndarray], k: str) -> list[np.ndarray]:
+        units = w[f"{k}_wh"].shape[0]
+        h, c, out = np.zeros(units), np.zeros(units), []
+        for x in xs:
+            a = x @ w[f"{k}_wx"] + h @ w[f"{k}_wh"] + w[f"{k}_b"]
+            new_h, new_c = np.zeros(units), np.zeros(units)
+            for u in range(units):
+                i, f, o, g = (a[u + units * q] for q in range(4))
+                new_c[u] = sig(f) * c[u] + sig(i) * math.tanh(g)
+                new_h[u] = sig(o) * math.tanh(new_c[u])
+            h, c = new_h, new_c
+            out.append(h)
+        return out
+
+    for page, got in zip(pages, label(pages), strict=True):
+        xs = []
+        for b in page:
+            path = [zlib.crc32(t.encode()) % html_extract.PATH_SLOTS for t in (*b.path, "^" + b.tag)]
+            words = [zlib.crc32(t.encode()) % html_extract.WORD_SLOTS for t in b.text.lower().split()]
+            xs.append(np.concatenate([sum(w["path"][k].astype(float) for k in path) / math.sqrt(len(path)), sum(w["word"][k].astype(float) for k in words) / len(words), html_extract.numbers(b)]))
+        forward, backward = direction(xs, "f"), direction(xs[::-1], "b")[::-1]
+        want = [sig(float((f @ w["o_f"] + r @ w["o_b"] + x @ w["o_x"] + w["o"]).item())) for f, r, x in zip(forward, backward, xs, strict=True)]
+        assert np.allclose(got, want, atol=1e-4)
+
+
+def test_whole_page_text_on_new_pages(spark):
+    from loamgraph.llm import html_train
+
+    rng = random.Random(77)
+    rows, want = [], {}
+    for i in range(60):
+        page = html_train.Site(rng).page()
+        own, y = html_train.labelled(page)
+        rows.append((i, "u", page.replace("\ue001", "").replace("\ue000", "")))
+        want[i] = Counter(w for b, k in zip(own, y, strict=True) if k > 0 for w in b.text.split())
+    got = {r["page_id"]: Counter(r["text"].split()) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    both = sum((got[i] & want[i]).total() for i in want)
+    assert both / sum(g.total() for g in got.values()) > 0.97 and both / sum(g.total() for g in want.values()) > 0.97
+
+
 def test_labeller_on_new_pages():
     from loamgraph.llm import html_train
 
