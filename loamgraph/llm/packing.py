@@ -11,14 +11,12 @@ task nor the driver ever holds more than one shard.
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,89 +26,124 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 #: Texts of these characters only can be cut into pre-tokens here; all other texts go to the tokenizer whole.
-PLAIN = re.compile(r"[\t\n\r\x20-;=-~À-ÖØ-öø-ÿ]*\Z")
-#: The vocabulary's own pre-token pattern, over the characters of PLAIN in lower case (fixed by the tokenizer file).
-PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+PLAIN = r"\A[\t\n\r\x20-;=-~À-ÖØ-öø-ÿ]*\z"
+#: The vocabulary's own pre-token pattern, over the characters of PLAIN in lower case (fixed by the tokenizer file), but
+#: for letter runs: blanks around all others leave just these.
+NO_LETTERS = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-zß-öø-ÿ0-9]+)"
 
 
 class CachedEncoder:
-    """The tokenizer's ids as little-endian bytes, with the ids of recent words and pre-tokens kept.
+    """The tokenizer's ids of texts, with the ids of recent pre-tokens kept.
 
-    No pre-token of this vocabulary crosses white space, and pre-tokens are encoded independently, so a text's ids
-    are those of its words in order, and a word's those of its pre-tokens. New pre-tokens of a batch go to the
-    tokenizer's model as one text, already normalised and parted, and are told apart by the ids that end one. A cache
-    is emptied when it holds max_words entries, which bounds a worker's memory.
+    Pre-tokens of this vocabulary never cross white space and are encoded independently, so a text's ids are those of its
+    pre-tokens in order. Texts are cut into numbers of distinct pre-tokens by Arrow, and ids are put together as
+    arrays. New pre-tokens of a batch go to the tokenizer's model as one text, already normalised and parted, and are
+    told apart by the ids that end one. At most most_tokens (or one batch's) pre-tokens are kept; beyond that those of
+    the current batch stay, among which are the frequent ones.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000) -> None:
+    def __init__(self, path: str, most_tokens: int = 600_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.model.normalizer = None
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.max_words, self.words, self.tokens = max_words, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.most = most_tokens
+        self.number: dict[str, int] = {"": 0}
+        self.starts, self.ids = np.zeros(2, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, tokens: list[str]) -> list[bytes]:
-        ids = np.asarray(self.model.encode_batch_fast([" ".join(tokens)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+    def _encode(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the tokens, and where each token's end."""
+        ids = np.asarray(self.model.encode_batch_fast([" ".join(tokens)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
         if len(ends) != len(tokens):  # a pre-token that the model parts otherwise: one by one
-            return self._raw(tokens)
-        raw, at = ids.tobytes(), [0, *ends.tolist()]
-        return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        cut = list(map(PRE_TOKEN.findall, new))
-        if len(self.tokens) > self.max_words:
-            self.tokens.clear()
-        fresh = list(set(chain.from_iterable(cut)).difference(self.tokens))
+            each = self._raw(tokens)
+            return np.concatenate(each), np.cumsum([len(x) for x in each])
+        return ids, ends
+
+    def _numbers(self, tokens: list[str]) -> np.ndarray:
+        """The tokens' numbers; new ones are learned."""
+        if len(self.number) > self.most:
+            kept = ["", *(t for t in tokens if t and t in self.number)]
+            at = np.fromiter(map(self.number.__getitem__, kept), dtype=np.int64, count=len(kept))
+            self.ids, ends = gather(self.ids, self.starts[at], self.starts[at + 1] - self.starts[at])
+            self.number, self.starts = {t: i for i, t in enumerate(kept)}, np.append(0, ends)
+        fresh = [t for t in tokens if t not in self.number]
         if fresh:
-            self.tokens.update(zip(fresh, self._encode(fresh), strict=True))
-        get = self.tokens.__getitem__
-        self.words.update(zip(new, [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut], strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not PLAIN.match(t)]
-        for i, ids in zip(odd, self._raw([texts[i] for i in odd]) if odd else [], strict=True):
-            out[i] = ids
-        cut = {i: t.lower().split() for i, t in enumerate(texts) if out[i] is None}
-        if len(self.words) > self.max_words:
-            self.words.clear()
-        new = list(set(chain.from_iterable(cut.values())).difference(self.words))
-        if new:
-            self._learn(new)
-        get = self.words.__getitem__
-        for i, words in cut.items():
-            out[i] = b"".join(map(get, words))
-        return out
-
-
-def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_tokens: int = 2048, batch: int = 256) -> DataFrame:
+            ids, ends = self._encode(fresh)
+            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+            self.ids = np.concatenate([self.ids, ids])
+        return np.fromiter(map(self.number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), NO_LETTERS, r" \1 "))
+        coded = parts.flatten().dictionary_encode()
+        at = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ids, ends = gather(self.ids, self.starts[at], self.starts[at + 1] - self.starts[at])
+        return ids, np.append(0, ends)[parts.offsets.to_numpy()[1:]]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (no nulls) in order, and where each text's end."""
+        plain = pc.match_substring_regex(texts, PLAIN).to_numpy(zero_copy_only=False)
+        if plain.all():
+            return self._plain(texts)
+        ids, ends = self._plain(texts.filter(pa.array(plain)))
+        odd = self._raw(texts.filter(pa.array(~plain)).to_pylist())
+        starts, sizes, from_odd = np.zeros(len(plain), dtype=np.int64), np.zeros(len(plain), dtype=np.int64), np.array([len(x) for x in odd])
+        starts[plain], sizes[plain] = np.append(0, ends)[:-1], np.diff(ends, prepend=0)
+        starts[~plain], sizes[~plain] = len(ids) + np.cumsum(from_odd) - from_odd, from_odd
+        return gather(np.concatenate([ids, *odd]), starts, sizes)
+
+
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of values one after another, and where each ends."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)], ends
+
+
+def by_size(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about most_bytes together; a longer text is a range of its own."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, side="right")))
+        yield at, to
+        at = to
+
+
+#: A worker's encoders by file: what one task has learned, the worker's next tasks know.
+_ENCODERS: dict[str, CachedEncoder] = {}
+
+
+def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_tokens: int = 2048, most_bytes: int = 8_000_000) -> DataFrame:
     """The pieces of every document (doc_id, text): its ids and end_id, cut into max_tokens ids; null text counts as empty."""
-    end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = CachedEncoder(tokenizer_path)
+        if tokenizer_path not in _ENCODERS:
+            _ENCODERS[tokenizer_path] = CachedEncoder(tokenizer_path)
+        encode = _ENCODERS[tokenizer_path]
         for whole in batches:
-            rows: list[tuple] = []
-            for at in range(0, whole.num_rows, batch):
-                part = whole.slice(at, batch)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
-                    ids += end
-                    for k, start in enumerate(range(0, len(ids), 4 * max_tokens)):
-                        own = ids[start : start + 4 * max_tokens]
-                        rows.append((doc, k, start // 4, len(own) // 4, zlib.crc32(own)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        del encode
+            for i, j in by_size(whole.column("text"), most_bytes):
+                ids, ends = encode(pc.fill_null(whole.column("text").slice(i, j - i), ""))
+                ids = np.insert(ids, ends, end_id).astype("<u4")
+                sizes = np.diff(ends, prepend=0) + 1
+                pieces = -(-sizes // max_tokens)
+                doc = np.repeat(np.arange(j - i), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start, first = piece * max_tokens, (np.cumsum(sizes) - sizes)[doc]
+                length = np.minimum(max_tokens, sizes[doc] - start)
+                raw, at, to = memoryview(ids.view(np.uint8)), (4 * (first + start)).tolist(), (4 * (first + start + length)).tolist()
+                crc = np.fromiter((zlib.crc32(raw[x:y]) for x, y in zip(at, to, strict=True)), dtype=np.int64, count=len(doc))
+                columns = [whole.column("doc_id").slice(i, j - i).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
         tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
@@ -225,7 +258,7 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048,
 
     Returns a row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. An empty or null text is
     one piece of one id (the end id). Repeated rows and null ids are pieces like others. An empty table gives no
-    rows. Extra columns are ignored.
+    rows. Extra columns are ignored. A very long text is tokenised whole; memory follows the longest one.
     """
     pieces = materialise(cut_documents(docs, tokenizer_path, end_id, max_tokens), "pieces")
     return pack(pieces, max(1, math.ceil(pieces.count() / shard_pieces)), max_tokens)
