@@ -61,10 +61,18 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)
 
 
+#: Names of self-test entry points in production files. Fixed value.
+TEST_NAME = r"(^test_|^test[A-Z]|Tests?$|_test$)"
+
+
 def god_nodes(nodes: DataFrame, edges: DataFrame, limit: int = 10, most_homonyms: int = 2, containers: tuple[str, ...] = ("region", "nation")) -> DataFrame:
-    """The most connected production symbols: no containers, no names with more than most_homonyms definitions."""
-    live = nodes.where(~F.col("kind").isin(*containers) & paths.production(F.col("file")))
-    rare = nodes.groupBy("name").agg(F.count("*").alias("definitions")).where(F.col("definitions") <= most_homonyms).select("name")
+    """The most connected production symbols: no containers, no test names, nothing without a line, no names with more than most_homonyms definitions.
+
+    Containers and nodes without a file are no definitions.
+    """
+    symbols = nodes.where(~F.col("kind").isin(*containers) & (F.coalesce("file", F.lit("")) != ""))
+    live = symbols.where(paths.production(F.col("file")) & (F.coalesce("line", F.lit(0)) != 0) & ~F.coalesce("name", F.lit("")).rlike(TEST_NAME))
+    rare = symbols.groupBy("name").agg(F.count("*").alias("definitions")).where(F.col("definitions") <= most_homonyms).select("name")
     hubs = live.join(degree(edges.where(~F.col("label").isin(*STRUCTURAL))), "id").join(rare, "name", "left_semi")
     return hubs.select("id", "name", "file", "line", "degree").orderBy(F.desc("degree"), "file", "line", "id").limit(limit)
 
@@ -151,11 +159,20 @@ def same_name_across(nodes: DataFrame, project: Column, most: int = 12) -> DataF
     return linked.where("next_id is not null and project <> next_project").select(F.col("id").alias("source"), F.col("next_id").alias("target"), "folded")
 
 
-def number_overloads(nodes: DataFrame) -> DataFrame:
-    """Ids for repeated (file, name): plain, then /line rank where several definitions share it."""
-    w = Window.partitionBy("file", "name")
-    n, k = F.count("*").over(w), F.row_number().over(w.orderBy("line", "id"))
-    return nodes.select("id", F.when(n == 1, F.concat_ws(":", "file", "name")).otherwise(F.concat(F.concat_ws(":", "file", "name"), F.lit("/"), k.cast("string"))).alias("qualified"))
+def number_overloads(nodes: DataFrame, callable_kinds: tuple[str, ...] = ("method", "function")) -> DataFrame:
+    """Ids of definitions (id, kind, file, name, line, arity) in line order: the first of a (file, name) plain, then /arity, then @line.
+
+    arity may be null: then the line stands for it. A repeated definition of another kind has no id (null).
+    """
+    by_name = Window.partitionBy("file", "name").orderBy("line", "id")
+    suffix = F.coalesce(F.col("arity").cast("string"), F.col("line").cast("string"))
+    placed = nodes.withColumn("place", F.row_number().over(by_name)).withColumn("suffix", suffix)
+    again = placed.withColumn("nth", F.row_number().over(Window.partitionBy("file", "name", "suffix", F.col("place") == 1).orderBy("line", "id")))
+    base = F.concat(F.lit("symbol:"), "file", F.lit(":"), "name")
+    overload = F.concat(base, F.lit("/"), "suffix")
+    return again.select(
+        "id", F.when(F.col("place") == 1, base).when(F.col("kind").isin(*callable_kinds), F.when(F.col("nth") == 1, overload).otherwise(F.concat(overload, F.lit("@"), F.col("line").cast("string")))).alias("qualified")
+    )
 
 
 def apply_reviews(edges: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -169,11 +186,17 @@ def apply_reviews(edges: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(amb & (F.col("decision") == "accepted"), "REVIEWED").otherwise(F.col("confidence"))).drop("decision")
 
 
-def ambiguity_queue(edges: DataFrame, limit: int = 50) -> DataFrame:
-    """Ambiguous edges with a stable key, in key order."""
-    return edges.where("confidence = 'AMBIGUOUS'").select(
-        F.substring(F.sha2(F.encode(F.concat_ws("|", "source", "target", "label"), "UTF-8"), 256), 1, 16).alias("review_key"), "source", "target", "label"
-    ).distinct().orderBy("review_key").limit(limit)
+def relation_key(source: Column, target: Column, label: Column, file: Column, line: Column) -> Column:
+    """A stable key of a relation: 20 hex digits of the SHA-256 of its fields, parted by zero characters."""
+    fields = [F.coalesce(c.cast("string"), F.lit("")) for c in (source, target, label, file)] + [F.coalesce(F.nullif(line.cast("string"), F.lit("0")), F.lit(""))]
+    return F.substring(F.sha2(F.encode(F.concat_ws("\0", *fields), "UTF-8"), 256), 1, 20)
+
+
+def ambiguity_queue(edges: DataFrame, decisions: DataFrame) -> DataFrame:
+    """All ambiguous and reviewed edges with their key and decision (null: pending); decisions: review_key, decision."""
+    open_ = edges.where(F.upper(F.coalesce("confidence", F.lit(""))).isin("AMBIGUOUS", "REVIEWED"))
+    keyed = open_.withColumn("review_key", relation_key(*[F.col(c) for c in ("source", "target", "label", "file", "line")]))
+    return keyed.join(decisions.select("review_key", "decision"), "review_key", "left")
 
 
 def merge_typed(edges: DataFrame, sidecar: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -50,11 +50,22 @@ def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+#: What an outcome is worth. Fixed values.
+OUTCOMES = {"useful": 1.0, "dead_end": -0.75, "corrected": -1.0}
+
+
 def learning_overlay(signals: DataFrame, as_of: Column, half_life_days: float = 30.0) -> DataFrame:
-    """node, score, signals and label from outcomes (node, value, ts): each counts half as much every half-life."""
+    """node, score, signals, stale_signals and label from outcomes (node, outcome, ts, stale): each counts half as much every half-life.
+
+    An outcome after as_of counts in full; an unknown one counts as a signal worth nothing.
+    """
     age = (F.unix_micros(F.to_timestamp_ltz(as_of)) - F.unix_micros(F.to_timestamp_ltz(F.col("ts")))) / F.lit(86_400_000_000.0)
-    s = signals.groupBy("node").agg(F.round(F.sum(F.col("value") * F.pow(F.lit(0.5), age / half_life_days)), 4).alias("score"), F.count("*").alias("signals"))
-    return s.withColumn("label", F.when(F.col("score") > 0.5, "preferred").when(F.col("score") < -0.5, "avoid").otherwise("neutral"))
+    weight = F.round(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), age) / half_life_days), 4)
+    value = F.lit(0.0)
+    for outcome, worth in OUTCOMES.items():
+        value = F.when(F.col("outcome") == outcome, worth).otherwise(value)
+    s = signals.groupBy("node").agg(F.round(F.sum(value * weight), 4).alias("score"), F.count("*").alias("signals"), F.count_if(F.col("stale")).alias("stale_signals"))
+    return s.withColumn("label", F.when(F.col("score") >= 0.5, "preferred").when(F.col("score") <= -0.5, "contested").otherwise("tentative"))
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -86,9 +97,22 @@ def resolve_alias(rows: DataFrame, stored: DataFrame, configured: DataFrame) ->
     return rows.withColumn("k", F.lower("agent")).join(a, "k", "left").join(b, "k", "left").withColumn("agent", F.coalesce("s", "c", "agent")).drop("k", "s", "c")
 
 
-def claim_policy(status: Column, private: Column, copies: Column) -> Column:
-    """What may be claimed from a memory: a fixed order of cases."""
-    return F.when(status.isin("quarantined", "deleted"), "never").when(status == "contested", "only_with_dispute").when(private, "owner_only").when((status == "verified") & (copies > 1), "corroborated").when(status == "verified", "verified").otherwise("as_observation")
+def claim_policy(
+    status: Column, stale: Column, missing_dependencies: Column, execution_outcome: Column, execution_observed: Column, verification_level: Column, verified_metrics: Column, evidence: Column,
+    evidence_type: Column,
+) -> Column:
+    """What may be claimed from a memory: the first case that holds, of twelve.
+
+    verification_level may be null: then verified for a verified memory, else that of an imported report.
+    """
+    level = F.coalesce(verification_level, F.when(status == "verified", "verified").otherwise("imported_report"))
+    return (
+        F.when(stale, "stale").when(missing_dependencies, "evidence_missing").when(status == "contested", "contested").when(status == "proposed", "proposed_only")
+        .when(execution_outcome == "failed", "execution_failed").when(execution_outcome == "cancelled", "execution_cancelled").when(execution_outcome == "timeout", "execution_timeout")
+        .when(~F.coalesce(execution_observed, F.lit(False)) | level.isin("imported_report", "integrity_verified", "execution_declared"), "imported_only")
+        .when((status != "verified") | ~F.coalesce(verified_metrics, F.lit(False)), "historical_only").when(~F.coalesce(evidence, F.lit(False)), "unsupported")
+        .when(evidence_type == "benchmark", "verified_measured").otherwise("verified_fact")
+    )
 
 
 def paired(rows: DataFrame, task: str, variant: str, value: str, a: str, b: str) -> DataFrame:

@@ -11,8 +11,20 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import text as X
 
-#: Cues of what an answer must contain, and the pattern that shows it. Fixed values.
-OBLIGATIONS = {"command": (r"(?i)(command|run|execute)", r"`[^`]+`"), "endpoint": (r"(?i)(endpoint|route|url)", r"/[a-z]+(/[a-z]+)*"), "port": (r"(?i)(^|[^a-z])port([^a-z]|$)", r"[0-9]{2,5}"), "rationale": (r"(?i)(why|reason)", r"(?i)because")}
+#: What an answer may owe: cues in a folded request, and the pattern that shows it in the answer. Fixed values.
+OBLIGATIONS = {
+    "command": (("comando", "command", "instruccion", "instruction"), r"(?i)(?:```(?:bash|sh)|`\s*(?:sudo|docker|git|tailscale|curl|systemctl|python3?|npm|pnpm)\s+|(?:^|\n)\s*\$?\s*(?:sudo|docker|git|tailscale|curl|systemctl|python3?|npm|pnpm)\s+)"),
+    "endpoint": (("enlace", "url", "endpoint", "host"), r"(?i)https?://[^\s`]+"),
+    "port": (("puerto", "port"), r"(?i)(?:--(?:port|https)[= ]|:)[0-9]{2,5}\b"),
+    "rationale": (("porque", "por que", "reason", "rationale", "decidio"), r"(?i)\b(?:porque|debido a|ya que|para (?:evitar|permitir)|se (?:eligio|eligió|decidio|decidió)|reason)\b"),
+    "mode": (("serve", "funnel", "modo"), r"(?i)\b(?:tailscale\s+)?(?:serve|funnel)\b"),
+    "backend": (("backend", "destino", "proxy", "upstream"), r"(?i)\b(?:backend|proxy|upstream|destino)\b|https?://(?:localhost|127\.0\.0\.1|\d{1,3}(?:\.\d{1,3}){3})(?::\d+)?"),
+}
+
+
+def cue_pattern(cues: tuple[str, ...]) -> str:
+    """Any of the cues as whole words."""
+    return rf"(^|[^\w])({'|'.join(cues)})($|[^\w])"
 
 
 def drop_keyword_noise(nodes: DataFrame, edges: DataFrame, keywords: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -60,16 +72,28 @@ def spaced_terms(text: Column, ends: int = 8, middle: int = 8) -> Column:
 
 
 def obligations(text: Column, answer: Column) -> Column:
-    """The obligations that a request states and its answer does not meet, in name order."""
-    return F.filter(F.array(*[F.when(text.rlike(cue) & ~answer.rlike(shown), F.lit(k)) for k, (cue, shown) in sorted(OBLIGATIONS.items())]), lambda x: x.isNotNull())
+    """The obligations that a request states and its answer does not meet, in their order."""
+    asked, given = X.folded(text), F.coalesce(answer, F.lit(""))
+    return F.filter(F.array(*[F.when(asked.rlike(cue_pattern(cues)) & ~given.rlike(shown), F.lit(k)) for k, (cues, shown) in OBLIGATIONS.items()]), lambda x: x.isNotNull())
 
 
-def grade(answers: DataFrame, facts: dict[str, list[str]]) -> DataFrame:
-    """Answers (answer_id, text) against facts (all patterns: covered, some: partial): counts and score."""
-    counts = {k: sum((F.when(F.coalesce(F.col("text"), F.lit("")).rlike(p), 1).otherwise(0) for p in ps), F.lit(0)) for k, ps in facts.items()}
-    covered = sum((F.when(c == len(facts[k]), 1).otherwise(0) for k, c in counts.items()), F.lit(0))
-    partial = sum((F.when((c > 0) & (c < len(facts[k])), 1).otherwise(0) for k, c in counts.items()), F.lit(0))
-    return answers.select("answer_id", covered.cast("long").alias("covered"), partial.cast("long").alias("partial"), F.round((covered + 0.5 * partial) / len(facts), 6).alias("score"))
+def grade(answers: DataFrame, facts: dict[str, list[str]], forbidden: dict[str, list[str]] | None = None) -> DataFrame:
+    """Answers (answer_id, text) against key facts (all patterns: covered, some: partial) and forbidden ones (all patterns: an error).
+
+    Patterns match in any case, and line by line. score is (covered + half of partial) over all facts; adjusted_score
+    takes a fact off for each error, but never below 0. A fact without patterns is never covered; a forbidden one
+    without patterns always errs.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hits = lambda ps: sum((F.when(text.rlike(f"(?im){p}"), 1).otherwise(0) for p in ps), F.lit(0))
+    covered = sum((F.when((hits(ps) == len(ps)) & F.lit(bool(ps)), 1).otherwise(0) for ps in facts.values()), F.lit(0))
+    partial = sum((F.when((hits(ps) > 0) & (hits(ps) < len(ps)), 1).otherwise(0) for ps in facts.values()), F.lit(0))
+    errors = sum((F.when(hits(ps) == len(ps), 1).otherwise(0) for ps in (forbidden or {}).values()), F.lit(0))
+    raw, total = covered + 0.5 * partial, max(1, len(facts))
+    return answers.select(
+        "answer_id", covered.cast("long").alias("covered"), partial.cast("long").alias("partial"), F.round(raw / total, 4).alias("score"), errors.cast("long").alias("factual_errors"),
+        F.round(F.greatest(F.lit(0.0), raw - errors) / total, 4).alias("adjusted_score"),
+    )
 
 
 def segments(files: DataFrame, share: int = 20) -> DataFrame:

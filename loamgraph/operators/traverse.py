@@ -46,6 +46,7 @@ def hops(view: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
     Of several edges that reach an id in the same round, the least (via, label, confidence) is told.
     """
+    view = cut(view)  # every round reads it
     seen = seeds.select("id").distinct().select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("confidence"))
     frontier = seen
     for k in range(1, depth + 1):
@@ -70,7 +71,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, symbol: str, depth: int = 2
 
 def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 8) -> DataFrame:
     """One shortest undirected path as rows (step, id); no rows if there is none within most hops."""
-    view = undirected(edges)
+    view = cut(undirected(edges).select("at", "to").distinct())
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(start, [start])], "id string, path array<string>")
     seen = frontier.select("id")
@@ -78,7 +79,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 8) -> Dat
         hit = frontier.where(F.col("id") == goal)
         if not hit.isEmpty():
             return hit.orderBy("path").limit(1).select(F.posexplode("path").alias("step", "id"))
-        step = frontier.select(F.col("id").alias("at"), "path").join(view.select("at", "to"), "at").join(seen.select(F.col("id").alias("to")), "to", "left_anti")
+        step = frontier.select(F.col("id").alias("at"), "path").join(view, "at").join(seen.select(F.col("id").alias("to")), "to", "left_anti")
         frontier = cut(step.groupBy(F.col("to").alias("id")).agg(F.min(F.concat("path", F.array("to"))).alias("path")))
         if frontier.isEmpty():
             break

@@ -69,7 +69,7 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {N}, {E}, d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e WHERE label <> 'contains' UNION ALL SELECT target FROM e WHERE label <> 'contains') GROUP BY 1)
 SELECT n.id, n.name, n.file, n.line, d.degree FROM n JOIN d USING (id) WHERE kind NOT IN ('region', 'nation') AND {paths.PRODUCTION_SQL.format('file')}
-  AND name IN (SELECT name FROM n GROUP BY 1 HAVING count(*) <= 2) ORDER BY degree DESC, file, line, id LIMIT 10""")
+  AND coalesce(line, 0) <> 0 AND NOT regexp_matches(name, '{G.TEST_NAME}') AND name IN (SELECT name FROM n WHERE kind NOT IN ('region', 'nation') AND coalesce(file, '') <> '' GROUP BY 1 HAVING count(*) <= 2) ORDER BY degree DESC, file, line, id LIMIT 10""")
 def graph_god_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.god_nodes(M.nodes(spark, sf_dir), M.edges(spark, sf_dir))
 
@@ -126,9 +126,19 @@ def graph_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.blast_radius(M.nodes(spark, sf_dir), M.edges(spark, sf_dir), CHANGED, 2)
 
 
-@query()
+def _path_sql(start: str, goal: str, most: int) -> str:
+    """T.shortest_path() by unrolled rounds: the least path to each new id, until one level has the goal."""
+    out = [f"v AS (SELECT DISTINCT \"at\", \"to\" FROM ({BOTH_SQL}))", f"f0 AS (SELECT '{start}' AS id, ['{start}'] AS path)"]
+    for k in range(1, most + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM f{j}" for j in range(k))
+        out.append(f"f{k} AS (SELECT \"to\" AS id, min(list_append(path, \"to\")) AS path FROM f{k - 1} JOIN v ON v.\"at\" = f{k - 1}.id WHERE \"to\" NOT IN ({seen}) GROUP BY 1)")
+    hits = " UNION ALL ".join(f"SELECT {k} AS hops, path FROM f{k} WHERE id = '{goal}'" for k in range(most + 1))
+    return f"""WITH {E}, {', '.join(out)}, h AS ({hits}), b AS (SELECT path FROM h ORDER BY hops LIMIT 1) SELECT unnest(range(len(path))) AS step, unnest(path) AS id FROM b"""
+
+
+@query(_path_sql("customer:3", "supplier:5", 4))
 def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.shortest_path(M.edges(spark, sf_dir).where("label <> 'uses'"), "customer:3", "supplier:5", 6)
+    return T.shortest_path(M.edges(spark, sf_dir), "customer:3", "supplier:5", 4)
 
 
 ANCHORS = ["part:1", "part:2", "part:3"]
@@ -222,9 +232,12 @@ def graph_state_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("field", F.col("fn").alias("stage")).join(kept.select("field", F.col("fn").alias("other")), "field").where("stage <> other").select("stage", "other", "field")
 
 
-@query(f"""WITH {N} SELECT id, file || ':' || name || CASE WHEN count(*) OVER (PARTITION BY file, name) = 1 THEN '' ELSE '/' || row_number() OVER (PARTITION BY file, name ORDER BY line, id) END AS qualified FROM n WHERE kind = 'part'""")
+@query(f"""WITH {N}, s AS (SELECT *, CASE WHEN kind = 'part' THEN CAST(line % 3 AS VARCHAR) ELSE CAST(line AS VARCHAR) END AS suffix, row_number() OVER (PARTITION BY file, name ORDER BY line, id) AS place FROM n),
+t AS (SELECT *, row_number() OVER (PARTITION BY file, name, suffix, place = 1 ORDER BY line, id) AS nth FROM s)
+SELECT id, CASE WHEN place = 1 THEN 'symbol:' || file || ':' || name WHEN kind IN ('part', 'order') THEN 'symbol:' || file || ':' || name || '/' || suffix || CASE WHEN nth = 1 THEN '' ELSE '@' || line END END AS qualified FROM t""")
 def graph_overload_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.number_overloads(M.nodes(spark, sf_dir).where("kind = 'part'"))
+    arity = F.when(F.col("kind") == "part", F.col("line") % 3)
+    return G.number_overloads(M.nodes(spark, sf_dir).withColumn("arity", arity), ("part", "order"))
 
 
 @query(f"""WITH {U}, d AS (SELECT 'order:' || o_orderkey AS source, CASE WHEN o_orderstatus = 'F' THEN 'rejected' ELSE 'accepted' END AS decision FROM orders WHERE o_orderstatus IN ('F', 'O'))
@@ -238,9 +251,14 @@ def graph_review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.apply_reviews(edges, decisions).groupBy("confidence").agg(F.count("*").alias("relations"))
 
 
-@query(f"""WITH {U} SELECT DISTINCT substr(sha256(source || '|' || target || '|' || label), 1, 16) AS review_key, source, target, label FROM u WHERE confidence = 'AMBIGUOUS' ORDER BY 1 LIMIT 50""")
+@query(f"""WITH {U}, q AS (SELECT DISTINCT substr(sha256(source || chr(0) || target || chr(0) || label || chr(0) || coalesce(file, '') || chr(0) || CASE WHEN coalesce(line, 0) = 0 THEN '' ELSE CAST(line AS VARCHAR) END), 1, 20) AS review_key, source, target, label
+  FROM u WHERE confidence IN ('AMBIGUOUS', 'REVIEWED')) SELECT *, CASE WHEN starts_with(review_key, '0') THEN 'accepted' WHEN starts_with(review_key, '1') THEN 'rejected' END AS decision FROM q""")
 def graph_ambiguity_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.ambiguity_queue(M.uses(spark, sf_dir))
+    """Decisions are given for the keys that start with 0 and 1."""
+    edges = M.uses(spark, sf_dir)
+    keys = edges.select(G.relation_key(*[F.col(c) for c in ("source", "target", "label", "file", "line")]).alias("review_key")).distinct()
+    made = keys.where("review_key < '2'").withColumn("decision", F.when(F.col("review_key").startswith("0"), "accepted").otherwise("rejected"))
+    return G.ambiguity_queue(edges, made).select("review_key", "source", "target", "label", "decision").distinct()
 
 
 @query(f"""WITH {U}, s AS (SELECT 'order:' || (event_id * 3) AS source, 'part:' || user_id AS target FROM events)

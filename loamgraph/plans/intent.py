@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgraph.functions import paths
 from loamgraph.functions import text as X
 from loamgraph.operators import graph as G
 from loamgraph.operators import traverse as T
+from loamgraph.sources.model import STRUCTURAL
 
 #: Intents in the order that breaks ties, with their cues and weights. Fixed values.
 CUES = {
@@ -38,14 +40,22 @@ def classify_intent(text: Column) -> Column:
     return out
 
 
-def concept_search(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Nodes by 100 if the query stands in the name or container, 10 a term, 30 for an equal name; ties by id."""
-    q = query.strip().lower()
-    text = F.lower(F.concat_ws(" ", "name", "container"))
-    score = F.when(text.contains(q), 100).otherwise(0) + F.when(F.lower("name") == q, 30).otherwise(0)
-    for term in sorted(set(q.split())):
-        score = score + F.when(text.contains(term), 10).otherwise(0)
-    return nodes.select("id", "name", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+def concept_terms(query: str) -> list[str]:
+    """The first twelve distinct words of three letters or more of a query in lower case."""
+    return list(dict.fromkeys(t for t in re.findall(r"[\w.]+", query.lower().strip()) if len(t) >= 3))[:12]
+
+
+def concept_search(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 12) -> DataFrame:
+    """Nodes by 100 if the query stands in their text, 10 a term, 30 if a term is the name, and up to 10 for the degree; ties by name and id."""
+    q, terms = query.lower().strip(), concept_terms(query)
+    name = F.lower(F.coalesce("name", F.lit("")))
+    text = F.concat(name, F.lit(" "), F.lower(F.coalesce("container", F.lit(""))))
+    matched = sum((F.when(text.contains(t), 1).otherwise(0) for t in terms), F.lit(0))
+    whole = text.contains(q) if q else F.lit(False)
+    score = F.when(whole, 100).otherwise(0) + 10 * matched + F.when(name.isin(*terms) if terms else F.lit(False), 30).otherwise(0)
+    met = nodes.where(whole | (matched > 0)).select("id", "name", score.alias("score"))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).join(met.select("id"), "id", "left_semi").groupBy("id").agg(F.least(F.lit(10), F.count("*")).alias("links"))
+    return met.join(ends, "id", "left").select("id", "name", (F.col("score") + F.coalesce("links", F.lit(0))).cast("long").alias("score")).orderBy(F.desc("score"), "name", "id").limit(limit)
 
 
 def overview(nodes: DataFrame, edges: DataFrame, limit: int = 12) -> DataFrame:
@@ -69,7 +79,7 @@ def greedy_cover(candidates: dict[str, set[str]], most: int = 20) -> list[str]:
 
 def evidence_package(nodes: DataFrame, edges: DataFrame, query: str, depth: int = 1, budget: int = 400) -> DataFrame:
     """Nodes around the best matches of a query, near ones first, within a token budget: id, name, hop, cost, alias."""
-    seeds = concept_search(nodes, query, 5)
+    seeds = concept_search(nodes, edges, query, 5)
     near = T.hops(T.undirected(edges), seeds, depth).select("id", "hop").join(nodes.select("id", "name", "file"), "id")
     capped = near.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("hop", "id"))).where("place <= 2").orderBy("hop", "id").limit(2 * budget)
     order = Window.partitionBy(F.lit(0)).orderBy("hop", "id")  # at most 2 * budget rows
@@ -78,14 +88,25 @@ def evidence_package(nodes: DataFrame, edges: DataFrame, query: str, depth: int
     return spent.where((F.col("spent") <= budget) | (F.col("n") == 1)).select("id", "name", "hop", "cost", F.concat(F.lit("N"), F.col("n").cast("string")).alias("alias"))
 
 
-def risk_score(impacted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row of an impact (id, hop, confidence): counts, ambiguity and a risk from 0 to 100."""
-    c = impacted.join(nodes.select("id", "file"), "id", "left").agg(
-        F.count_if(F.col("hop") == 1).alias("direct"), F.count_if(F.col("hop") > 1).alias("indirect"), F.count_if(F.col("confidence") == "AMBIGUOUS").alias("ambiguous"),
-        F.count_if(paths.scope(F.col("file")) == "tests").alias("tests"),
-    )
-    risk = F.least(F.lit(100.0), 10 * F.log2(1 + F.col("direct")) + 4 * F.log2(1 + F.col("indirect")) + F.when(F.col("tests") == 0, 15).otherwise(0))
-    return c.withColumn("risk", F.round(risk, 3))
+#: Suffixes of files that count as documents in a change. Fixed values.
+PROSE = (".md", ".txt", ".rst", ".adoc", ".markdown")
+
+
+def risk_score(files: DataFrame, symbols: DataFrame, impacted: DataFrame) -> DataFrame:
+    """One row: the risk of a change, 0 to 100, with its level and factors.
+
+    files: path of each changed file; symbols: signature (whether a changed symbol's signature changed); impacted: hop, label.
+    5 a code file, 2 a document, 12 a changed signature, 3 a direct dependent, 1 a further one, and up to 5 for what is contained.
+    """
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    f = files.agg(F.count_if(~suffix.isin(*PROSE)).alias("code_files"), F.count_if(suffix.isin(*PROSE)).alias("doc_files"))
+    s = symbols.agg(F.count_if(F.col("signature")).alias("signature_changes"))
+    held = F.col("label").isin(*STRUCTURAL)
+    i = impacted.agg(F.count_if((F.col("hop") == 1) & ~held).alias("direct"), F.count_if(held).alias("containment"), F.count_if((F.col("hop") > 1) & ~held).alias("transitive"))
+    c = f.join(F.broadcast(s)).join(F.broadcast(i))  # one-row sides
+    score = 5 * F.col("code_files") + 2 * F.col("doc_files") + 12 * F.col("signature_changes") + 3 * F.col("direct") + F.col("transitive") + F.least(F.lit(5), F.floor(F.col("containment") / 8))
+    c = c.withColumn("score", F.least(F.lit(100), score).cast("long"))
+    return c.withColumn("level", F.when(F.col("score") >= 60, "high").when(F.col("score") >= 25, "medium").otherwise("low"))
 
 
 def validate_package(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from loamgraph.operators import retrieval as R
 from loamgraph.operators import session as O
 from loamgraph.plans.graph_queries import E, N
 from loamgraph.plans.source_queries import TOKEN_SQL
-from loamgraph.plans.text_queries import MEM, MSG
+from loamgraph.plans.text_queries import FOLDED_SQL, MEM, MSG
 from loamgraph.sources import model as M
 
 QUERIES: dict = {}
@@ -69,20 +69,23 @@ def msg_topic_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.messages(spark, sf_dir).groupBy("session").agg(F.count_if(F.col("seq") <= 2).alias("processed"), F.count_if(F.col("seq") > 2).alias("pending"))
 
 
-FACTS = {"greets": ["(?i)the", "(?i)and"], "lists": [r"\.\n"], "numbers": ["[0-9]", "%"]}
+FACTS = {"greets": ["the", "and"], "lists": [r"\.$"], "numbers": ["[0-9]", "%"]}
+FORBIDDEN = {"doubt": ["not", "of"], "digits": ["[0-9]{4}"]}
 
 
 def _grade_sql() -> str:
-    counts = {k: " + ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN 1 ELSE 0 END" for p in ps) for k, ps in FACTS.items()}
-    covered = " + ".join(f"CASE WHEN ({c}) = {len(FACTS[k])} THEN 1 ELSE 0 END" for k, c in counts.items())
-    partial = " + ".join(f"CASE WHEN ({c}) > 0 AND ({c}) < {len(FACTS[k])} THEN 1 ELSE 0 END" for k, c in counts.items())
-    return f"SELECT conv_id * 1000 + turn AS answer_id, CAST({covered} AS BIGINT) AS covered, CAST({partial} AS BIGINT) AS partial, round((({covered}) + 0.5::DOUBLE * ({partial})) / {len(FACTS)}, 6) AS score FROM conversations WHERE role = 'assistant'"
+    hits = lambda ps: " + ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '(?im){p}') THEN 1 ELSE 0 END" for p in ps)
+    covered = " + ".join(f"CASE WHEN ({hits(ps)}) = {len(ps)} THEN 1 ELSE 0 END" for ps in FACTS.values())
+    partial = " + ".join(f"CASE WHEN ({hits(ps)}) > 0 AND ({hits(ps)}) < {len(ps)} THEN 1 ELSE 0 END" for ps in FACTS.values())
+    errors = " + ".join(f"CASE WHEN ({hits(ps)}) = {len(ps)} THEN 1 ELSE 0 END" for ps in FORBIDDEN.values())
+    return f"""WITH g AS (SELECT conv_id * 1000 + turn AS answer_id, CAST({covered} AS BIGINT) AS covered, CAST({partial} AS BIGINT) AS partial, CAST({errors} AS BIGINT) AS factual_errors FROM conversations WHERE role = 'assistant')
+SELECT *, round((covered + 0.5::DOUBLE * partial) / {len(FACTS)}, 4) AS score, round(greatest(0.0::DOUBLE, covered + 0.5::DOUBLE * partial - factual_errors) / {len(FACTS)}, 4) AS adjusted_score FROM g"""
 
 
 @query(_grade_sql())
 def eval_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = M.table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "text")
-    return O.grade(a, FACTS)
+    return O.grade(a, FACTS, FORBIDDEN)
 
 
 @query(f"""WITH {N}, d AS (SELECT file, unnest(list_distinct(string_split(file, '/')[:-2])) AS name FROM n) SELECT name, count(*) AS files FROM d GROUP BY 1 HAVING count(*) * 20 >= (SELECT count(*) FROM n)""")
@@ -113,14 +116,19 @@ def doc_spaced_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(O.spaced_terms(F.col("text")), " ").alias("terms"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations)
-SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)(command|run|execute)') AND NOT regexp_matches(answer, '`[^`]+`') THEN 'command' END,
-  CASE WHEN regexp_matches(text, '(?i)(endpoint|route|url)') AND NOT regexp_matches(answer, '/[a-z]+(/[a-z]+)*') THEN 'endpoint' END,
-  CASE WHEN regexp_matches(text, '(?i)(^|[^a-z])port([^a-z]|$)') AND NOT regexp_matches(answer, '[0-9]{2,5}') THEN 'port' END,
-  CASE WHEN regexp_matches(text, '(?i)(why|reason)') AND NOT regexp_matches(answer, '(?i)because') THEN 'rationale' END], lambda x: x IS NOT NULL), ',') AS missing FROM p WHERE answer IS NOT NULL""")
+def _obligations_sql() -> str:
+    cases = [f"CASE WHEN regexp_matches(asked, '{O.cue_pattern(cues)}') AND NOT regexp_matches(answer, '{shown}') THEN '{k}' END" for k, (cues, shown) in O.OBLIGATIONS.items()]
+    return f"""WITH p AS (SELECT conv_id, turn, {FOLDED_SQL.format("text")} AS asked, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations
+  UNION ALL SELECT -1, doc_id, {FOLDED_SQL.format("text")}, substr(text, 1, 200) FROM documents)
+SELECT conv_id, turn, array_to_string(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL), ',') AS missing FROM p WHERE answer IS NOT NULL"""
+
+
+@query(_obligations_sql())
 def msg_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = M.table(spark, sf_dir, "conversations").withColumn("answer", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("answer is not null")
-    return c.select("conv_id", "turn", F.array_join(O.obligations(F.col("text"), F.col("answer")), ",").alias("missing"))
+    """Requests and the answers after them; every document stands for a request that its own start answers."""
+    c = M.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("answer"))
+    d = M.table(spark, sf_dir, "documents").select(F.lit(-1).cast("long").alias("conv_id"), F.col("doc_id").alias("turn"), "text", F.substring("text", 1, 200).alias("answer"))
+    return c.unionByName(d).where("answer is not null").select("conv_id", "turn", F.array_join(O.obligations(F.col("text"), F.col("answer")), ",").alias("missing"))
 
 
 @query("""WITH o AS (SELECT p_type || p_brand AS contract, 'part:' || p_partkey AS id FROM part), n AS (SELECT contract, count(*) AS n FROM o GROUP BY 1), c AS (SELECT o_orderkey AS call_id, p_type || p_brand AS contract FROM orders JOIN part ON o_orderkey % 500 = p_partkey)
@@ -167,7 +175,7 @@ def graph_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("label").agg(F.count("*").alias("relations"), F.count_distinct("source").alias("sources"), F.count_distinct("target").alias("targets"))
 
 
-@query(f"""WITH {MEM} SELECT kind, status, count(*) AS memories, count(DISTINCT digest) AS texts, CAST(sum(strlen(content) // 4) AS BIGINT) AS tokens FROM m GROUP BY ALL""")
+@query(f"""WITH {MEM} SELECT kind, status, count(*) AS memories, count(DISTINCT digest) AS texts, CAST(sum(greatest(1, strlen(content) // 4)) AS BIGINT) AS tokens FROM m GROUP BY ALL""")
 def doc_memory_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = M.memories(spark, sf_dir)
     return m.groupBy("kind", "status").agg(F.count("*").alias("memories"), F.count_distinct("digest").alias("texts"), F.sum(X.token_estimate(F.col("content"))).alias("tokens"))

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from loamgraph.functions import text as X
 from loamgraph.functions.lineage import shared_dir
 from loamgraph.operators import graph as G
+from loamgraph.operators import impact as P
 from loamgraph.operators import retrieval as R
 from loamgraph.operators import source as S
 from loamgraph.operators import traverse as T
 from loamgraph.plans import intent as I
-from loamgraph.plans.graph_queries import CHANGED, E, N, VIEW_SQL, _rounds_sql
+from loamgraph.plans.graph_queries import BOTH_SQL, CHANGED, E, N, _rounds_sql
 from loamgraph.sources import model as M
 from loamgraph.streaming import tail
 
@@ -97,10 +98,18 @@ def msg_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.table(spark, sf_dir, "conversations").select(I.classify_intent(F.col("text")).alias("intent")).groupBy("intent").agg(F.count("*").alias("messages"))
 
 
-@query(f"""WITH {N} SELECT id, name, score FROM (SELECT id, name, CASE WHEN contains(lower(name || ' ' || container), 'red ring') THEN 100 ELSE 0 END + CASE WHEN lower(name) = 'red ring' THEN 30 ELSE 0 END
-  + CASE WHEN contains(lower(name || ' ' || container), 'red') THEN 10 ELSE 0 END + CASE WHEN contains(lower(name || ' ' || container), 'ring') THEN 10 ELSE 0 END AS score FROM n) WHERE score > 0 ORDER BY score DESC, id LIMIT 10""")
+def _concept_sql(query: str, limit: int) -> str:
+    terms = I.concept_terms(query)
+    matched = " + ".join(f"CASE WHEN contains(t, '{x}') THEN 1 ELSE 0 END" for x in terms)
+    listed = ", ".join(f"'{x}'" for x in terms)
+    return f"""x AS (SELECT *, lower(name) || ' ' || lower(coalesce(container, '')) AS t FROM n), g AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1),
+y AS (SELECT *, {matched} AS k, contains(t, '{query}') AS w FROM x), z AS (SELECT id, name, CASE WHEN w THEN 100 ELSE 0 END + 10 * k + CASE WHEN lower(name) IN ({listed}) THEN 30 ELSE 0 END + least(10, coalesce(degree, 0)) AS score
+  FROM y LEFT JOIN g USING (id) WHERE w OR k > 0), found AS (SELECT * FROM z ORDER BY score DESC, name, id LIMIT {limit})"""
+
+
+@query(f"WITH {N}, {E}, {_concept_sql('red ring', 12)} SELECT * FROM found")
 def graph_concept_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.concept_search(M.nodes(spark, sf_dir), "red ring")
+    return I.concept_search(M.nodes(spark, sf_dir), M.edges(spark, sf_dir), "red ring")
 
 
 @query(f"""WITH {N}, {E}, d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1),
@@ -109,17 +118,52 @@ def graph_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.overview(M.nodes(spark, sf_dir), M.edges(spark, sf_dir)).select("id", "kind", "degree", F.col("turn").cast("long").alias("turn"))
 
 
-@query()
+@query(f"""WITH {N}, {E}, {_concept_sql('red ring', 5)}, v AS ({BOTH_SQL}),
+h AS (SELECT id, min(hop) AS hop FROM (SELECT id, 0 AS hop FROM found UNION ALL SELECT "to", 1 FROM v JOIN found ON found.id = v."at") GROUP BY 1),
+c AS (SELECT id, name, hop, greatest(1, strlen('{{"id":"' || id || '","name":"' || name || '","file":"' || file || '"}}') // 4) + 1 AS cost, row_number() OVER (PARTITION BY name ORDER BY hop, id) AS place FROM h JOIN n USING (id)),
+s AS (SELECT *, sum(cost) OVER w AS spent, row_number() OVER w AS k FROM c WHERE place <= 2 WINDOW w AS (ORDER BY hop, id ROWS UNBOUNDED PRECEDING))
+SELECT id, name, hop, cost, 'N' || k AS alias FROM s WHERE spent <= 400 OR k = 1""")
 def graph_evidence_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.evidence_package(M.nodes(spark, sf_dir), M.edges(spark, sf_dir), "red ring")
 
 
-@query(f"""WITH {N}, {E}, {_rounds_sql(VIEW_SQL, 2, CHANGED)}, c AS (SELECT count(*) FILTER (hop = 1) AS direct, count(*) FILTER (hop > 1) AS indirect, count(*) FILTER (confidence = 'AMBIGUOUS') AS ambiguous,
-  count(*) FILTER (starts_with(n.file, 'tests/')) AS tests FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) h LEFT JOIN n ON n.id = h.id)
-SELECT *, round(least(100.0::DOUBLE, 10 * log2(1 + direct) + 4 * log2(1 + indirect) + CASE WHEN tests = 0 THEN 15 ELSE 0 END), 3) AS risk FROM c""")
+#: How a change spreads: to consumers, into what is contained, both ways along other relations.
+SPREAD_SQL = """SELECT target AS "at", source AS "to", label, confidence FROM e WHERE label <> 'contains' UNION ALL SELECT source, target, label, confidence FROM e WHERE label NOT IN ('uses', 'creates')"""
+
+
+@query(f"""WITH {N}, {E}, {_rounds_sql(SPREAD_SQL, 3, CHANGED)}, s AS (SELECT file, line % 7 = 0 AS signature FROM n WHERE lower(name) = '{CHANGED}'),
+h AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3 WHERE (SELECT bool_or(signature) FROM s)),
+c AS (SELECT (SELECT count(DISTINCT file) FROM s) AS code_files, 0 AS doc_files, (SELECT count(*) FILTER (signature) FROM s) AS signature_changes, count(*) FILTER (hop = 1 AND label <> 'contains') AS direct,
+  count(*) FILTER (label = 'contains') AS containment, count(*) FILTER (hop > 1 AND label <> 'contains') AS transitive FROM h), r AS (SELECT *, CAST(least(100, 5 * code_files + 12 * signature_changes + 3 * direct + transitive + least(5, containment // 8)) AS BIGINT) AS score FROM c)
+SELECT *, CASE WHEN score >= 60 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM r""")
 def graph_impact_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The risk of a change to all definitions of a name; every seventh line's signature counts as changed."""
     n = M.nodes(spark, sf_dir)
-    return I.risk_score(T.blast_radius(n, M.edges(spark, sf_dir), CHANGED, 2), n)
+    symbols = n.where(F.lower("name") == CHANGED).select("id", "file", (F.col("line") % 7 == 0).alias("signature"))
+    depth = P.depth(symbols)
+    return I.risk_score(symbols.select(F.col("file").alias("path")).distinct(), symbols, P.spread(M.edges(spark, sf_dir), symbols, depth))
+
+
+DIFF_SQL = """SELECT p_size AS diff, p_partkey * 10 + k AS no, CASE k WHEN 1 THEN '+++ b/src/' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.json' ELSE '.png' END
+  WHEN 2 THEN '@@ -1,2 +' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ',' || (p_partkey % 3) END || ' @@' WHEN 3 THEN CASE WHEN p_partkey % 3 = 0 THEN '+def part(x):' ELSE '+x = 1' END ELSE '-old line' END AS line
+  FROM part, (SELECT unnest([1, 2, 3, 4]) AS k)"""
+
+
+@query(f"""WITH l AS ({DIFF_SQL}), f AS (SELECT *, last_value(CASE WHEN starts_with(line, '+++ b/') THEN substr(line, 7) END IGNORE NULLS) OVER (PARTITION BY diff ORDER BY no ROWS UNBOUNDED PRECEDING) AS file FROM l),
+g AS (SELECT diff, file, string_agg(substr(line, 2), chr(10) ORDER BY no) FILTER (regexp_matches(line, '^[+-]') AND NOT regexp_matches(line, '^([+][+][+]|---)')) AS changed,
+  max(TRY_CAST(regexp_extract(line, '^@@.*?[+]([0-9]+)', 1) AS BIGINT)) FILTER (starts_with(line, '@@')) AS lo, max(TRY_CAST(coalesce(nullif(regexp_extract(line, '^@@.*?[+][0-9]+,([0-9]+)', 1), ''), '1') AS BIGINT)) FILTER (starts_with(line, '@@')) AS n FROM f GROUP BY 1, 2),
+t AS (SELECT *, list_filter([CASE WHEN ends_with(file, '.png') THEN 'asset' END, CASE WHEN ends_with(file, '.json') THEN 'configuration' END, CASE WHEN ends_with(file, '.md') THEN 'documentation' END,
+  CASE WHEN contains(changed, 'def part(') THEN 'signature' END], lambda x: x IS NOT NULL) AS ts FROM g)
+SELECT diff, file, CASE WHEN n = 0 THEN '' ELSE lo || '-' || (lo + n - 1) END AS ranges, CASE WHEN len(ts) = 0 THEN 'logic' ELSE array_to_string(ts, ',') END AS types FROM t""")
+def graph_diff_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diffs made of the parts of each size: a file a part, with one hunk."""
+    key, k = F.col("p_partkey"), F.col("k")
+    suffix = F.when(key % 4 == 0, ".py").when(key % 4 == 1, ".md").when(key % 4 == 2, ".json").otherwise(".png")
+    hunk = F.concat(F.lit("@@ -1,2 +"), key.cast("string"), F.when(key % 5 == 0, "").otherwise(F.concat(F.lit(","), (key % 3).cast("string"))), F.lit(" @@"))
+    line = F.when(k == 1, F.concat(F.lit("+++ b/src/"), key.cast("string"), suffix)).when(k == 2, hunk).when(k == 3, F.when(key % 3 == 0, "+def part(x):").otherwise("+x = 1")).otherwise("-old line")
+    lines = M.table(spark, sf_dir, "part").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4)))).select(F.col("p_size").alias("diff"), (key * 10 + k).alias("no"), line.alias("line"))
+    ranges = F.array_join(F.transform("ranges", lambda r: F.concat(r["lo"].cast("string"), F.lit("-"), r["hi"].cast("string"))), ",")
+    return P.diff_files(lines).select("diff", "file", ranges.alias("ranges"), F.array_join("types", ",").alias("types"))
 
 
 @query(f"WITH {N}, {E} SELECT count(*) AS edges, count(*) FILTER (source NOT IN (SELECT id FROM n) OR target NOT IN (SELECT id FROM n)) AS dangling, count(*) FILTER (file IS NULL OR line IS NULL) AS unlocated, count(*) FILTER (confidence = 'AMBIGUOUS') AS ambiguous FROM e")

@@ -67,13 +67,14 @@ def hist_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.retained(M.observations(spark, sf_dir), as_of, 20, F.col("action") == "purchase").groupBy("action", "kept").agg(F.count("*").alias("events"))
 
 
-@query(f"""WITH {OBS}, s AS (SELECT session AS node, CASE action WHEN 'purchase' THEN 1.0 WHEN 'error' THEN -1.0 ELSE 0.5 END::DOUBLE AS value, ts FROM o WHERE action IN ('purchase', 'error', 'signup')),
-t AS (SELECT node, round(sum(value * pow(0.5::DOUBLE, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 86400000000.0::DOUBLE / 30.0::DOUBLE)), 4) AS score, count(*) AS signals FROM s GROUP BY 1)
-SELECT *, CASE WHEN score > 0.5 THEN 'preferred' WHEN score < -0.5 THEN 'avoid' ELSE 'neutral' END AS label FROM t""")
+@query(f"""WITH {OBS}, s AS (SELECT session AS node, CASE action WHEN 'purchase' THEN 1.0 WHEN 'click' THEN -0.75 ELSE -1.0 END::DOUBLE AS value, ts, value < 20 AS stale FROM o WHERE action IN ('purchase', 'click', 'error')),
+t AS (SELECT node, round(sum(value * round(pow(0.5::DOUBLE, greatest(0.0::DOUBLE, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 86400000000.0::DOUBLE) / 30.0::DOUBLE), 4)), 4) AS score,
+  count(*) AS signals, count(*) FILTER (stale) AS stale_signals FROM s GROUP BY 1)
+SELECT *, CASE WHEN score >= 0.5 THEN 'preferred' WHEN score <= -0.5 THEN 'contested' ELSE 'tentative' END AS label FROM t""")
 def hist_learning_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = M.observations(spark, sf_dir).where("action in ('purchase', 'error', 'signup')")
-    signals = o.select(F.col("session").alias("node"), F.when(F.col("action") == "purchase", 1.0).when(F.col("action") == "error", -1.0).otherwise(0.5).alias("value"), "ts")
-    return Y.learning_overlay(signals, F.lit(AS_OF).cast("timestamp_ntz"))
+    o = M.observations(spark, sf_dir).where("action in ('purchase', 'click', 'error')")
+    outcome = F.when(F.col("action") == "purchase", "useful").when(F.col("action") == "click", "dead_end").otherwise("corrected")
+    return Y.learning_overlay(o.select(F.col("session").alias("node"), outcome.alias("outcome"), "ts", (F.col("value") < 20).alias("stale")), F.lit(AS_OF).cast("timestamp_ntz"))
 
 
 @query(f"""WITH {OBS}, l AS (SELECT *, last_value(CASE WHEN action = 'signup' THEN id END IGNORE NULLS) OVER w AS pid, last_value(CASE WHEN action = 'signup' THEN ts END IGNORE NULLS) OVER w AS pts FROM o
@@ -124,7 +125,7 @@ def msg_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.window_around(m, m.where("seq = 3")).select("session", "seq", F.col("distance").cast("long").alias("distance"))
 
 
-@query(f"""WITH {MSG}, r AS (SELECT session, seq, strlen(content) // 4 AS cost, sum(strlen(content) // 4) OVER w AS spent, count(*) OVER w AS position FROM m WINDOW w AS (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING))
+@query(f"""WITH {MSG}, r AS (SELECT session, seq, greatest(1, strlen(content) // 4) AS cost, sum(greatest(1, strlen(content) // 4)) OVER w AS spent, count(*) OVER w AS position FROM m WINDOW w AS (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING))
 SELECT session, seq, cost, CAST(spent AS BIGINT) AS spent FROM r WHERE spent <= 600 OR position = 1""")
 def msg_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.budget_prefix(M.messages(spark, sf_dir), "session", ["seq"], X.token_estimate(F.col("content")), 600).select("session", "seq", "cost", "spent")
@@ -136,19 +137,31 @@ def msg_sessions_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.page(s, [F.desc("messages"), "session"], 10, 20)
 
 
-@query(f"""WITH {MSG} SELECT session, seq, regexp_matches(content, '{X.PROPOSED}') AS p, CASE WHEN regexp_matches(content, '{X.PROPOSED}') THEN 'proposed' WHEN regexp_matches(content, '{X.OBSERVED}') THEN 'observed' ELSE 'historical' END AS state FROM m""")
+def _cues_sql(cues: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains(t, '{c}')" for c in cues)
+
+
+FOLDED_SQL = f"translate(lower(coalesce({{}}, '')), '{X.ACCENTS[0]}', '{X.ACCENTS[1]}')"
+
+
+@query(f"""WITH {MSG}, c AS (SELECT session, seq, {FOLDED_SQL.format('content')} AS t FROM m UNION ALL SELECT doc_id, -1, {FOLDED_SQL.format('text')} FROM documents)
+SELECT session, seq, CASE WHEN {_cues_sql(X.PROPOSED)} THEN 'proposed' WHEN {_cues_sql(X.OBSERVED)} THEN 'observed' ELSE 'historical' END AS state FROM c""")
 def msg_evidence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.messages(spark, sf_dir).select("session", "seq", F.col("content").rlike(X.PROPOSED).alias("p"), X.evidence_state(F.col("content")).alias("state"))
+    d = M.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session"), F.lit(-1).cast("long").alias("seq"), F.col("text").alias("content"))
+    return M.messages(spark, sf_dir).select("session", "seq", "content").unionByName(d).select("session", "seq", X.evidence_state(F.col("content")).alias("state"))
 
 
-@query(f"""WITH {MSG}, t AS (SELECT session, seq, rtrim(content, E' ') AS t FROM m WHERE role = 'assistant')
-SELECT session, seq, length(t) < 40 OR NOT regexp_matches(t, '[.!?:)\\]`"'']$') OR length(t) - length(replace(t, '(', '')) > length(t) - length(replace(t, ')', ''))
-  OR ((length(t) - length(replace(t, '```', ''))) // 3) % 2 = 1 AS incomplete FROM t""")
+@query(f"""WITH {MSG}, t AS (SELECT session, seq, regexp_replace(coalesce(content, ''), '^\\s+|\\s+$', '', 'g') AS t FROM m WHERE role = 'assistant'),
+r AS (SELECT session, seq, list_filter([CASE WHEN length(t) < 40 THEN 'too_short' END, CASE WHEN t <> '' AND contains(',:;-(', right(t, 1)) THEN 'trailing_fragment' END,
+  CASE WHEN ((length(t) - length(replace(t, '```', ''))) // 3) % 2 = 1 THEN 'unclosed_code_fence' END,
+  CASE WHEN length(t) - length(replace(t, '(', '')) > length(t) - length(replace(t, ')', '')) THEN 'unclosed_parenthesis' END], lambda x: x IS NOT NULL) AS r FROM t)
+SELECT session, seq, len(r) > 0 AS incomplete, array_to_string(r, ',') AS reasons FROM r""")
 def msg_incomplete_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.messages(spark, sf_dir).where("role = 'assistant'").select("session", "seq", X.incomplete(F.col("content")).alias("incomplete"))
+    c = F.col("content")
+    return M.messages(spark, sf_dir).where("role = 'assistant'").select("session", "seq", X.incomplete(c).alias("incomplete"), F.array_join(X.incomplete_reasons(c), ",").alias("reasons"))
 
 
-@query(f"WITH {MSG} SELECT agent, role, count(*) AS messages, CAST(sum(strlen(content) // 4) AS BIGINT) AS tokens FROM m GROUP BY ALL")
+@query(f"WITH {MSG} SELECT agent, role, count(*) AS messages, CAST(sum(greatest(1, strlen(content) // 4)) AS BIGINT) AS tokens FROM m GROUP BY ALL")
 def msg_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.messages(spark, sf_dir).groupBy("agent", "role").agg(F.count("*").alias("messages"), F.sum(X.token_estimate(F.col("content"))).alias("tokens"))
 
@@ -159,11 +172,16 @@ def msg_idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("session", "role", "digest").agg(F.min("seq").alias("seq"), F.count("*").alias("copies")).where("copies > 1").select("session", "role", "seq", "copies")
 
 
-@query(f"""WITH {MSG}, r AS (SELECT session, seq, content, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS k FROM m) SELECT session, string_agg(substr(content, 1, 600), chr(10) ORDER BY seq) AS handoff FROM r WHERE k <= 12 GROUP BY 1""")
+#: The first line of a handoff. Fixed value.
+HANDOFF = "Handoff determinista de la sesión:"
+
+
+@query(f"""WITH {MSG}, r AS (SELECT session, seq, role, content, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS k FROM m)
+SELECT session, '{HANDOFF}' || chr(10) || string_agg(role || ': ' || substr(content, 1, 600), chr(10) ORDER BY seq) AS handoff FROM r WHERE k <= 12 GROUP BY 1""")
 def msg_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = R.best_per_group(M.messages(spark, sf_dir), ["session"], [F.desc("seq")], 12)
-    parts = F.array_sort(F.collect_list(F.struct("seq", F.substring("content", 1, 600).alias("c"))))
-    return last.groupBy("session").agg(F.array_join(F.transform(parts, lambda p: p["c"]), "\n").alias("handoff"))
+    parts = F.array_sort(F.collect_list(F.struct("seq", F.concat("role", F.lit(": "), F.substring("content", 1, 600)).alias("c"))))
+    return last.groupBy("session").agg(F.concat(F.lit(HANDOFF + "\n"), F.array_join(F.transform(parts, lambda p: p["c"]), "\n")).alias("handoff"))
 
 
 # --- documents and memories --------------------------------------------------------------------------------
@@ -225,19 +243,27 @@ def doc_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.visible(M.memories(spark, sf_dir), "src3", ["src1", "src2", "src3"], restricted=True).select("id", "agent", "status")
 
 
-@query(f"""WITH {MEM}, c AS (SELECT digest, count(*) AS copies FROM m GROUP BY 1)
-SELECT policy, count(*) AS memories FROM (SELECT CASE WHEN status IN ('quarantined', 'deleted') THEN 'never' WHEN status = 'contested' THEN 'only_with_dispute' WHEN scope = 'private' THEN 'owner_only'
-  WHEN status = 'verified' AND copies > 1 THEN 'corroborated' WHEN status = 'verified' THEN 'verified' ELSE 'as_observation' END AS policy FROM m JOIN c USING (digest)) GROUP BY 1""")
+@query(f"""WITH {MEM}, x AS (SELECT *, id % 11 = 0 AS stale, id % 13 = 0 AS missing, CASE id % 17 WHEN 1 THEN 'failed' WHEN 2 THEN 'cancelled' WHEN 3 THEN 'timeout' ELSE 'ok' END AS outcome, id % 5 <> 0 AS observed,
+  CASE WHEN id % 7 = 0 THEN 'integrity_verified' END AS level, id % 3 <> 0 AS metrics, id % 4 <> 0 AS evidence, CASE WHEN id % 2 = 0 THEN 'benchmark' END AS evidence_type FROM m)
+SELECT policy, count(*) AS memories FROM (SELECT CASE WHEN stale THEN 'stale' WHEN missing THEN 'evidence_missing' WHEN status = 'contested' THEN 'contested' WHEN status = 'proposed' THEN 'proposed_only'
+  WHEN outcome = 'failed' THEN 'execution_failed' WHEN outcome = 'cancelled' THEN 'execution_cancelled' WHEN outcome = 'timeout' THEN 'execution_timeout'
+  WHEN NOT observed OR coalesce(level, CASE WHEN status = 'verified' THEN 'verified' ELSE 'imported_report' END) IN ('imported_report', 'integrity_verified', 'execution_declared') THEN 'imported_only'
+  WHEN status <> 'verified' OR NOT metrics THEN 'historical_only' WHEN NOT evidence THEN 'unsupported' WHEN evidence_type = 'benchmark' THEN 'verified_measured' ELSE 'verified_fact' END AS policy FROM x) GROUP BY 1""")
 def doc_claim_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = M.memories(spark, sf_dir)
-    c = m.groupBy("digest").agg(F.count("*").alias("copies"))
-    return m.join(c, "digest").select(Y.claim_policy(F.col("status"), F.col("scope") == "private", F.col("copies")).alias("policy")).groupBy("policy").agg(F.count("*").alias("memories"))
+    i = F.col("id")
+    facts = {
+        "stale": i % 11 == 0, "missing_dependencies": i % 13 == 0, "execution_outcome": F.when(i % 17 == 1, "failed").when(i % 17 == 2, "cancelled").when(i % 17 == 3, "timeout").otherwise("ok"),
+        "execution_observed": i % 5 != 0, "verification_level": F.when(i % 7 == 0, "integrity_verified"), "verified_metrics": i % 3 != 0, "evidence": i % 4 != 0, "evidence_type": F.when(i % 2 == 0, "benchmark"),
+    }
+    return M.memories(spark, sf_dir).select(Y.claim_policy(F.col("status"), **facts).alias("policy")).groupBy("policy").agg(F.count("*").alias("memories"))
 
 
 def _redacted_sql(column: str) -> str:
     out = column
-    for _, p in X.SECRETS:
-        out = f"regexp_replace({out}, '{p}', '[REDACTED]', 'g')"
+    for p, to in X.SECRETS:
+        quoted = p.replace("'", "''")
+        to = to.replace("$1", r"\1")
+        out = f"regexp_replace({out}, '{quoted}', '{to}', 'g')"
     return out
 
 
@@ -248,7 +274,7 @@ def doc_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents),
-r AS (SELECT *, sum(strlen(line) // 4 + 1) OVER (PARTITION BY doc_id ORDER BY no) AS t FROM l) SELECT doc_id, CAST(floor((t - 1) / 128) AS BIGINT) AS chunk, min(no) AS first_line, max(no) AS last_line FROM r GROUP BY ALL""")
+r AS (SELECT *, sum(greatest(1, strlen(line) // 4) + 1) OVER (PARTITION BY doc_id ORDER BY no) AS t FROM l) SELECT doc_id, CAST(floor((t - 1) / 128) AS BIGINT) AS chunk, min(no) AS first_line, max(no) AS last_line FROM r GROUP BY ALL""")
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 
 from pyspark.sql import functions as F
 
 from loamgraph.functions import paths
 from loamgraph.operators import graph as G
+from loamgraph.operators import impact as P
 from loamgraph.operators import traverse as T
 from loamgraph.plans import intent as I
 
@@ -112,3 +114,51 @@ def test_reviews_and_types(spark):
     side = spark.createDataFrame([("a", "b", "uses"), ("a", "nope", "uses")], "source string, target string, label string")
     good, bad = G.merge_typed(e, side, nodes(spark, "abc"))
     assert good.where("confidence = 'TYPED'").count() == 1 and bad.count() == 1
+
+
+def test_god_nodes_leave_out_tests_containers_and_homonyms(spark):
+    rows = [("a", "symbol", "run", "src/a.py", 1), ("b", "symbol", "testRun", "src/b.py", 1), ("c", "region", "run", "src/c.py", 1), ("d", "symbol", "run", "src/d.py", None), ("e", "symbol", "go", "tests/e.py", 1), ("f", "symbol", "go", None, 1)]
+    n = spark.createDataFrame(rows, "id string, kind string, name string, file string, line long")
+    e = edges(spark, [(x, y, "uses", "EXTRACTED", "f", 1, 1) for x in "abcdef" for y in "abcdef" if x < y])
+    assert [r["id"] for r in G.god_nodes(n, e).collect()] == ["a"]
+
+
+def test_overloads_are_plain_then_by_arity_then_by_line(spark):
+    rows = [("1", "method", "f", "x", 1, 2), ("2", "method", "f", "x", 5, 2), ("3", "method", "f", "x", 9, 2), ("4", "method", "f", "x", 12, None), ("5", "class", "f", "x", 20, None), ("6", "method", "f", "y", 3, 0)]
+    n = spark.createDataFrame(rows, "id string, kind string, file string, name string, line long, arity int")
+    got = {r["id"]: r["qualified"] for r in G.number_overloads(n).collect()}
+    assert got == {"1": "symbol:f:x", "2": "symbol:f:x/2", "3": "symbol:f:x/2@9", "4": "symbol:f:x/12", "5": None, "6": "symbol:f:y"}
+
+
+def test_ambiguity_queue_has_reviewed_edges_and_decisions(spark):
+    e = edges(spark, [("a", "b", "uses", "ambiguous", "f", 1, 2), ("a", "c", "uses", "REVIEWED", None, 0, 2), ("a", "d", "uses", "EXTRACTED", "f", 1, 1)])
+    key = hashlib.sha256(b"a\0c\0uses\0\0").hexdigest()[:20]
+    got = {r["target"]: (r["review_key"], r["decision"]) for r in G.ambiguity_queue(e, spark.createDataFrame([(key, "accepted")], "review_key string, decision string")).collect()}
+    assert got == {"b": (hashlib.sha256(b"a\0b\0uses\0f\x001").hexdigest()[:20], None), "c": (key, "accepted")}
+
+
+def test_risk_of_a_change(spark):
+    files = spark.createDataFrame([("src/a.py",), ("src/b",), ("README.MD",)], "path string")
+    symbols = spark.createDataFrame([("a", True), ("b", False)], "id string, signature boolean")
+    hit = spark.createDataFrame([(1, "uses")] * 3 + [(2, "uses")] * 4 + [(1, "contains")] * 17, "hop int, label string")
+    r = I.risk_score(files, symbols, hit).first()
+    assert (r["code_files"], r["doc_files"], r["direct"], r["transitive"], r["containment"]) == (2, 1, 3, 4, 17) and r["score"] == 10 + 2 + 12 + 9 + 4 + 2 and r["level"] == "medium"
+    none = I.risk_score(files.limit(0), symbols.limit(0), hit.limit(0)).first()
+    assert none["score"] == 0 and none["level"] == "low"
+
+
+def test_diffs_and_spread(spark):
+    text = ["diff --git", "--- a/x.py", "+++ b/x.py", "@@ -1 +3 @@", "+def f(a):", "@@ -9,2 +8,0 @@", "-gone", "@@ -20,0 +18,3 @@ f", "+++ b/d.MD", "@@ -1 +1 @@", "+words"]
+    files = {r["file"]: r for r in P.diff_files(spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "diff int, no int, line string")).collect()}
+    assert [tuple(x) for x in files["x.py"]["ranges"]] == [(3, 3), (18, 20)] and files["x.py"]["types"] == ["signature"] and files["d.MD"]["types"] == ["documentation"]
+    e = edges(spark, [("user", "f", "uses", "EXTRACTED", "f", 1, 1), ("f", "used", "uses", "EXTRACTED", "f", 1, 1), ("box", "f", "contains", "EXTRACTED", "f", 1, 1), ("f", "inner", "contains", "EXTRACTED", "f", 1, 1), ("far", "user", "uses", "EXTRACTED", "f", 1, 1)])
+    seeds = spark.createDataFrame([("f", False)], "id string, signature boolean")
+    assert P.depth(seeds) == 2 and P.depth(seeds.withColumn("signature", F.lit(True))) == 3
+    assert sorted((r["id"], r["hop"]) for r in P.spread(e, seeds, 2).collect()) == [("far", 2), ("inner", 1), ("user", 1)]
+
+
+def test_concept_search_scores(spark):
+    n = spark.createDataFrame([("1", "red ring", "box"), ("2", "ring", "box"), ("3", "blue", "red box"), ("4", "blue", "box")], "id string, name string, container string")
+    e = edges(spark, [("2", str(k), "uses", "EXTRACTED", "f", 1, 1) for k in range(10, 25)])
+    assert [(r["id"], r["score"]) for r in I.concept_search(n, e, " Red RING of ").collect()] == [("2", 50), ("1", 20), ("3", 10)]
+    assert [(r["id"], r["score"]) for r in I.concept_search(n, e, "red ring").collect()] == [("1", 120), ("2", 50), ("3", 10)] and I.concept_search(n, e, "of").count() == 0

@@ -35,11 +35,12 @@ def test_spaced_terms(spark):
 
 
 def test_grade_and_obligations(spark):
-    a = spark.createDataFrame([(1, "run `x` on port 8080 because yes"), (2, "no"), (3, None)], "answer_id int, text string")
-    got = {r["answer_id"]: (r["covered"], r["partial"], r["score"]) for r in O.grade(a, {"p": ["port", "80"], "q": ["because", "zzz"]}).collect()}
-    assert got == {1: (1, 1, 0.75), 2: (0, 0, 0.0), 3: (0, 0, 0.0)}
-    df = spark.createDataFrame([("Why run it on a port?", "just `do` it")], "q string, a string")
-    assert df.select(O.obligations(F.col("q"), F.col("a"))).first()[0] == ["port", "rationale"]
+    a = spark.createDataFrame([(1, "Run `x` on PORT 8080 because yes"), (2, "no"), (3, None)], "answer_id int, text string")
+    rows = O.grade(a, {"p": ["port", "80"], "q": ["because", "zzz"]}, {"f": ["yes", "^run"], "g": ["no$"]}).collect()
+    got = {r["answer_id"]: (r["covered"], r["partial"], r["score"], r["factual_errors"], r["adjusted_score"]) for r in rows}
+    assert got == {1: (1, 1, 0.75, 1, 0.25), 2: (0, 0, 0.0, 1, 0.0), 3: (0, 0, 0.0, 0, 0.0)}
+    df = spark.createDataFrame([("¿Qué comando y qué PUERTO usó, y por qué?", "`git push` a :8080"), ("portable hostess", "x"), ("backend and url?", "see http://localhost:80"), ("modo?", None)], "q string, a string")
+    assert [r[0] for r in df.select(O.obligations(F.col("q"), F.col("a"))).collect()] == [["rationale"], [], [], ["mode"]]
 
 
 def test_linearisation(spark):
