@@ -1,4 +1,4 @@
-"""Cutting lineage between rounds of an iteration."""
+"""Cutting lineage between rounds of an iteration, and the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -7,18 +7,23 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed to the folder that all executors share; one is set here only where none is set (tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loamgraph-"))
-    return df.checkpoint()
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made here only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir or the context's checkpoint folder.
+
+    Where neither is set, one is made in a local session (tests); on a cluster that is an error, as no other machine
+    would see it.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="loamgraph-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='loamgraph-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed to the shared folder."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

@@ -214,6 +214,34 @@ def stream_action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "events")
 
 
+@query("""WITH l AS (SELECT DISTINCT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN 'n' || turn END AS id FROM conversations WHERE conv_id % 7 <> 0)
+SELECT role, count(*) AS messages, count(id) AS with_id FROM l GROUP BY 1""")
+def stream_tail_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON lines, taken in twice from a growing folder, with repeats, broken and blank lines; each message once."""
+    base = f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}"
+    c = M.table(spark, sf_dir, "conversations").where("conv_id % 7 <> 0")
+    fields = F.struct(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), "role", F.coalesce("text", F.lit("")).alias("content"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("n"), F.col("turn").cast("string"))).alias("id"))
+    lines = c.select(F.to_json(fields).alias("value"))
+    broken = spark.createDataFrame([("{\"session\": \"1\"}",), ("not json",), (" ",)], "value string")
+    lines.where("hash(value) % 2 = 0").unionByName(broken).write.mode("append").text(f"{base}/in")
+    tail.tail_json_lines(spark, f"{base}/in", f"{base}/table", f"{base}/state")
+    lines.write.mode("append").text(f"{base}/in")
+    tail.tail_json_lines(spark, f"{base}/in", f"{base}/table", f"{base}/state")
+    return spark.read.parquet(f"{base}/table").groupBy("role").agg(F.count("*").alias("messages"), F.count("id").alias("with_id"))
+
+
+@query(f"""WITH m AS (SELECT session, seq, greatest(1, strlen(content) // 4) AS cost FROM ({M.MESSAGES_SQL})) SELECT session, max(seq) AS last_seq, count(*) AS messages FROM m GROUP BY 1""")
+def stream_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compaction cursor of every session after all messages came as a stream."""
+    base = f"{shared_dir(spark)}/cursor-{uuid.uuid4().hex}"
+    M.messages(spark, sf_dir).select("session", "seq", "content").write.parquet(f"{base}/in")
+    rows = spark.readStream.schema("session long, seq long, content string").parquet(f"{base}/in")
+    cursors = tail.stream_cursor(rows)
+    cursors.writeStream.outputMode("update").foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{base}/out")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{base}/out").groupBy("session").agg(F.max_by(F.struct("last_seq", "messages"), "batch").alias("c"))
+    return last.select("session", "c.last_seq", "c.messages")
+
+
 @query()
 def msg_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tail.assign_topics(M.messages(spark, sf_dir)).groupBy("session").agg((F.max("topic") + 1).alias("topics"), F.count("*").alias("messages"))

@@ -107,8 +107,12 @@ def test_streaming_cursor_moves_once(spark, tmp_path):
         q.awaitTermination()
 
     go()
-    assert sorted(rows)[-2:] == [(1, 1, 2), (2, 0, 1)]
+    assert sorted(rows)[-2:] == [(1, 1, 2, 1), (2, 0, 1, 1)]
     spark.createDataFrame([(1, 1, "b"), (1, 2, "d")], schema).write.mode("append").parquet(str(src))
     rows.clear()
     go()
-    assert max(rows) == (1, 2, 3)
+    assert max(rows) == (1, 2, 3, 2)
+    spark.createDataFrame([(1, k, "x" * 4000) for k in range(3, 103)], schema).write.mode("append").parquet(str(src))
+    rows.clear()
+    go()
+    assert max(rows) == (1, 102, 103, 2 + 9) and tail._batches([5, 5, 90, 5], 10, 30) == [(10, 2), (90, 1), (5, 1)] and tail._batches([1] * 61, 100, 30) == [(30, 30), (30, 30), (1, 1)]
