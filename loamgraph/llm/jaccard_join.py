@@ -9,12 +9,15 @@
    only the first n - ceil(0.75 n) + 1 as prefix. Sets that share no prefix shingle cannot link.
 3. Links are wanted up to connectivity, so the sets with one prefix shingle are first compared with their least
    set, the pivot (linear in the entries, after the length and positional filters). Shingles whose sets are then
-   still in different components are examined whole: all sets that meet at one pivot, in blocks of bounded
-   size, with the length and suffix filters as vector operations and each pair that passes verified on the
-   whole sets in place. The suffix filter bounds an overlap by the sets' bit signatures over hash classes.
+   still in different components are examined whole: sets that meet at one pivot, in blocks of bounded size and
+   like lengths. Within two blocks, pairs come from the prefix shingles they share, pass the length and suffix
+   filters as vector operations, and are verified on the whole sets in place. A pair belongs to the pivot of the
+   first prefix shingle that both sets have, and pairs that were compared as set and pivot are left out, so each
+   pair is verified once. The suffix filter bounds an overlap by the sets' bit signatures over hash classes.
 
 Pairs are never emitted, only links between components that are still apart. No candidate is capped, and the result
-is exact up to collisions of hashes of at least 40 bits within one pair of documents.
+is exact up to collisions of hashes of at least 40 bits within one pair of documents. What a hot pivot costs grows
+with the square of its blocks of sets of like lengths that lie in different components.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import materialise, plan_bytes, shuffle_partitions, tidy
+from loamgraph.llm.common import free_names, materialise, plan_bytes, shuffle_partitions, tidy
 from loamgraph.llm.components import connected_components
 
 LOW = np.uint64((1 << 40) - 1)
@@ -96,11 +99,12 @@ def _pack_chunk(chunk: int, buckets: int, ids: list[tuple], sets: list[np.ndarra
     bucket, low, counts = bucket[order], keys[order] & LOW, counts[order].astype(np.uint32)
     number = order.astype(np.uint32)
     cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))).tolist()
+    wide = 3 if len(keys) <= 1 << 24 else 4  # bytes of a number
     for i, j in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
         k, n = low[i:j], counts[i:j]
         more = np.flatnonzero(n > 1).astype(np.uint32)
-        planes = number[i:j].view(np.uint8).reshape(-1, 4).T[:3]
-        parts = (np.array([j - i], dtype="<u4"), k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint8), planes, more, n[more])
+        planes = number[i:j].view(np.uint8).reshape(-1, 4).T[:wide]
+        parts = (np.array([j - i, wide], dtype="<u4"), k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint8), planes, more, n[more])
         yield int(bucket[i]), chunk, b"".join(x.tobytes() for x in parts)
 
 
@@ -115,11 +119,11 @@ def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _asked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's hashes in a bucket, their numbers in the chunk, and in how many of its sets each is."""
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    key = np.frombuffer(raw, np.uint32, n, 4).astype(np.uint64) | (np.frombuffer(raw, np.uint8, n, 4 + 4 * n).astype(np.uint64) << np.uint64(32))
+    n, wide = np.frombuffer(raw, "<u4", 2).tolist()
+    key = np.frombuffer(raw, np.uint32, n, 8).astype(np.uint64) | (np.frombuffer(raw, np.uint8, n, 8 + 4 * n).astype(np.uint64) << np.uint64(32))
     planes = np.zeros((n, 4), dtype=np.uint8)
-    planes[:, :3] = np.frombuffer(raw, np.uint8, 3 * n, 4 + 5 * n).reshape(3, -1).T
-    more = np.frombuffer(raw[4 + 8 * n :], np.uint32).reshape(2, -1)
+    planes[:, :wide] = np.frombuffer(raw, np.uint8, wide * n, 8 + 5 * n).reshape(wide, -1).T
+    more = np.frombuffer(raw[8 + (5 + wide) * n :], np.uint32).reshape(2, -1)
     counts = np.ones(n, dtype=np.int64)
     counts[more[0]] = more[1]
     return key, planes.view("<u4").ravel(), counts
@@ -141,7 +145,10 @@ def _count_bucket(table: pa.Table) -> pa.Table:
         shared = mine > 1
         if shared.any():
             rows.append((bucket, chunk, k[shared].tobytes() + mine[shared].astype(np.uint32).tobytes() + number[shared].tobytes()))
-    return pa.Table.from_batches([_packed_batch(rows)])
+    out = pa.Table.from_batches([_packed_batch(rows)])
+    del asked, distinct, which, df, rows
+    tidy()
+    return out
 
 
 def signature(keys: np.ndarray) -> bytes:
@@ -185,7 +192,8 @@ def _gather_chunk(percent: int):
         prefix = np.maximum(0, np.minimum(shared, n - need + 1 - (n - shared)))
         live = meta.column("own").to_numpy(zero_copy_only=False) & (prefix > 0)
         own = [key[cuts[i] : cuts[i + 1]] if live[i] else None for i in range(docs)]
-        return pa.table(
+        del at, df, order, stream, new, df_of, key_of
+        out = pa.table(
             {
                 "doc_id": meta.column("doc_id"),
                 "row_hash": meta.column("row_hash"),
@@ -197,14 +205,21 @@ def _gather_chunk(percent: int):
                 "signature": pa.array([None if k is None else signature(k) for k in own], pa.binary()),
             }
         )
+        del own, key
+        tidy()
+        return out
 
     return run
 
 
-def shared_shingles(docs: DataFrame, size: int = 5, percent: int = 75, chunk_docs: int = 8192, chunk_shingles: int = 500_000, bucket_shingles: int = 1_000_000) -> DataFrame:
-    """Every document (doc_id, text) with a hash of its text, its set's digest and size and, once a chunk and set, its shared shingles and prefix length."""
-    buckets = max(shuffle_partitions(docs), math.ceil(plan_bytes(docs) / BYTES_A_SHINGLE / bucket_shingles))
-    buckets = min(buckets, max(1, chunk_shingles // 8))
+def shared_shingles(docs: DataFrame, size: int = 5, percent: int = 75, chunk_docs: int = 8192, chunk_shingles: int = 300_000, bucket_shingles: int = 1_000_000) -> DataFrame:
+    """Every document (doc_id, text) with a hash of its text, its set's digest and size and, once a chunk and set, its shared shingles and prefix length.
+
+    The number of buckets follows the input, so a bucket holds about bucket_shingles at any size up to some 60 TB of
+    compressed input (2^24 buckets, the bits a shingle's identity leaves; at 100 TB it holds 1.7 times as many). With
+    very many buckets a chunk's rows hold a shingle each.
+    """
+    buckets = min(1 << 24, max(shuffle_partitions(docs), math.ceil(plan_bytes(docs) / BYTES_A_SHINGLE / bucket_shingles)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = WordHashes(), TaskContext.get().partitionId()
@@ -242,15 +257,16 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def _block_links(percent: int):
-    """Links between sets of a block that lie in different components: length and suffix filters, then the whole sets.
+    """Links between sets of two blocks that lie in different components: shared prefix shingles, length and suffix filters, then the whole sets.
 
-    The suffix filter bounds an overlap from above by the signatures' bits that only one of the two sets has. Sets
-    that a link has just joined are not compared further.
+    Only pairs whose first common prefix shingle has this pivot are looked at, and none of which one set is the pivot
+    of a common prefix shingle: that one has been verified. The suffix filter bounds an overlap from above by the
+    signatures' bits that only one of the two sets has. Sets that a link has just joined are not compared further.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        left_block, right_block = table.column("left")[0].as_py(), table.column("right")[0].as_py()
-        block, n, unique_n = (table.column(c).to_numpy() for c in ("block", "n", "unique_n"))
+        pivot, left_block, right_block = (table.column(c)[0].as_py() for c in ("pivot_hash", "left", "right"))
+        block, n, unique_n, own_hash = (table.column(c).to_numpy() for c in ("block", "n", "unique_n", "own_hash"))
         raw = table.column("signature").to_pylist()
         bits = min(map(len, raw)) // 8
         sig = np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, bits), axis=0) for x in raw])
@@ -258,13 +274,26 @@ def _block_links(percent: int):
         ends = sets.offsets.to_numpy()
         _, key = np.unique(sets.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)
         ends = ends - ends[0]
-        marked = np.zeros(int(key.max()) + 1, dtype=bool)
+        prefix = table.column("owners").combine_chunks()
+        p_ends, owner = prefix.offsets.to_numpy(), prefix.values.to_numpy()
+        owner, p_ends = owner[p_ends[0] : p_ends[-1]], p_ends - p_ends[0]
+        p_size = np.diff(p_ends)
+        p_key, of = key[_spans(ends[:-1], p_size)], np.repeat(np.arange(len(n)), p_size)
+        # The sets of each shingle that belongs to this pivot, on the right side.
+        on_right = np.flatnonzero((owner == pivot) & (block[of] == right_block))
+        on_right = on_right[np.argsort(p_key[on_right], kind="stable")]
+        by_key, members = p_key[on_right], of[on_right]
+        size = int(key.max()) + 1
+        marked, place_of = np.zeros(size, dtype=bool), np.full(size, -1, dtype=np.int64)
         place = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy().copy()
         digests = table.column("digest").to_pylist()
-        j_all = np.flatnonzero(block == right_block)
         out = []
         for i in np.flatnonzero(block == left_block):
-            j = j_all[j_all > i] if left_block == right_block else j_all
+            mine = slice(p_ends[i], p_ends[i + 1])
+            asked = p_key[mine][owner[mine] == pivot]
+            lo, hi = np.searchsorted(by_key, asked), np.searchsorted(by_key, asked, side="right")
+            j = np.unique(members[_spans(lo, hi - lo)])
+            j = j[j > i] if left_block == right_block else j
             j = j[(place[j] != place[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))]
             if not j.size:
                 continue
@@ -273,23 +302,41 @@ def _block_links(percent: int):
             only_j = np.bitwise_count(sig[j] & ~sig[i]).sum(axis=1) + unique_n[j]
             good = np.minimum(n[i] - only_i, n[j] - only_j) >= need
             j, need = j[good], need[good]
+            if not j.size:
+                continue
+            place_of[p_key[mine]] = np.arange(p_size[i])
+            at = place_of[p_key[_spans(p_ends[j], p_size[j])]]
+            place_of[p_key[mine]] = -1
+            common, far = at >= 0, p_size[i]
+            starts = np.append(0, np.cumsum(p_size[j])[:-1])
+            first = np.minimum.reduceat(np.where(common, at, far), starts)
+            its = np.where(common, owner[mine][np.maximum(at, 0)], 0)
+            tried = np.logical_or.reduceat(common & ((its == own_hash[i]) | (its == np.repeat(own_hash[j], p_size[j]))), starts)
+            good = (owner[mine][first] == pivot) & ~tried
+            j, need = j[good], need[good]
             if not j.size:
                 continue
             own = key[ends[i] : ends[i + 1]]
             marked[own] = True
             sizes = ends[j + 1] - ends[j]
-            hits = marked[key[np.repeat(ends[j] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())]]
-            both = np.add.reduceat(hits.astype(np.int64), np.append(0, np.cumsum(sizes)[:-1]))
+            both = np.add.reduceat(marked[key[_spans(ends[j], sizes)]].astype(np.int64), np.append(0, np.cumsum(sizes)[:-1]))
             marked[own] = False
             for k in j[both >= need]:
                 if place[k] != place[i]:
                     out.append((digests[i], digests[k]))
                     place[place == place[k]] = place[i]
+        if table.nbytes > 4_000_000:
+            tidy()
         return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
 
     return run
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each run, one run after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 def _overlap_bound(a_n, a_pos, b_n, b_pos):
     """Positional filter: the most that two ordered sets can share if they share the elements at these positions."""
     return F.least(a_pos, b_pos) + F.least(a_n - a_pos, b_n - b_pos)
@@ -303,7 +350,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, block:
     and is its own component. Two documents link when 100 * intersection >= percent * union; component_id is the
     least doc_id reachable by links, itself included. Equal sets link. Rows with a repeated or null doc_id are
     documents of their own; a null doc_id is never a component's least (null if there is no other). Other columns
-    are ignored. An empty table gives no rows.
+    are ignored. An empty table gives no rows. A very long text is one set, whole; memory follows the longest text.
     """
     all_docs = materialise(shared_shingles(docs, size, percent), "shingles")
     sets = materialise(all_docs.where("prefix > 0").dropDuplicates(["digest"]).drop("doc_id", "row_hash"), "sets")
@@ -318,15 +365,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, block:
     near = connected_components(links)
     placed = entries.select("key", "digest").join(near, entries["digest"] == near["node"], "left").withColumn("component", F.coalesce("component", "digest"))
     mixed = placed.groupBy("key").agg(F.min("digest").alias("pivot"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    # Keys with one pivot are examined together: a set appears once a pivot, not once a key.
-    met = placed.join(mixed.select("key", "pivot"), "key").select("pivot", "digest", "component").distinct()
-    met = materialise(met.join(sets.select("digest", F.size("keys").alias("load")), "digest"), "met")
-    spread = met.groupBy("pivot").agg(F.ceil(F.sum("load") / F.lit(block)).cast("int").alias("blocks"))
-    dealt = met.join(spread, "pivot").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    shared = dealt.select("*", other).select("pivot", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "digest", "component")
-    rest = shared.join(sets.select("digest", "n", "unique_n", "signature", "keys"), "digest")
-    more = materialise(rest.groupBy("pivot", "left", "right").applyInArrow(_block_links(percent), "a binary, b binary"), "links")
+    mixed = materialise(mixed.select("key", "pivot", F.xxhash64("pivot").alias("pivot_hash")), "mixed")
+    # The pivot of each prefix shingle of a set that meets any, 0 where its sets are in one component.
+    owners = entries.select("digest", "i", "key").join(mixed.select("key", "pivot_hash"), "key").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("i", "pivot_hash"))).alias("m"))
+    owned = sets.join(owners, "digest").withColumn("owners", F.transform(F.sequence(F.lit(0), F.col("prefix") - 1), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long")))).drop("m", "prefix")
+    owned = materialise(owned.withColumn("own_hash", F.xxhash64("digest")), "owned")
+    # Keys with one pivot are examined together: a set appears once a pivot, not once a key. Sets whose sizes differ by
+    # more than the threshold allows never share a band or have neighbouring ones.
+    band = F.floor(F.log(F.col("n")) / math.log(100.5 / percent)).cast("long")
+    met = placed.join(mixed, "key").select("pivot_hash", "digest", "component").distinct()
+    met = materialise(met.join(sets.select("digest", band.alias("band"), F.size("keys").alias("load")), "digest"), "met")
+    spread = met.groupBy("pivot_hash", "band").agg(F.ceil(F.sum("load") / F.lit(block)).cast("int").alias("blocks"))
+    spread = spread.groupBy("pivot_hash").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("of"))
+    code = lambda band, number: F.shiftleft(band, 32) + number
+    dealt = met.join(spread, "pivot_hash").withColumn("block", code(F.col("band"), F.pmod(F.xxhash64("digest"), F.col("of")[F.col("band")])))
+    near_bands = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
+    others = F.flatten(F.transform(near_bands, lambda b: F.when(F.col("of")[b] > 0, F.transform(F.sequence(F.lit(0), F.col("of")[b] - 1), lambda k: code(b, k))).otherwise(F.array().cast("array<bigint>"))))
+    shared = dealt.select("*", F.explode(others).alias("other")).select("pivot_hash", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "digest", "component")
+    rest = shared.join(owned, "digest")
+    more = materialise(rest.groupBy("pivot_hash", "left", "right").applyInArrow(_block_links(percent), "a binary, b binary"), "links")
     whole = near if more.isEmpty() else connected_components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     found = all_docs.select("doc_id", "row_hash", "n", "digest").join(whole, all_docs["digest"] == whole["node"], "left")
     found = found.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), "digest", F.coalesce("component", "digest").alias("class_id"))
@@ -348,7 +405,8 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     found = jaccard_components(docs, size, percent).select(key.alias("key"), "row_hash", "class_id", "n_shingles")
     chosen = found.where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct("key", "row_hash")).alias("c")).select("c.key", "c.row_hash", F.lit(True).alias("once"))
     empty = found.where("n_shingles = 0").select("key", "row_hash").distinct().withColumn("once", F.lit(False))
-    stay = materialise(chosen.unionByName(empty), "kept").select(F.col("key").alias("_key"), F.col("row_hash").alias("_hash"), F.col("once").alias("_once"))
-    rows = docs.withColumn("_key", key).withColumn("_hash", F.xxhash64("text")).join(stay, ["_key", "_hash"])
-    several = rows.where("_once").dropDuplicates(["_key", "_hash"]).unionByName(rows.where("not _once"))
+    own, text, once = free_names(docs, "key", "hash", "once")
+    stay = materialise(chosen.unionByName(empty), "kept").toDF(own, text, once)
+    rows = docs.withColumns({own: key, text: F.xxhash64("text")}).join(stay, [own, text])
+    several = rows.where(F.col(once)).dropDuplicates([own, text]).unionByName(rows.where(~F.col(once)))
     return several.select(*docs.columns)
