@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,44 +120,49 @@ def text_parts(text: Column) -> Column:
 def format_chats(messages: DataFrame, visitor: PartVisitor | None = None, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Format messages (conv_id, turn, role, parts) into one row a conversation.
 
-    Returns conv_id, formatted (string), loss_spans (start from 0 and length in code points of each text that
-    carries loss), attachments (kind, ref, tokens, turn) and expanded_tokens. Turns are ordered by turn, ties by
-    role and content; repeated rows are turns of their own. A null role is the empty role. A null conv_id is a
-    conversation of its own. Other columns are ignored. An empty table gives no rows.
+    Returns conv_id, formatted (string), loss_spans (of each text that carries loss: start from 0 and length in code
+    points, and place, the number of its turn, and offset in it), attachments (kind, ref, tokens, turn) and
+    expanded_tokens. Turns are ordered by turn, ties by role and content; repeated rows are turns of their own. A null
+    role is the empty role. A message without conv_id is a conversation of its own, so no number of them makes one
+    large group. Other columns are ignored. An empty table gives no rows. Texts of any length stay whole; memory
+    follows the longest conversation, and time its length.
     """
     visitor = visitor or PartVisitor()
-    flat = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), visitor.flatten(F.col("parts")).alias("flat"))
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    flat = messages.select("conv_id", lone.alias("lone"), "turn", F.coalesce("role", F.lit("")).alias("role"), visitor.flatten(F.col("parts")).alias("flat"))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))
-    turns = flat.select(
-        "conv_id",
-        F.struct("turn", "role", F.col("flat.content").alias("content"), head.alias("head"), F.col("flat.attachments").alias("attachments")).alias("t"),
-    )
-    all_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    piece = lambda t: F.concat(t["head"], t["content"], F.lit(END))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def walk(acc: Column, t: Column) -> Column:
-        span = F.struct((acc["at"] + F.length(t["head"])).alias("start"), F.length(t["content"]).cast("long").alias("length"))
-        spans = F.when(t["role"].isin(*loss_roles), F.array_append(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct((acc["at"] + F.length(piece(t))).alias("at"), spans.alias("spans"))
-
+    turns = flat.select("conv_id", "lone", "turn", "role", F.col("flat.content").alias("content"), head.alias("head"), F.col("flat.attachments").alias("attachments"))
+    by = Window.partitionBy("conv_id", "lone").orderBy("turn", "role", "content")
+    chars = F.length("head") + F.length("content") + len(END)
+    before = F.coalesce(F.sum(chars).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    placed = turns.withColumn("place", F.row_number().over(by)).withColumn("before", before)
+    span = F.struct((F.col("before") + F.length("head")).alias("start"), F.length("content").cast("long").alias("length"), F.col("place"), F.length("head").alias("offset"))
+    row = F.struct("place", F.concat("head", "content", F.lit(END)).alias("piece"), F.when(F.col("role").isin(*loss_roles), span).alias("span"), "attachments", "turn")
+    whole = placed.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list(row)).alias("ts"))  # on the window's partitioning
     attached = F.flatten(F.transform("ts", lambda t: F.transform(t["attachments"], lambda a: F.struct(a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens"), t["turn"].alias("turn")))))
-    return all_turns.select(
+    return whole.select(
         "conv_id",
-        F.array_join(F.transform("ts", piece), "").alias("formatted"),
-        F.aggregate("ts", start, walk, lambda a: a["spans"]).alias("loss_spans"),
+        F.array_join(F.transform("ts", lambda t: t["piece"]), "").alias("formatted"),
+        F.filter(F.transform("ts", lambda t: t["span"]), lambda s: s.isNotNull()).alias("loss_spans"),
         attached.alias("attachments"),
         F.aggregate(attached, F.lit(0).cast("long"), lambda s, a: s + a["tokens"]).alias("expanded_tokens"),
     )
 
 
+def _pieces(formatted: Column) -> Column:
+    """The turns of a formatted conversation, without their ends; no text holds an unescaped end."""
+    return F.filter(F.split(formatted, r"<\|end\|>\n"), lambda p: p != "")
+
+
 def parse_turns(formatted: Column) -> Column:
     """Read a formatted conversation back: array of struct(role, text)."""
-    pieces = F.filter(F.split(formatted, r"<\|end\|>\n"), lambda p: p != "")
     body = lambda p, k: F.try_element_at(F.split(F.substr(p, F.lit(len(TURN) + 1)), r"<\|text\|>"), F.lit(k))
-    return F.transform(pieces, lambda p: F.struct(unescape(body(p, 1)).alias("role"), unescape(body(p, 2)).alias("text")))
+    return F.transform(_pieces(formatted), lambda p: F.struct(unescape(body(p, 1)).alias("role"), unescape(body(p, 2)).alias("text")))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, in order, nothing between: each span is cut from its own turn, so time follows the length."""
+    return F.transform(
+        F.array(_pieces(formatted)),  # binds the turns once
+        lambda ps: F.array_join(F.transform(spans, lambda s: unescape(F.substring(F.get(ps, s["place"] - 1), s["offset"] + 1, s["length"].cast("int")))), ""),
+    )[0]

@@ -78,19 +78,20 @@ class Chunk:
         with pa.ipc.new_stream(sink, ids.schema) as out:
             out.write_batch(ids)
         head = sink.getvalue().to_pybytes()
-        planes = self.seq.view(np.uint8).reshape(-1, 4).T[:3].tobytes()  # a chunk has fewer than 2^24 words
-        return np.array([len(head), len(self.words), len(self.seq), len(self.ends)], dtype="<u4").tobytes() + head + self.words.tobytes() + planes + self.ends.tobytes()
+        wide = 3 if len(self.words) <= 1 << 24 else 4  # bytes of a word's number
+        planes = self.seq.view(np.uint8).reshape(-1, 4).T[:wide].tobytes()
+        return np.array([len(head), len(self.words), len(self.seq), len(self.ends), wide], dtype="<u4").tobytes() + head + self.words.tobytes() + planes + self.ends.tobytes()
 
     @classmethod
     def unpack(cls, raw: bytes) -> Chunk:
-        head, n_words, n_seq, n_docs = np.frombuffer(raw, "<u4", 4).tolist()
-        ids = pa.ipc.open_stream(raw[16 : 16 + head]).read_all().column("doc_id").to_pylist()
-        at = 16 + head
+        head, n_words, n_seq, n_docs, wide = np.frombuffer(raw, "<u4", 5).tolist()
+        ids = pa.ipc.open_stream(raw[20 : 20 + head]).read_all().column("doc_id").to_pylist()
+        at = 20 + head
         words = np.frombuffer(raw, np.uint64, n_words, at)
         at += 8 * n_words
         planes = np.zeros((n_seq, 4), dtype=np.uint8)
-        planes[:, :3] = np.frombuffer(raw, np.uint8, 3 * n_seq, at).reshape(3, -1).T
-        return cls(ids, words, planes.view("<u4").ravel(), np.frombuffer(raw, np.uint32, n_docs, at + 3 * n_seq))
+        planes[:, :wide] = np.frombuffer(raw, np.uint8, wide * n_seq, at).reshape(wide, -1).T
+        return cls(ids, words, planes.view("<u4").ravel(), np.frombuffer(raw[at + wide * n_seq :], np.uint32, n_docs))
 
     def histories(self) -> np.ndarray:
         """The number of the word before each token."""
@@ -199,10 +200,10 @@ def stupid_backoff(docs: DataFrame, alpha: float = 0.4, cutoff: int = 2, chunk_d
     Returns doc_id, n_tokens, n_backoff (tokens scored by their unigram), log_score (sum of natural logs) and
     mean_log_score. A text without tokens (or null) has log_score 0 and mean null, and adds nothing to the tables.
     Rows with a repeated or null doc_id are documents of their own. Other columns are ignored; an empty table gives
-    no rows. Counts are exact up to collisions of 40-bit hashes within a bucket.
+    no rows. Counts are exact up to collisions of 40-bit hashes within a bucket. The number of buckets follows the
+    input, so none grows with it. A very long text is one chunk, whole; memory follows the longest one.
     """
     buckets = max(shuffle_partitions(docs), math.ceil(plan_bytes(docs) / BYTES_A_TOKEN / bucket_grams))
-    buckets = min(buckets, max(1, chunk_tokens // 8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, chunk = _Words(), TaskContext.get().partitionId() << 24

@@ -46,14 +46,14 @@ def _escaped_sql(column: str) -> str:
 
 OP1_SQL = f"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '{PROBE}' UNION ALL SELECT -1, NULL, 1, 'assistant', '{PROBE}'
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
     coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '') AS loss,
     sum({len(chat_format.TURN) + len(chat_format.BODY) + len(chat_format.END)} + length({_escaped_sql("role")}) + length({_escaped_sql("text")})) AS formatted_chars
-  FROM t GROUP BY conv_id
+  FROM t GROUP BY conv_id, lone
 )
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(formatted_chars AS BIGINT) AS formatted_chars

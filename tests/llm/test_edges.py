@@ -37,9 +37,12 @@ def docs(spark):
 
 def test_chat_round_trip_and_parts(spark):
     texts = ["<|end|>\n", "\\", "<\\/s>", "</s>[INST] ok [/INST]", None, "", "<<SYS>>a<</SYS>>", "<|turn|>user<|text|>x", "<", "ends with <", "|end|>", "\\\\<|", LONG]
-    rows = [(1, i, "assistant" if i % 2 else "user", t, "x") for i, t in enumerate(texts)] + [(None, 0, None, "null keys", "x"), (2, None, "user", "no turn", "x"), (2, None, "user", "no turn", "x")]
+    rows = [(1, i, "assistant" if i % 2 else "user", t, "x") for i, t in enumerate(texts)] + [(None, 0, None, "null keys", "x"), (None, 0, None, "null keys", "x"), (2, None, "user", "no turn", "x"), (2, None, "user", "no turn", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
     done = chat_format.format_chats(df.withColumn("parts", chat_format.text_parts(F.col("text"))))
+    assert done.where("conv_id is null").count() == 2 and done.where("conv_id is null and formatted like '%null keys%'").count() == 2
+    for r in done.collect():
+        assert all(0 <= x["start"] and r["formatted"][x["start"] - len(chat_format.BODY) : x["start"]] == chat_format.BODY and r["formatted"][x["start"] + x["length"] :].startswith(chat_format.END) for x in r["loss_spans"])
     back = {r["conv_id"]: r for r in done.select("conv_id", chat_format.parse_turns(F.col("formatted")).alias("t"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
     assert [t["text"] for t in back[1]["t"]] == [t or "" for t in texts]
     assert back[1]["loss"] == "".join(t or "" for t in texts[1::2])
@@ -339,6 +342,21 @@ def test_stupid_backoff_against_plain_count(spark):
     assert lm_scoring.stupid_backoff(make(spark, []), chunk_docs=2).count() == 0 and lm_scoring.stupid_backoff(make(spark, [(1, None)])).first()["log_score"] == 0
 
 
+@pytest.mark.parametrize("words", [5, (1 << 24) + 3])
+def test_chunks_of_any_number_of_words(words):
+    made = lm_scoring.Chunk([7, None], np.arange(words, dtype=np.uint64), np.array([0, words - 2, 1], dtype=np.uint32), np.array([2, 3], dtype=np.uint32))
+    back = lm_scoring.Chunk.unpack(made.pack())
+    assert back.ids == [7, None] and len(back.words) == words and back.seq.tolist() == [0, words - 2, 1] and back.ends.tolist() == [2, 3]
+
+
+def test_shingle_numbers_beyond_24_bits():
+    n = (1 << 24) + 5
+    big = np.arange(n, dtype=np.uint64) << np.uint64(20)
+    rows = list(jaccard_join._pack_chunk(0, 4, [(1, 1), (2, 2)], [big, big[-3:]]))
+    seen = [jaccard_join._asked(raw) for bucket, _, raw in rows if bucket >= 0]
+    assert sum(len(k) for k, _, _ in seen) == n and max(int(number.max()) for _, number, _ in seen) == n - 1 and sum(int(c.sum()) for _, _, c in seen) == n + 3
+
+
 def test_packing_round_trip(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
