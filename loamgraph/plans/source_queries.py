@@ -63,7 +63,7 @@ def doc_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(the|and|der|que|les) [a-z]+"), 1)).alias("kind")).groupBy("doc_id", "kind").agg(F.count("*").alias("found"))
 
 
-@query(r"""SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '([A-Za-z0-9_./-]+\.(?:py|js|ts|md|sql|java|go|rs|html|json))', 1), lambda p: NOT starts_with(p, '/') AND NOT contains(p, '..')))) AS mentions FROM documents""")
+@query(r"""SELECT doc_id, least(50, len(list_distinct(list_filter(regexp_extract_all(text, '([A-Za-z0-9_./-]+\.(?:py|js|ts|md|sql|java|go|rs|html|json))', 1), lambda p: NOT starts_with(p, '/') AND NOT contains(p, '..'))))) AS mentions FROM documents""")
 def doc_file_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.table(spark, sf_dir, "documents").select("doc_id", F.size(X.file_mentions(F.col("text"))).cast("long").alias("mentions"))
 

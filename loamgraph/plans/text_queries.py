@@ -219,17 +219,15 @@ def doc_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir).where("rank <= 3").select("query_id", "doc", F.round("score", 4).alias("score"))
 
 
-TRUTH_SQL = "t AS (SELECT item_id AS query_id, doc_id AS doc FROM benchmark JOIN documents d ON contains(d.text, substr(benchmark.text, 1, 60)))"
+TRUTH_SQL = "t AS (SELECT item_id AS query_id, doc_id AS doc FROM benchmark JOIN documents d ON contains(d.text, benchmark.text))"
 
 
 @query(f"""WITH {BM25_SQL}, {TRUTH_SQL}, h AS (SELECT t.query_id, count(*) AS relevant, count(rank) AS found, min(rank) AS first, sum(1.0 / log2(rank + 1)) AS dcg FROM t LEFT JOIN b ON t.query_id = b.query_id AND t.doc = b.doc GROUP BY 1)
 SELECT count(*) AS queries, round(avg(found / relevant), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6)::DOUBLE AS mrr,
   round(avg(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(relevant, 10) + 1), lambda i: 1.0 / log2(i + 1)))), 6) AS ndcg FROM h""")
 def eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = M.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("start"))
-    if b.count() > 100_000:
-        raise ValueError("evaluate in blocks of at most 100000 queries")
-    truth = M.table(spark, sf_dir, "documents").join(F.broadcast(b), F.col("text").contains(F.col("start"))).select("query_id", F.col("doc_id").alias("doc"))
+    items = M.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    truth = R.containing(M.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), items)
     return R.evaluate(_bm25(spark, sf_dir).select("query_id", "doc", "rank"), truth)
 
 
@@ -283,11 +281,12 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("chunk", F.floor((t - 1) / 128)).groupBy("doc_id", "chunk").agg((F.min("i") + 1).cast("long").alias("first_line"), (F.max("i") + 1).cast("long").alias("last_line"))
 
 
-@query(f"""WITH p AS (SELECT DISTINCT doc_id AS doc, unnest({TOKENS_SQL.format('text')}) AS term FROM documents), s AS (SELECT term FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5),
-k AS (SELECT * FROM p WHERE term IN (SELECT term FROM s)) SELECT x.doc AS a, y.doc AS b, count(*) AS shared FROM k x JOIN k y USING (term) WHERE x.doc < y.doc GROUP BY ALL HAVING count(*) >= 8""")
+@query(f"""WITH p AS (SELECT DISTINCT doc_id AS doc, unnest({TOKENS_SQL.format('text')}) AS term FROM documents), s AS (SELECT term FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND (SELECT greatest(4, CAST(floor(count(*) * 0.015::DOUBLE) AS BIGINT)) FROM documents)),
+k AS (SELECT * FROM p WHERE term IN (SELECT term FROM s)) SELECT x.doc AS a, y.doc AS b, count(*) AS shared FROM k x JOIN k y USING (term) WHERE x.doc < y.doc GROUP BY ALL HAVING count(*) >= 2""")
 def doc_related_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that share two specific terms or more; a term is specific in up to 1.5 % of the documents (four at least)."""
     d = M.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return R.related_pairs(R.postings(d), 8, 5)
+    return R.related_pairs(R.postings(d), 2, max(4, int(d.count() * 0.015)))
 
 
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) SELECT page_id, count(*) AS links, count(DISTINCT href) AS targets, count(*) FILTER (starts_with(href, '/')) AS relative FROM l GROUP BY 1""")

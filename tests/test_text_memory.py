@@ -77,6 +77,31 @@ def test_vectors_of_another_dimension_are_not_compared(spark):
     assert [(r["id"], r["score"]) for r in R.vector_topk(v, q).collect()] == [(1, 1.0)]
 
 
+def test_vectors_in_blocks_equal_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    m = np.round(rng.normal(size=(300, 5)), 2)
+    m[17] = m[4]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(900, None), (None, m[0].tolist())], "id long, vector array<double>")
+    q = v.where("id % 7 = 4").withColumnRenamed("id", "query_id")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = set()
+    for k in range(4, 300, 7):
+        s = np.round(unit[k] @ unit.T, 6)
+        want |= {(k, int(i), r + 1) for r, i in enumerate(sorted((i for i in range(300) if i != k), key=lambda i: (-s[i], i))[:6])}
+    for block in (10, 10_000):
+        assert {(r["query_id"], r["id"], r["rank"]) for r in R.vector_topk(v, q, 6, block).collect()} == want
+
+
+def test_whole_items_are_found_in_documents(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, "x" + item + "y z"), (2, item[:-3] + " x"), (3, "a short one here"), (4, None), (5, item + " " + item)], "doc long, text string")
+    items = spark.createDataFrame([(7, item), (8, "short one"), (9, None)], "query_id long, text string")
+    assert sorted(tuple(r) for r in R.containing(docs, items).collect()) == [(7, 1), (7, 5), (8, 3)]
+    assert R.containing(docs, items.where("query_id = 7")).count() == 2 and R.containing(docs.limit(0), items).count() == 0
+
+
 def test_budget_keeps_the_first_row(spark):
     rows = spark.createDataFrame([("a", 1, 900), ("a", 2, 1), ("b", 1, 5), ("b", 2, 5), ("b", 3, 5)], "g string, o int, c int")
     got = sorted((r["g"], r["o"]) for r in R.budget_prefix(rows, "g", ["o"], F.col("c"), 10).collect())
