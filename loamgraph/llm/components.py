@@ -14,15 +14,16 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u").select("u", "v", F.least("u", "least").alias("m"))
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of undirected edges (a, b): a row (node, component) for each node of an edge; component is its least node.
 
     Keys can be of any ordered type. Self-loops and repeated edges change nothing; edges with a null end are no
-    edges. Each round is written to the shared folder, so lineage stays short. An empty table gives no rows.
+    edges. Rounds go on until nothing changes (about the
+    logarithm of the longest path); each is written to the shared folder, so lineage stays short. An empty table gives no rows.
     """
     now = materialise(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         met = _least(large)
@@ -31,7 +32,5 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before or not mark[0]:
             break
-    else:
-        raise RuntimeError(f"no components after {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
