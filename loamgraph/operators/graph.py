@@ -77,18 +77,24 @@ def god_nodes(nodes: DataFrame, edges: DataFrame, limit: int = 10, most_homonyms
     return hubs.select("id", "name", "file", "line", "degree").orderBy(F.desc("degree"), "file", "line", "id").limit(limit)
 
 
-def quality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: counts by confidence, isolated nodes, location coverage, ambiguity rate and health of a graph."""
-    c = lambda level: F.count_if(F.col("confidence") == level)
-    e = edges.agg(
-        F.count("*").alias("edges"), c("EXTRACTED").alias("extracted"), c("INFERRED").alias("inferred"), c("AMBIGUOUS").alias("ambiguous"),
-        F.count_if(F.col("file").isNotNull() & F.col("line").isNotNull()).alias("located"),
-    )
+def quality(nodes: DataFrame, edges: DataFrame, structural_kinds: tuple[str, ...] = ("class", "function", "method", "interface", "struct")) -> DataFrame:
+    """One row: counts by confidence, isolated nodes, located structural nodes, rates and health of a graph.
+
+    health: 100 times the share of edges that are neither ambiguous nor unresolved; 0 without nodes.
+    """
+    c = lambda level: F.count_if(F.upper("confidence") == level)
+    e = edges.agg(F.count("*").alias("edges"), *[c(level).alias(level.lower()) for level in ("EXTRACTED", "INFERRED", "AMBIGUOUS", "UNRESOLVED")])
     ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    n = nodes.select("id").join(ends.withColumn("met", F.lit(True)), "id", "left").agg(F.count("*").alias("nodes"), F.count_if(F.col("met").isNull()).alias("isolated"))
+    shape = F.col("kind").isin(*structural_kinds)
+    placed = shape & (F.coalesce("file", F.lit("")) != "") & (F.coalesce("line", F.lit(0)) != 0)
+    n = nodes.select("id", "kind", "file", "line").join(ends.withColumn("met", F.lit(True)), "id", "left").agg(
+        F.count("*").alias("nodes"), F.count_if(F.col("met").isNull()).alias("isolated"), F.count_if(shape).alias("structural"), F.count_if(placed).alias("located")
+    )
+    total = F.greatest(F.lit(1), F.col("edges"))
+    health = F.round(F.greatest(F.lit(0.0), 1 - (F.col("ambiguous") + F.col("unresolved")) / total) * 100, 2)
     return n.join(F.broadcast(e)).select(  # two one-row sides
-        "nodes", "isolated", "edges", "extracted", "inferred", "ambiguous", F.round(F.col("located") / F.col("edges"), 6).alias("location_coverage"),
-        F.round(F.col("ambiguous") / F.col("edges"), 6).alias("ambiguous_rate"), F.round((1 - F.col("ambiguous") / F.col("edges")) * 100, 4).alias("health"),
+        "nodes", "isolated", "structural", "located", "edges", "extracted", "inferred", "ambiguous", "unresolved", F.round(F.col("located") / F.greatest(F.lit(1), F.col("structural")), 4).alias("location_coverage"),
+        F.round(F.col("ambiguous") / total, 4).alias("ambiguous_rate"), F.round(F.col("inferred") / total, 4).alias("inferred_rate"), F.when(F.col("nodes") == 0, 0.0).otherwise(health).alias("health"),
     )
 
 

@@ -125,10 +125,37 @@ def risk_signals(nodes: DataFrame, edges: DataFrame, hot: int = 20) -> DataFrame
     return a.join(F.broadcast(edges.agg(F.count_if(F.col("confidence") == "AMBIGUOUS").alias("ambiguous"))))  # two one-row sides
 
 
-def classify_tool(name: Column, arguments: Column) -> Column:
-    """A tool call as edit, search, read or other, by its name and arguments."""
-    both = F.lower(F.concat_ws(" ", name, arguments))
-    return F.when(both.rlike("(write|edit|patch|sed -i)"), "edit").when(both.rlike("(grep|search|find|rg )"), "search").when(both.rlike("(cat |read|open|view|head )"), "read").otherwise("other")
+#: What the watched tools do, and how commands that read or search begin. Fixed values.
+TOOLS = {"Read": "read", "NotebookRead": "read", "Grep": "search", "Glob": "search", "LS": "search", "Edit": "edit", "Write": "edit", "MultiEdit": "edit", "NotebookEdit": "edit"}
+SEARCH_COMMAND = r"^(rg|grep|egrep|ag|ack|find|fd|git\s+grep|ls\s+-[a-z]*R)\b"
+READ_COMMAND = r"^(cat|head|tail|less|more|bat|nl|sed\s+-n)\b"
+SEGMENTS = r"&&|\|\||;|\|"
+
+
+def classify_tool(name: Column, command: Column) -> Column:
+    """A tool call as edit, search or read, by its tool; a shell's (Bash) by the first part of its command that reads or searches; null: neither."""
+    parts = F.transform(F.split(F.coalesce(command, F.lit("")), SEGMENTS), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    kinds = F.filter(F.transform(parts, lambda p: F.when(p.rlike(SEARCH_COMMAND), "search").when(p.rlike(READ_COMMAND), "read")), lambda k: k.isNotNull())
+    out = F.when(name == "Bash", F.get(kinds, 0))
+    for tool, kind in TOOLS.items():
+        out = out.when(name == tool, F.lit(kind))
+    return out
+
+
+#: What a message that decides or does something mentions, and small talk. Fixed values.
+DECISIVE = r"(?i)\b(decid|implement|cambi|correg|corrig|prueb|prob|test|resultado|migr|fix|resolved|use|uses|deploy|configur|arquitect|riesgo|commit)\w*"
+CASUAL = r"(?i)^\s*(hola|gracias|ok(?:ey)?|perfecto|entendido|bye|buen[oa]s?)[.!\s]*$"
+
+
+def proposals(messages: DataFrame, most: int = 6) -> DataFrame:
+    """A proposed summary a session: its last most decisive assistant or tool messages in order: session, content, messages.
+
+    A session without one has none. Of each message the first 1200 characters count.
+    """
+    useful = messages.where(F.col("role").isin("assistant", "tool") & F.col("content").rlike(DECISIVE) & ~F.col("content").rlike(CASUAL))
+    last = useful.withColumn("back", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("seq")))).where(F.col("back") <= most)
+    rows = last.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("seq", F.concat("role", F.lit(": "), F.substring("content", 1, 1200)).alias("line")))).alias("rows"))
+    return rows.select("session", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("content"), F.size("rows").cast("long").alias("messages"))
 
 
 def current_version(rows: DataFrame, key: str, at: str) -> DataFrame:

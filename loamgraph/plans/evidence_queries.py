@@ -225,6 +225,16 @@ def graph_comment_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.comment_owners(comments, _spans(spark, sf_dir)).select("comment_id", F.coalesce("owner", F.lit(-1)).alias("owner"))
 
 
+@query("""WITH s AS (SELECT s_nationkey AS file, s_suppkey AS id, s_suppkey AS start, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE s_suppkey + s_suppkey % 7 END AS "end" FROM supplier), p AS (SELECT c_custkey AS point_id, c_nationkey AS file, c_custkey % 110 AS line FROM customer),
+m AS (SELECT point_id, id, start, "end" = 0 OR "end" >= line AS open FROM p JOIN s USING (file) WHERE start <= line), b AS (SELECT point_id, arg_max(id, (start, id)) FILTER (open) AS i, arg_max(id, (start, id)) AS a FROM m GROUP BY 1)
+SELECT point_id, coalesce(i, a, -1) AS id, i IS NOT NULL AS inside FROM p LEFT JOIN b USING (point_id)""")
+def graph_holding_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    s = M.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("file"), k.alias("id"), k.alias("start"), F.when(k % 5 == 0, 0).otherwise(k + k % 7).alias("end"))
+    p = M.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), F.col("c_nationkey").alias("file"), (F.col("c_custkey") % 110).alias("line"))
+    return V.holding(p, s).select("point_id", F.coalesce("id", F.lit(-1)).alias("id"), "inside")
+
+
 @query("""WITH c AS (SELECT o_orderkey AS call_id, 'src/' || (o_orderkey % 40) AS file, o_orderkey % 90 AS name FROM orders), s AS (SELECT p_partkey AS id, p_partkey % 90 AS name, p_brand AS module, 'src/' || p_size AS target_file FROM part),
 i AS (SELECT DISTINCT o_orderkey AS call_id, 'Brand#' || (1 + o_orderkey % 5) || (1 + o_custkey % 5) AS module FROM orders),
 m AS (SELECT c.call_id, c.file, s.id, s.target_file, i.call_id IS NOT NULL AS wanted, bool_or(c.file = s.target_file) OVER (PARTITION BY c.call_id) AS l, bool_or(i.call_id IS NOT NULL) OVER (PARTITION BY c.call_id) AS w FROM c JOIN s USING (name) LEFT JOIN i ON i.call_id = c.call_id AND i.module = s.module)

@@ -74,12 +74,12 @@ def graph_god_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.god_nodes(M.nodes(spark, sf_dir), M.edges(spark, sf_dir))
 
 
-@query(f"""WITH {N}, {E}, m AS (SELECT source AS id FROM e UNION SELECT target FROM e)
-SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM n WHERE id NOT IN (SELECT id FROM m)) AS isolated, count(*) AS edges, count(*) FILTER (confidence = 'EXTRACTED') AS extracted,
-  count(*) FILTER (confidence = 'INFERRED') AS inferred, count(*) FILTER (confidence = 'AMBIGUOUS') AS ambiguous, round(count(*) FILTER (file IS NOT NULL AND line IS NOT NULL) / count(*), 6) AS location_coverage,
-  round(count(*) FILTER (confidence = 'AMBIGUOUS') / count(*), 6) AS ambiguous_rate, round((1 - count(*) FILTER (confidence = 'AMBIGUOUS') / count(*)) * 100, 4) AS health FROM e""")
+@query(f"""WITH {N}, {E}, m AS (SELECT source AS id FROM e UNION SELECT target FROM e), c AS (SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM n WHERE id NOT IN (SELECT id FROM m)) AS isolated,
+  (SELECT count(*) FROM n WHERE kind IN ('part', 'order', 'region')) AS structural, (SELECT count(*) FROM n WHERE kind IN ('part', 'order', 'region') AND file <> '' AND line <> 0) AS located, count(*) AS edges,
+  count(*) FILTER (confidence = 'EXTRACTED') AS extracted, count(*) FILTER (confidence = 'INFERRED') AS inferred, count(*) FILTER (confidence = 'AMBIGUOUS') AS ambiguous, count(*) FILTER (confidence = 'UNRESOLVED') AS unresolved FROM e)
+SELECT *, round(located / structural, 4) AS location_coverage, round(ambiguous / edges, 4) AS ambiguous_rate, round(inferred / edges, 4) AS inferred_rate, round((1 - (ambiguous + unresolved) / edges) * 100, 2) AS health FROM c""")
 def graph_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.quality(M.nodes(spark, sf_dir), M.edges(spark, sf_dir))
+    return G.quality(M.nodes(spark, sf_dir), M.edges(spark, sf_dir), ("part", "order", "region"))
 
 
 @query(f"WITH {E} SELECT label, confidence, count(*) AS relations FROM e GROUP BY ALL")

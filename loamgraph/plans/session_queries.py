@@ -151,10 +151,31 @@ def graph_risk_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.risk_signals(M.nodes(spark, sf_dir), M.edges(spark, sf_dir))
 
 
-@query("""SELECT kind, count(*) AS calls FROM (SELECT CASE WHEN regexp_matches(lower(event_type || ' ' || props), '(write|edit|patch|sed -i)') THEN 'edit' WHEN regexp_matches(lower(event_type || ' ' || props), '(grep|search|find|rg )') THEN 'search'
-  WHEN regexp_matches(lower(event_type || ' ' || props), '(cat |read|open|view|head )') THEN 'read' ELSE 'other' END AS kind FROM events) GROUP BY 1""")
+TOOL_NAMES = ["Read", "Grep", "Write", "Bash", "Task", "LS"]
+COMMANDS = ["cd x && rg 'a b' src", "make; cat a.txt | grep x", "git commit", "git  grep -n y", "ls -laR /", "echo cat", "  sed -n 1,5p f", "catalog"]
+
+
+def _tool_sql() -> str:
+    tools = " ".join(f"WHEN name = '{k}' THEN '{v}'" for k, v in O.TOOLS.items())
+    names = ", ".join(f"'{n}'" for n in TOOL_NAMES)
+    commands = ", ".join("'" + c.replace("'", "''") + "'" for c in COMMANDS)
+    return rf"""WITH c AS (SELECT [{names}][event_id % {len(TOOL_NAMES)} + 1] AS name, [{commands}][event_id % {len(COMMANDS)} + 1] AS command FROM events),
+s AS (SELECT *, list_filter(list_transform(string_split_regex(command, '{O.SEGMENTS}'), lambda p: CASE WHEN regexp_matches(trim(p), '{O.SEARCH_COMMAND}') THEN 'search' WHEN regexp_matches(trim(p), '{O.READ_COMMAND}') THEN 'read' END), lambda k: k IS NOT NULL) AS ks FROM c)
+SELECT name, command, coalesce(CASE WHEN name = 'Bash' THEN ks[1] {tools} END, 'none') AS kind, count(*) AS calls FROM s GROUP BY ALL"""
+
+
+@query(_tool_sql())
 def hist_tool_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.table(spark, sf_dir, "events").select(O.classify_tool(F.col("event_type"), F.col("props")).alias("kind")).groupBy("kind").agg(F.count("*").alias("calls"))
+    """Events as tool calls: every tool with every command."""
+    pick = lambda of: F.get(F.array(*[F.lit(x) for x in of]), (F.col("event_id") % len(of)).cast("int"))
+    c = M.table(spark, sf_dir, "events").select(pick(TOOL_NAMES).alias("name"), pick(COMMANDS).alias("command"))
+    return c.withColumn("kind", F.coalesce(O.classify_tool(F.col("name"), F.col("command")), F.lit("none"))).groupBy("name", "command", "kind").agg(F.count("*").alias("calls"))
+
+
+@query(f"""WITH {MSG}, u AS (SELECT * FROM m WHERE role IN ('assistant', 'tool') AND regexp_matches(content, '{O.DECISIVE}') AND NOT regexp_matches(content, '{O.CASUAL}')),
+l AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS back FROM u) SELECT session, string_agg(role || ': ' || substr(content, 1, 1200), chr(10) ORDER BY seq) AS content, count(*) AS messages FROM l WHERE back <= 6 GROUP BY 1""")
+def msg_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.proposals(M.messages(spark, sf_dir))
 
 
 @query("""WITH l AS (SELECT user_id AS key, ts, event_id AS version, CASE WHEN event_type = 'error' THEN 'deleted' ELSE event_type END AS status FROM events)
