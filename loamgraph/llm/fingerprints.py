@@ -138,9 +138,17 @@ def edited_fingerprints(docs: DataFrame, one_in: int = ONE_IN, size: int = 5, le
     marked = own.withColumn("fingerprint", fingerprint(F.col("text"), one_in, size, least))
     nameless, named = marked.where("key is null"), marked.where("key is not null").repartition("key")
     least_text = F.min(F.struct("text", "fingerprint")).alias("n")
-    heads = named.groupBy("key").agg(least_text).unionByName(nameless.groupBy(F.lit(NO_ID).alias("key")).agg(least_text))
+    heads = named.groupBy("key").agg(least_text)
+    some = not nameless.isEmpty()
+    if some:
+        heads = heads.unionByName(nameless.groupBy(F.lit(NO_ID).alias("key")).agg(least_text))
     sent = pairs.join(heads, pairs["next_key"] == heads["key"]).select("to", F.substring("n.text", F.lit(1), F.col("most")).alias("head"), F.col("n.fingerprint").alias("next_fingerprint"))
-    rows = named.join(sent, named["key"] == sent["to"]).unionByName(nameless.join(F.broadcast(sent.where(F.col("to") == NO_ID)), F.coalesce(nameless["key"], F.lit(NO_ID)) == F.col("to")))
+    rows = named.join(sent, named["key"] == sent["to"]).select("key", "text", "fingerprint", "head", "next_fingerprint")
+    if some:  # what follows them is the document with the least doc_id, or the least of themselves
+        first = own.agg(F.min("key")).first()[0]
+        after = marked.where(F.col("key").isNull() if first is None else F.col("key") == first).groupBy(F.lit(NO_ID).alias("to")).agg(least_text)
+        met = nameless.join(F.broadcast(after), F.coalesce(nameless["key"], F.lit(NO_ID)) == after["to"])  # one row
+        rows = rows.unionByName(met.select("key", "text", "fingerprint", F.col("n.text").alias("head"), F.col("n.fingerprint").alias("next_fingerprint")))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("head", F.lit(1), quarter))
