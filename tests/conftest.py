@@ -45,6 +45,7 @@ def duck():
 def normal(frame) -> list[tuple]:
     """Rows of a pandas frame in an order and form that two engines share."""
     out = []
+    frame = frame.astype(object).where(frame.notna(), None)
     for row in frame[sorted(frame.columns)].itertuples(index=False):
         out.append(tuple("~" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(int(v)) if hasattr(v, "__int__") and not isinstance(v, (str, bool)) and hasattr(v, "bit_length") else str(v) for v in row))
     return sorted(out)
