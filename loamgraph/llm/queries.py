@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import chat_format, decontamination, fingerprints, html_extract, jaccard_join, language_id, license_scan, lm_scoring, packing, toxicity
+from loamgraph.llm import chat_format, decontamination, filter_audit, fingerprints, html_extract, importance, jaccard_join, language_id, license_scan, lm_scoring, packing, toxicity, va_file
 from loamgraph.llm.common import table
 
 #: All control strings in one text, as the contract's conversation -1 has it.
@@ -270,11 +270,98 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents, by part, order and step."""
+    return filter_audit.audit(filter_audit.failing_sets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents
+), y AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN y USING (doc_id)
+), g AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+m AS (
+  SELECT part, filter_order, step, substr(filter_order, step::INT, 1) AS filter, good, toxic, n, fails,
+    len(replace(translate(fails, substr(filter_order, 1, step::INT - 1), ''), ' ', '')) < len(fails) AS before, contains(fails, substr(filter_order, step::INT, 1)) AS hit
+  FROM g, s
+), r AS (
+  SELECT part, filter_order, step, filter, sum(CASE WHEN NOT before AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT before AND hit THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN before AND hit THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = filter THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT before AND hit AND good = 1 THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN NOT before AND hit AND toxic = 1 THEN n ELSE 0 END) AS toxic_lost
+  FROM m GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r"""
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors by integer inner product of every row whose vec_id is divisible by 50, against all rows."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return va_file.search(vectors, vectors.where("vec_id % 50 = 0"), k=5).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, q.v AS q, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON len(q.v) = len(c.v) AND NOT (q.vec_id = c.vec_id AND q.v = c.v) WHERE q.vec_id % 50 = 0
+), r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id, q ORDER BY score DESC NULLS LAST, vec_id NULLS LAST) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight for the benchmark's distribution, its score, and its rank if it is drawn."""
+    return importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+OP13_SQL = """
+WITH RECURSIVE bits(i, b, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN b % 2 = 1 THEN xor(b // 2, 3988292384) ELSE b // 2 END, k + 1 FROM bits WHERE k < 8
+), low AS (
+  SELECT doc_id, row_number() OVER () AS row, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+), target AS (
+  SELECT list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), mine AS (
+  SELECT row, f, count(*) AS n FROM (SELECT row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM low) GROUP BY ALL
+), theirs AS (
+  SELECT f, count(*) AS n FROM (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM target) GROUP BY 1
+), names AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM mine UNION SELECT f FROM theirs)),
+steps(f, h, pos, c) AS (
+  SELECT f, h, 0, 4294967295::BIGINT FROM names
+  UNION ALL SELECT f, h, pos + 1, xor(c // 256, b) FROM steps JOIN bits ON k = 8 AND i = xor(c % 256, ('0x' || substr(h, 2 * pos + 1, 2))::BIGINT) WHERE 2 * pos < len(h)
+), hashed AS (SELECT f, (4294967295 - c) % 10000 AS bucket FROM steps WHERE 2 * pos = len(h)),
+s AS (SELECT bucket, sum(n) AS s FROM mine JOIN hashed USING (f) GROUP BY 1),
+t AS (SELECT bucket, sum(n) AS t FROM theirs JOIN hashed USING (f) GROUP BY 1),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT sum(s) FROM s)::DOUBLE + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (coalesce((SELECT sum(t) FROM t), 0)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)
+), sums AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM mine JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (
+  SELECT doc_id, row, len(w) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM low LEFT JOIN sums USING (row)
+), placed AS (SELECT *, row_number() OVER (ORDER BY fit DESC, weight + noise DESC, doc_id NULLS LAST, n_features) AS place FROM scored)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN fit AND place <= (SELECT 25 * count(*) // 100 FROM scored WHERE fit) THEN place END AS rank FROM placed"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_toxicity, op4_license_scan, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_lm_scoring, op8_best_fit_packing, op9_document_fingerprints, op10_html_extraction)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_toxicity, op4_license_scan, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_lm_scoring, op8_best_fit_packing, op9_document_fingerprints, op10_html_extraction, op11_filter_audit, op12_exact_topk, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -286,4 +373,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_benchmark_decontamination": OP6_SQL,
         "op7_lm_scoring": OP7_SQL,
         "op9_document_fingerprints": OP9_SQL,
+        "op11_filter_audit": OP11_SQL,
+        "op12_exact_topk": OP12_SQL,
+        "op13_importance_resampling": OP13_SQL,
     }
