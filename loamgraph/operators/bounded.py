@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,8 +163,8 @@ def overview_quality(flags: list[Column]) -> Column:
 
 
 def identifier_hits(lines: DataFrame, names: list[str], most: int = 3) -> DataFrame:
-    """The first most lines (file, line, text) that have each name as a whole word: name, file, line."""
-    found = F.filter(F.array(*[F.when(F.col("text").rlike(rf"(^|[^A-Za-z0-9_]){n}($|[^A-Za-z0-9_])"), F.lit(n)) for n in names]), lambda x: x.isNotNull())
+    """The first most lines (file, line, text) that have each name as a whole word: name, file, line. Names are plain text, not patterns."""
+    found = F.filter(F.array(*[F.when(F.col("text").rlike(rf"(^|[^A-Za-z0-9_]){re.escape(n)}($|[^A-Za-z0-9_])"), F.lit(n)) for n in names]), lambda x: x.isNotNull())
     hits = lines.select("file", "line", F.explode(found).alias("name"))
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("file", "line"))).where(F.col("place") <= most).select("name", "file", "line")
 

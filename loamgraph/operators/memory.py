@@ -57,14 +57,16 @@ OUTCOMES = {"useful": 1.0, "dead_end": -0.75, "corrected": -1.0}
 def learning_overlay(signals: DataFrame, as_of: Column, half_life_days: float = 30.0) -> DataFrame:
     """node, score, signals, stale_signals and label from outcomes (node, outcome, ts, stale): each counts half as much every half-life.
 
-    An outcome after as_of counts in full; an unknown one counts as a signal worth nothing.
+    An outcome after as_of counts in full; an unknown one counts as a signal worth nothing. Weights (four digits) are summed
+    as decimals and rounded once, so the score does not depend on the order of the sum.
     """
     age = (F.unix_micros(F.to_timestamp_ltz(as_of)) - F.unix_micros(F.to_timestamp_ltz(F.col("ts")))) / F.lit(86_400_000_000.0)
     weight = F.round(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), age) / half_life_days), 4)
-    value = F.lit(0.0)
+    value = F.lit(0).cast("decimal(3,2)")
     for outcome, worth in OUTCOMES.items():
-        value = F.when(F.col("outcome") == outcome, worth).otherwise(value)
-    s = signals.groupBy("node").agg(F.round(F.sum(value * weight), 4).alias("score"), F.count("*").alias("signals"), F.count_if(F.col("stale")).alias("stale_signals"))
+        value = F.when(F.col("outcome") == outcome, F.lit(worth).cast("decimal(3,2)")).otherwise(value)
+    worth = (value * weight.cast("decimal(5,4)")).cast("decimal(18,6)")
+    s = signals.groupBy("node").agg(F.round(F.sum(worth), 4).cast("double").alias("score"), F.count("*").alias("signals"), F.count_if(F.col("stale")).alias("stale_signals"))
     return s.withColumn("label", F.when(F.col("score") >= 0.5, "preferred").when(F.col("score") <= -0.5, "contested").otherwise("tentative"))
 
 

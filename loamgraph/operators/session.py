@@ -117,12 +117,33 @@ def first_neighbors(edges: DataFrame, most: int = 6) -> DataFrame:
     return both.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("other"))).where(F.col("place") <= most)
 
 
-def risk_signals(nodes: DataFrame, edges: DataFrame, hot: int = 20) -> DataFrame:
-    """One row: ambiguous edges, hotspots (distinct names of degree hot and more), nodes without edges, nodes without tests."""
-    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    met = nodes.select("id", "name", "file").join(ends, "id", "left")
-    a = met.agg(F.count_distinct(F.when(F.col("degree") >= hot, F.col("name"))).alias("hotspots"), F.count_if(F.col("degree").isNull()).alias("isolated"), F.count_if(F.col("file").startswith("tests/")).alias("tests"))
-    return a.join(F.broadcast(edges.agg(F.count_if(F.col("confidence") == "AMBIGUOUS").alias("ambiguous"))))  # two one-row sides
+#: Kinds of nodes that can be hotspots. Fixed value.
+HOT_KINDS = ("class", "interface", "struct", "function", "method", "route")
+
+
+def risk_signals(nodes: DataFrame, edges: DataFrame, documented: bool, hot_kinds: tuple[str, ...] = HOT_KINDS, route_kind: str = "route", dispatch: str = "despacha", hot: int = 20) -> DataFrame:
+    """signal, level, n and names of each risk that a graph shows; one without a finding gives no row.
+
+    Ambiguous relations with their six most frequent labels (label=count), unresolved ones, up to five hotspots (degree hot
+    and more, one a lower-cased name of three letters and more), no documentation, no file that is named as a test, and
+    routes from which no dispatch edge starts. Ties go to the smaller label or id.
+    """
+    told = lambda level, signal, n, names: [F.lit(signal).alias("signal"), F.lit(level).alias("level"), n.cast("long").alias("n"), names.cast("array<string>").alias("names")]
+    none = F.array().cast("array<string>")
+    held = edges.groupBy(F.upper(F.coalesce("confidence", F.lit("UNKNOWN"))).alias("confidence"), F.coalesce("label", F.lit("unknown")).alias("label")).agg(F.count("*").alias("n"))
+    by = F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "label"))), lambda x: F.concat(x["label"], F.lit("="), (-x["n"]).cast("string"))), 1, 6)
+    ambiguous = held.where("confidence = 'AMBIGUOUS'").agg(F.sum("n").alias("n"), by.alias("names")).where("n > 0").select(*told("medium", "ambiguous_relations", F.col("n"), F.col("names")))
+    unresolved = held.where("confidence = 'UNRESOLVED'").agg(F.sum("n").alias("n")).where("n > 0").select(*told("medium", "unresolved_relations", F.col("n"), none))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree")).where(F.col("degree") >= hot)
+    named = nodes.where(F.col("kind").isin(*hot_kinds) & (F.length("name") >= 3)).select("id", "name").join(ends, "id")
+    first = named.groupBy(F.lower("name").alias("low")).agg(F.min(F.struct((-F.col("degree")).alias("degree"), "id", "name")).alias("m")).select("m.*")
+    five = first.orderBy("degree", "id").limit(5).agg(F.array_sort(F.collect_list(F.struct("degree", "id", "name"))).alias("m"))
+    hotspots = five.where("size(m) > 0").select(*told("review", "high_connectivity_hotspots", F.size("m"), F.col("m.name")))
+    tests = nodes.agg(F.count_if(F.lower("file").contains("test")).alias("n")).where("n = 0").select(*told("medium", "no_indexed_tests", F.lit(0), none))
+    open_routes = nodes.where(F.col("kind") == route_kind).select("id").distinct().join(edges.where(F.col("label") == dispatch).select(F.col("source").alias("id")), "id", "left_anti")
+    routes = open_routes.agg(F.count("*").alias("n")).where("n > 0").select(*told("review", "routes_without_resolved_controller", F.col("n"), none))
+    out = ambiguous.unionByName(unresolved).unionByName(hotspots).unionByName(tests).unionByName(routes)
+    return out if documented else out.unionByName(nodes.sparkSession.range(1).select(*told("low", "missing_architecture_documentation", F.lit(0), none)))
 
 
 #: What the watched tools do, and how commands that read or search begin. Fixed values.

@@ -67,11 +67,11 @@ def graph_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.unionByName(links.groupBy(F.col("label").alias("of")).agg(F.count("*").alias("n")).select(F.lit("link").alias("what"), "of", "n"))
 
 
-@query("""WITH t AS (SELECT DISTINCT doc_id % 211 AS topic FROM documents), x AS (SELECT doc_id % 211 AS topic, source AS agent FROM documents)
-SELECT topic FROM t WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.topic = t.topic AND lower(coalesce(agent, '')) NOT IN ('src1', 'src2', 'src3', 'src4', 'src5'))""")
+@query("""WITH x AS (SELECT doc_id // 2 AS topic, source AS agent FROM documents), t AS (SELECT DISTINCT topic FROM x)
+SELECT topic FROM t WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.topic = t.topic AND lower(coalesce(agent, '')) NOT IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9', 'src10'))""")
 def doc_visible_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    episodes = M.table(spark, sf_dir, "documents").select((F.col("doc_id") % 211).alias("topic"), F.col("source").alias("agent"))
-    return B.visible_topics(episodes.select("topic").distinct(), episodes, ["SRC1", "src2", "src3", "src4", "src5"], private=True)
+    episodes = M.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).alias("topic"), F.col("source").alias("agent"))
+    return B.visible_topics(episodes.select("topic").distinct(), episodes, ["SRC1", *[f"src{i}" for i in range(2, 11)]], private=True)
 
 
 @query(f"""WITH c AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '  <environment_context> ' WHEN 1 THEN 'Shared memory says message_id 7: ' WHEN 2 THEN 'please retrieve from loamgraph shared memory: ' WHEN 3 THEN '<instructions> see agents.md ' ELSE '' END || text AS t,
@@ -181,11 +181,11 @@ def hist_audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.observations(spark, sf_dir).where(F.col("session").isin(1, 2, 3, 5, 8)).orderBy(F.desc("ts"), F.desc("id")).limit(40).select("id", "session", "action")
 
 
-@query("""WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents), k AS (SELECT unnest(['the', 'der', 'license', 'zzzz']) AS name),
-h AS (SELECT name, file, line, row_number() OVER (PARTITION BY name ORDER BY file, line) AS place FROM l, k WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])' || name || '($|[^A-Za-z0-9_])')) SELECT name, file, line FROM h WHERE place <= 3""")
+@query("""WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents), k AS (SELECT unnest(['the', 'der', 'license', 'e.g', '$1']) AS name),
+h AS (SELECT name, file, line, row_number() OVER (PARTITION BY name ORDER BY file, line) AS place FROM l, k WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])' || regexp_escape(name) || '($|[^A-Za-z0-9_])')) SELECT name, file, line FROM h WHERE place <= 3""")
 def src_identifier_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = M.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("i", "text")).select("file", (F.col("i") + 1).cast("long").alias("line"), "text")
-    return B.identifier_hits(lines, ["the", "der", "license", "zzzz"])
+    return B.identifier_hits(lines, ["the", "der", "license", "e.g", "$1"])
 
 
 @query(f"""WITH {MSG}, k AS ({M.MEMORIES_SQL}), a AS (SELECT agent, count(DISTINCT session) AS sessions, count(*) AS messages, 0 AS memories FROM m GROUP BY 1 UNION ALL SELECT agent, count(DISTINCT session), 0, count(*) FROM k GROUP BY 1)

@@ -145,10 +145,18 @@ def graph_first_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.first_neighbors(M.edges(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"""WITH {N}, {E}, d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1)
-SELECT count(DISTINCT name) FILTER (degree >= 20) AS hotspots, count(*) FILTER (degree IS NULL) AS isolated, count(*) FILTER (starts_with(file, 'tests/')) AS tests, (SELECT count(*) FROM e WHERE confidence = 'AMBIGUOUS') AS ambiguous FROM n LEFT JOIN d USING (id)""")
+@query(f"""WITH {N}, {E}, d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1 HAVING count(*) >= 20),
+a AS (SELECT label, count(*) AS n FROM e WHERE confidence = 'AMBIGUOUS' GROUP BY 1), h AS (SELECT id, name, degree, row_number() OVER (PARTITION BY lower(name) ORDER BY degree DESC, id) AS k FROM n JOIN d USING (id) WHERE kind IN ('part', 'supplier', 'nation') AND length(name) >= 3),
+f AS (SELECT * FROM h WHERE k = 1 ORDER BY degree DESC, id LIMIT 5)
+SELECT 'ambiguous_relations' AS signal, 'medium' AS level, CAST(sum(n) AS BIGINT) AS n, array_to_string((list(label || '=' || n ORDER BY n DESC, label))[1:6], ',') AS names FROM a HAVING sum(n) > 0
+UNION ALL SELECT 'unresolved_relations', 'medium', count(*), '' FROM e WHERE confidence = 'UNRESOLVED' HAVING count(*) > 0
+UNION ALL SELECT 'high_connectivity_hotspots', 'review', count(*), string_agg(name, ',' ORDER BY degree DESC, id) FROM f HAVING count(*) > 0
+UNION ALL SELECT 'no_indexed_tests', 'medium', 0, '' FROM n HAVING count(*) FILTER (contains(lower(file), 'test')) = 0
+UNION ALL SELECT 'routes_without_resolved_controller', 'review', count(*), '' FROM n WHERE kind = 'customer' AND id NOT IN (SELECT source FROM e WHERE label = 'creates') HAVING count(*) > 0
+UNION ALL SELECT 'missing_architecture_documentation', 'low', 0, ''""")
 def graph_risk_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.risk_signals(M.nodes(spark, sf_dir), M.edges(spark, sf_dir))
+    found = O.risk_signals(M.nodes(spark, sf_dir), M.edges(spark, sf_dir), False, ("part", "supplier", "nation"), "customer", M.CREATES)
+    return found.withColumn("names", F.array_join("names", ","))
 
 
 TOOL_NAMES = ["Read", "Grep", "Write", "Bash", "Task", "LS"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as X
-from loamgraph.functions.lineage import shared_dir
+from loamgraph.functions.lineage import scratch, shared_dir
 from loamgraph.operators import graph as G
 from loamgraph.operators import impact as P
 from loamgraph.operators import retrieval as R
@@ -17,7 +17,7 @@ from loamgraph.operators import traverse as T
 from loamgraph.plans import intent as I
 from loamgraph.plans.graph_queries import BOTH_SQL, CHANGED, E, N, _rounds_sql
 from loamgraph.sources import model as M
-from loamgraph.streaming import tail
+from loamgraph.streaming import tail, topics
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -244,7 +244,15 @@ def stream_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def msg_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tail.assign_topics(M.messages(spark, sf_dir)).groupBy("session").agg((F.max("topic") + 1).alias("topics"), F.count("*").alias("messages"))
+    """Topics of all messages, taken in as a stream that is restarted once; a message's first word stands for the function that it is about."""
+    base = scratch(spark, "topics")
+    m = M.messages(spark, sf_dir).select(F.col("agent").alias("owner"), "session", "seq", F.col("seq").alias("at"), "role", F.concat(F.lit("function "), F.coalesce("content", F.lit(""))).alias("content"))
+    schema = "owner string, session long, seq long, at long, role string, content string"
+    for part in ("seq < 2", "seq >= 2"):
+        m.where(part).write.mode("append").parquet(f"{base}/in")
+        topics.run_topics(spark, f"{base}/in", schema, f"{base}/out", f"{base}/state")
+    done = spark.read.parquet(f"{base}/out")
+    return done.groupBy("session").agg(F.count_distinct("topic").alias("topics"), F.count_if(F.col("action") == "continued").alias("continued"), F.count("*").alias("messages"))
 
 
 @query("""WITH m AS (SELECT p_partkey AS id, lower(p_name) AS text FROM part), q AS (SELECT 'red' AS t UNION ALL SELECT 'bolt') SELECT id, count(*) AS hits FROM m JOIN q ON contains(text, t) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25""")

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as X
+from loamgraph.functions.lineage import scratch
 from loamgraph.operators import memory as Y
 from loamgraph.operators import retrieval as R
 from loamgraph.sources import model as M
+from loamgraph.streaming import tail
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -67,8 +69,8 @@ def hist_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.retained(M.observations(spark, sf_dir), as_of, 20, F.col("action") == "purchase").groupBy("action", "kept").agg(F.count("*").alias("events"))
 
 
-@query(f"""WITH {OBS}, s AS (SELECT session AS node, CASE action WHEN 'purchase' THEN 1.0 WHEN 'click' THEN -0.75 ELSE -1.0 END::DOUBLE AS value, ts, value < 20 AS stale FROM o WHERE action IN ('purchase', 'click', 'error')),
-t AS (SELECT node, round(sum(value * round(pow(0.5::DOUBLE, greatest(0.0::DOUBLE, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 86400000000.0::DOUBLE) / 30.0::DOUBLE), 4)), 4) AS score,
+@query(f"""WITH {OBS}, s AS (SELECT session AS node, CASE action WHEN 'purchase' THEN 1.0 WHEN 'click' THEN -0.75 ELSE -1.0 END::DECIMAL(3,2) AS value, ts, value < 20 AS stale FROM o WHERE action IN ('purchase', 'click', 'error')),
+t AS (SELECT node, round(sum(value * round(pow(0.5::DOUBLE, greatest(0.0::DOUBLE, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 86400000000.0::DOUBLE) / 30.0::DOUBLE), 4)::DECIMAL(5,4)), 4)::DOUBLE AS score,
   count(*) AS signals, count(*) FILTER (stale) AS stale_signals FROM s GROUP BY 1)
 SELECT *, CASE WHEN score >= 0.5 THEN 'preferred' WHEN score <= -0.5 THEN 'contested' ELSE 'tentative' END AS label FROM t""")
 def hist_learning_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,10 +168,14 @@ def msg_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.messages(spark, sf_dir).groupBy("agent", "role").agg(F.count("*").alias("messages"), F.sum(X.token_estimate(F.col("content"))).alias("tokens"))
 
 
-@query(f"""WITH {MSG}, d AS (SELECT session, role, sha256(content) AS digest, min(seq) AS seq, count(*) AS copies FROM m GROUP BY ALL) SELECT session, role, seq, copies FROM d WHERE copies > 1""")
+@query(f"""WITH {MSG} SELECT session, role, sha256(content) AS digest, 1::BIGINT AS copies, CAST(min(CASE WHEN seq <= 2 THEN 1 ELSE 2 END) AS INTEGER) AS run FROM m GROUP BY 1, 2, 3""")
 def msg_idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = M.messages(spark, sf_dir).withColumn("digest", F.sha2(F.encode("content", "UTF-8"), 256))
-    return m.groupBy("session", "role", "digest").agg(F.min("seq").alias("seq"), F.count("*").alias("copies")).where("copies > 1").select("session", "role", "seq", "copies")
+    """First the early messages, then twice all of them, appended to one table: each (session, role, digest) once, by the run that brought it."""
+    m = M.messages(spark, sf_dir).select("session", "role", "seq", F.sha2(F.encode("content", "UTF-8"), 256).alias("digest"))
+    path = scratch(spark, "append")
+    for run, rows in enumerate((m.where("seq <= 2"), m, m), 1):
+        tail.append_new(rows.select("session", "role", "digest", F.lit(run).alias("run")), path, ["session", "role", "digest"])
+    return spark.read.parquet(path).groupBy("session", "role", "digest").agg(F.count("*").alias("copies"), F.min("run").alias("run"))
 
 
 #: The first line of a handoff. Fixed value.
@@ -256,16 +262,22 @@ def doc_claim_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.memories(spark, sf_dir).select(Y.claim_policy(F.col("status"), **facts).alias("policy")).groupBy("policy").agg(F.count("*").alias("memories"))
 
 
-def _redacted_sql(column: str) -> str:
+def _redactions_sql(column: str) -> str:
+    """text.redactions() in SQL."""
+    counts = [f"len(regexp_extract_all({_redacted_sql(column, k)}, '{p.replace(chr(39), chr(39) * 2)}'))" for k, (p, _) in enumerate(X.SECRETS)]
+    return " + ".join(counts)
+
+
+def _redacted_sql(column: str, steps: int = len(X.SECRETS)) -> str:
     out = column
-    for p, to in X.SECRETS:
+    for p, to in X.SECRETS[:steps]:
         quoted = p.replace("'", "''")
         to = to.replace("$1", r"\1")
         out = f"regexp_replace({out}, '{quoted}', '{to}', 'g')"
     return out
 
 
-@query(f"SELECT doc_id, (length(r) - length(replace(r, '[REDACTED]', ''))) // 10 AS redactions, sha256(r) AS redacted_sha256 FROM (SELECT doc_id, {_redacted_sql('text')} AS r FROM documents)")
+@query(f"SELECT doc_id, CAST({_redactions_sql('text')} AS BIGINT) AS redactions, sha256({_redacted_sql('text')}) AS redacted_sha256 FROM documents")
 def doc_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = M.table(spark, sf_dir, "documents")
     return d.select("doc_id", X.redactions(F.col("text")).alias("redactions"), F.sha2(F.encode(X.redact(F.col("text")), "UTF-8"), 256).alias("redacted_sha256"))

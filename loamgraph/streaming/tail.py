@@ -1,4 +1,4 @@
-"""Incremental ingest: tailing JSON lines, idempotent appends, a per-session topic state machine."""
+"""Incremental ingest: tailing JSON lines, idempotent appends, a cursor by session."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 RECORD = "session string, seq long, role string, content string, ts string, id string, event_type string, metadata string"
 #: An append-only table is dealt into so many folders by a hash of its keys, so a batch reads the keys of few of them.
 BUCKETS = 64
-TOPIC = "session long, seq long, topic int"
 
 
 def parse_lines(lines: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
@@ -67,25 +66,6 @@ def action_counts(events: DataFrame, late: str = "1 hour", size: str = "1 day")
     return events.withColumn("at", F.to_timestamp_ltz("ts")).withWatermark("at", late).groupBy(F.window("at", size), "event_type").agg(F.count("*").alias("events"))
 
 
-def assign_topics(messages: DataFrame, least_shared: int = 2) -> DataFrame:
-    """session, seq, topic of messages (session, seq, content): a message stays in the topic if it shares words of five or more letters with it.
-
-    A fold in message order within each session; a topic keeps its last 200 words, so state is bounded.
-    """
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        topic, words, out = 0, [], []
-        for r in df.sort_values("seq").itertuples(index=False):
-            own = [w for w in str(r.content or "").lower().split() if len(w) >= 5]
-            if words and len(set(own) & set(words)) < least_shared:
-                topic, words = topic + 1, []
-            words = (words + own)[-200:]
-            out.append((r.session, r.seq, topic))
-        return pd.DataFrame(out, columns=["session", "seq", "topic"])
-
-    return messages.select("session", "seq", "content").groupBy("session").applyInPandas(run, TOPIC)
-
-
 def stream_cursor(messages: DataFrame, most_tokens: int = 12_000, most_rows: int = 30) -> DataFrame:
     """A streaming cursor by session: how many messages are compacted, in how many batches, and the last seq, kept as state.
 

@@ -165,11 +165,6 @@ def test_tail_is_idempotent(spark):
     assert {r["state"]: r["count"] for r in states} == {"malformed": 1, "oversized": 1}
 
 
-def test_topics_change_with_the_words(spark):
-    m = spark.createDataFrame([(1, 0, "gateway timeout errors"), (1, 1, "gateway timeout again"), (1, 2, "holiday picture album"), (2, 0, None)], "session long, seq long, content string")
-    assert [(r["session"], r["topic"]) for r in tail.assign_topics(m).orderBy("session", "seq").collect()] == [(1, 0), (1, 0), (1, 1), (2, 0)]
-
-
 def test_every_document_has_a_feature_vector(spark):
     from loamgraph import registry
     from loamgraph.sources import model as M
