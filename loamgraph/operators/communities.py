@@ -1,10 +1,11 @@
 """Communities of a weighted graph by modularity: local moves, contraction, levels.
 
-A round finds each node's best move to a neighbor's community. Of adjacent movers only the one with the greater number drawn for
-this round moves, so neighbors never move together; as the moves of a round are chosen on the same totals, they can
-still overshoot together. The next round measures the modularity; where it has not grown, that round is taken back and only
-moves that share no community are made: their gains add up exactly. So modularity grows with every round kept, and a level
-ends when no move gains. Then each community becomes a node, and levels go on until one changes nothing.
+A round finds each node's best move to a neighbor's community and makes the larger one of two sets of moves. In one, no two moves share a
+community that they leave or enter: their gains add up exactly (many in dense graphs). In the other, of adjacent movers only
+the one with the greater number drawn for this round moves, so neighbors never move together (many in sparse graphs); as
+these are chosen on the same totals, they can still overshoot together. The next round measures the modularity; where it has
+not grown, that round is taken back and the first set is made. So modularity grows with every round kept, and a level ends
+when no move gains. Then each community becomes a node, and levels go on until one changes nothing.
 
 A round is joins and sums over the edges; the labels and moves, a row a node, are written to the shared folder. Nothing but
 totals and counts comes to the driver.
@@ -76,7 +77,9 @@ def _settle(edges: DataFrame, nodes: DataFrame, labels: DataFrame, whole: float,
             return labels, turn, changed
         else:
             turn += 1
-            chosen, before, last = _apart(edges, moves, turn), q, moves
+            apart, disjoint = written(_apart(edges, moves, turn), "apart"), written(_disjoint(moves), "disjoint")
+            wide = apart.count() > disjoint.count()
+            chosen, before, last = apart if wide else disjoint, q if wide else None, moves
         labels = written(moves.select("u", "c").join(chosen, "u", "left").select("u", F.coalesce("target", "c").alias("c")), "labels")
         changed = True
 
