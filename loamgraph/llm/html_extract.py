@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Comments, elements of raw text (to the end of the page if not closed), tags, declarations. An element's name ends at white space, "/" or ">".
+#: Comments, elements of raw text (to the end of the page if not closed), tags, declarations, and tags in which a quote is never closed: these end
+#: at their first ">". An element's name ends at white space, "/" or ">".
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe|textarea|title)(?=[\s/>])[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?=[\s/>\"'])([^<>]*)>|</[^>]*>",
     re.S | re.I,
 )
 #: Other elements whose content is no text, with their ends. Where no end follows, the tag alone is left out.
@@ -103,14 +104,14 @@ def blocks(page: str | None) -> list[Block]:
             if links:
                 linked += len(part)
         at = m.end()
-        tag = m[3]
+        ends, tag, attributes = m.group(2, 3, 4) if m[6] is None else m.group(5, 6, 7)
         if tag is None:
             if m[1]:
                 flush()
             continue
         tag = tag.lower()
-        if tag in SKIPPED and not m[2]:
-            if not m[4].endswith("/") and tag not in unclosed:
+        if tag in SKIPPED and not ends:
+            if not attributes.endswith("/") and tag not in unclosed:
                 if end := SKIPPED[tag].search(page, at):
                     at = end.end()
                 else:
@@ -120,10 +121,10 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in INLINE:
             if tag == "a":
-                links = 0 if m[2] else 1
+                links = 0 if ends else 1
             continue
         flush()
-        if m[2]:
+        if ends:
             if opened[tag]:
                 pop_to(max(k for k in range(len(stack)) if stack[k][0] == tag) if stack[-1][0] != tag else len(stack) - 1)
                 links = 0
@@ -143,9 +144,9 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[k][0] in kinds:
                     pop_to(k)
                     break
-        if tag in VOID or (m[4] or "").endswith("/"):
+        if tag in VOID or (attributes or "").endswith("/"):
             continue
-        own = (tag, *_names(m[4] or ""))
+        own = (tag, *_names(attributes or ""))
         stack.append((tag, own))
         opened[tag] += 1
         path = path + own if len(path) < PATH_TOKENS else path

@@ -483,6 +483,14 @@ def test_deep_pages_and_split_references():
     assert [b.text for b in html_extract.blocks("<p>a &<b>amp;</b> b &amp; c</p>")] == ["a &amp; b & c"]
 
 
+def test_tags_with_a_quote_that_never_closes():
+    texts = lambda page: [b.text for b in html_extract.blocks(page)]
+    assert texts('<p class="un>closed>q</p>') == ["closed>q"]
+    assert texts('<div><p class="un>one<p>two</p></div>') == ["one", "two"]
+    assert texts("<p title='a>b</p><ul><li>x</ul>") == ["b", "x"]
+    assert texts('<p a="x<y>z">ok</p>') == ["ok"] and texts("a < b and c > d") == ["a < b and c > d"]
+
+
 def test_labeller_against_plain_loops():
     rng = random.Random(5)
     from loamgraph.llm import html_train
