@@ -23,6 +23,11 @@ UNITS = (
     "kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes l ml liter liters litre litres gallon gallons s ms sec second seconds min minute minutes h hr hour hours day "
     "days week weeks month months year years percent dollar dollars euro euros cent cents usd eur gbp kmh mph kph kw kwh w v hz khz mhz ghz kb mb gb tb degree degrees"
 ).split()
+#: Words that stand for numbers. Fixed values.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand "
+    "million billion dozen half twice thrice"
+).split()
 #: What parts tokens once marks are set.
 PARTING = r"[^\p{L}\p{N}#@_]+"
 
@@ -35,9 +40,14 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 def marked_text(text: Column) -> Column:
     """Tokens between single spaces in lower case; "#", "@" or "%" stands before each number, name or unit.
 
-    A name is a capitalised word inside a sentence. Everything but letters and digits parts tokens.
+    A name is a capitalised word inside a sentence; a number is digits or a number word. Everything but letters and
+    digits parts tokens.
     """
 
+    def with_words(out: Column) -> Column:
+        alone = rf"(?<![^ ])({'|'.join(NUMBER_WORDS)})"
+        return F.regexp_replace(F.regexp_replace(out, rf"{alone} ({'|'.join(UNITS)})(?![^ ])", "#$1 %$2"), rf"{alone}(?![^ ])", "#$1")
+
     def with_numbers(out: Column) -> Column:
         num = F.regexp_replace(out, r"([0-9])%", "$1 percent ")
         num = F.regexp_replace(num, r"([0-9])[.,](?=[0-9])", "$1_")
@@ -48,7 +58,7 @@ def marked_text(text: Column) -> Column:
 
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}.,;:!?%$€£]+", " ")
     out = F.regexp_replace(out, r"\p{Lu}(?<=[\p{L}\p{N},;:] \p{Lu})\p{Ll}+", "@$0")
-    return F.trim(bound(out, lambda o: F.when(o.rlike("[0-9]"), with_numbers(o)).otherwise(F.regexp_replace(F.lower(o), PARTING, " "))))
+    return with_words(F.trim(bound(out, lambda o: F.when(o.rlike("[0-9]"), with_numbers(o)).otherwise(F.regexp_replace(F.lower(o), PARTING, " ")))))
 
 
 def tokens(marked: Column) -> Column:

@@ -237,11 +237,11 @@ class Scorer:
         return out
 
 
-def fit_on(docs: DataFrame, model_file: str, most_docs: int = 300, most_chars: int = 100_000) -> Model:
+def fit_on(docs: DataFrame, model_file: str, most_docs: int = 300) -> Model:
     """Fit on about most_docs distinct texts (text, lang) a language, chosen by a hash of the text, alike in every run.
 
     Rows without text or language are left out, and copies of a text in a language count once, so neither the choice
-    nor the sample's size follows them. Of a text drawn, the first most_chars characters are learned from. A language
+    nor the sample's number of texts follows them. Texts drawn are learned from whole. A language
     that no text was drawn for is an error. The model holds a probability a piece and language.
     """
     own = docs.where("text is not null and lang is not null").select("text", "lang")
@@ -251,7 +251,7 @@ def fit_on(docs: DataFrame, model_file: str, most_docs: int = 300, most_chars: i
         return Model((), vocabulary(model_file), np.zeros((1, 0)))
     drawn = own.join(F.broadcast(docs.sparkSession.createDataFrame(shares)), F.col("lang") == F.col("known")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share"))
     texts: dict[str, list[str]] = {r["known"]: [] for r in shares}
-    for r in drawn.select("lang", F.substring("text", 1, most_chars).alias("text")).distinct().collect():
+    for r in drawn.select("lang", "text").distinct().collect():
         texts[r["lang"]].append(r["text"])
     if missing := sorted(k for k, v in texts.items() if not v):
         raise ValueError(f"no text drawn for {', '.join(missing)}; most_docs {most_docs} is too small")

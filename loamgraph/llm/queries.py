@@ -150,7 +150,10 @@ def _marked_sql(column: str) -> str:
          (r"([0-9])%", r"\1 percent "), (r"([0-9])[.,]([0-9])", r"\1_\2"), (r"([0-9])[.,]([0-9])", r"\1_\2"), (r"\$([0-9])", r"dollar \1"), (r"([0-9][0-9_]*)", r" #\1 ")],
     )
     out = f"{_replaced_sql(f'lower({out})', [(r'[^\p{L}\p{N}#@_]+', ' ')])} || ' '"
-    return f"trim({_replaced_sql(out, [(rf'(#[0-9_]+) ({'|'.join(decontamination.UNITS)}) ', r'\1 %\2 '), (r' (dollar|euro|pound) #', r' %\1 #')])})"
+    out = f"trim({_replaced_sql(out, [(rf'(#[0-9_]+) ({'|'.join(decontamination.UNITS)}) ', r'\1 %\2 '), (r' (dollar|euro|pound) #', r' %\1 #')])})"
+    words = "|".join(decontamination.NUMBER_WORDS)
+    out = _replaced_sql(f"'  ' || replace({out}, ' ', '  ') || '  '", [(f"  ({words})  ({'|'.join(decontamination.UNITS)})  ", r"  #\1  %\2  "), (f" ({words}) ", r" #\1 ")])
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 def _windows_sql(source: str, key: str) -> str:

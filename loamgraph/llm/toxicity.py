@@ -108,15 +108,15 @@ def fit(texts: list[str | None], labels: list[int], grams: Grams | None = None,
     return Model(grams, weights, float(bias))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = 6_000, most_chars: int = 100_000) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = 6_000) -> DataFrame:
     """Distinct rows text, label of about most_rows labelled documents, chosen by hashes, alike in every run.
 
     labels: doc_id, label (0 or 1; other rows are left out). Labels are thinned by a hash of doc_id until about most_rows
     are left, so they are broadcast and the documents' texts are not shuffled; where documents repeat ids, the texts
-    that these give are thinned in the same way. Of a text drawn, the first most_chars characters are learned from.
+    that these give are thinned in the same way. Texts drawn are learned from whole.
     """
     own = labels.where("label in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("label").cast("int").alias("label")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, most_chars).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     met = texts.join(F.broadcast(_thinned(own, most_rows, "label_id")), F.col("doc_id") == F.col("label_id"))
     return _thinned(met.select("text", "label").distinct(), most_rows, "text")
 
@@ -127,9 +127,9 @@ def _thinned(rows: DataFrame, most: int, by: str) -> DataFrame:
     return rows if n <= most else rows.where(F.pmod(F.xxhash64(by), F.lit(1 << 30)) < F.lit(int(most / n * (1 << 30))))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, grams: Grams | None = None, most_rows: int = 6_000, most_chars: int = 100_000) -> Model:
-    """Fit on a bounded sample (most_rows texts, most_chars of each) of documents (doc_id, text) with labels (doc_id, label)."""
-    rows = sorted((r["text"], r["label"]) for r in labelled_sample(docs, labels, most_rows, most_chars).collect())
+def fit_on(docs: DataFrame, labels: DataFrame, grams: Grams | None = None, most_rows: int = 6_000) -> Model:
+    """Fit on a bounded sample (about most_rows whole texts) of documents (doc_id, text) with labels (doc_id, label)."""
+    rows = sorted((r["text"], r["label"]) for r in labelled_sample(docs, labels, most_rows).collect())
     return fit([t for t, _ in rows], [y for _, y in rows], grams)
 
 

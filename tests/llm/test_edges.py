@@ -321,6 +321,18 @@ def test_short_and_number_heavy_items_are_found_inside_documents(spark):
     assert {r["doc_id"] for r in decontamination.drop_leaks(make(spark, rows), items).collect()} == {21, 31, 99}
 
 
+def test_number_words_are_placeholders(spark):
+    item = "Tom has three apples and buys twenty more at the market, so how many apples does he carry home after five hours"
+    other = item.replace("three", "seven").replace("twenty", "sixty").replace("five", "nine").replace("Tom", "Ann")
+    odd = "Tom has three apples and buys three more at the market, so how many apples does he carry home after three hours"
+    items = spark.createDataFrame([(1, item), (2, odd)], "item_id long, text string")
+    rows = [(10, f"as it was: {item}. and so on"), (11, f"as it was: {other}. and so on"), (12, "somebody has none of these fruits at all, nor ever had one")]
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontamination.find_leaks(make(spark, rows), items).collect()}
+    assert got == {(10, 1): False, (11, 1): True}
+    marked = spark.createDataFrame([("It took two hours, then twenty-two days; someone and three2 saw One",)], "t string").select(decontamination.marked_text(F.col("t"))).first()[0]
+    assert marked == "it took #two %hours then #twenty #two %days someone and #three #2 saw @one"
+
+
 def test_stupid_backoff_against_plain_count(spark):
     rows = [(1, "a b a b c"), (2, "a b d"), (3, None), (4, ""), (None, "A b"), (5, "z"), (1, "a b a b c")]
     uni, bi, n = Counter(), Counter(), 0
