@@ -79,3 +79,61 @@ def greedy_cover(relation: DataFrame) -> DataFrame:
         return left.select("candidate", F.lit(0).cast("long").alias("gain"), F.lit(0).cast("long").alias("turn"))
     # a turn is a place among the picks, which are no more than the concerns
     return running_sum(picked, [F.desc("gain"), F.asc("rank")], F.lit(1)).select("candidate", "gain", F.col("running").alias("turn"))
+
+
+def capped_greedy(rows: DataFrame, order: list[str], caps: dict[str, int], limit: int | None = None) -> DataFrame:
+    """rows (with a unique id) that are taken one by one in an order, each if for every capped column fewer than its cap are taken with the same value.
+
+    Equal to the fold over all rows, in rounds: a row whose place among the undecided rows is, for every column, within what
+    is left of its value's cap is taken, whatever becomes of the rows before it; rows of a value whose cap is used up are out.
+    The first undecided row is always taken, so rounds end. order names columns, ascending, and must be total; a null value is a value.
+    """
+    left, taken = written(rows, "undecided"), None
+    while not left.isEmpty():
+        sure = None
+        for column, cap in caps.items():
+            place = F.row_number().over(Window.partitionBy(column).orderBy(*order))
+            near = left.select("id", column, *[c for c in order if c not in ("id", column)]).withColumn("place", place).where(F.col("place") <= cap)  # a value's first rows, counted before the shuffle
+            if taken is not None:
+                used = taken.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("used"))
+                near = near.join(used, F.col(column).eqNullSafe(F.col("value")), "left").where(F.col("place") <= cap - F.coalesce("used", F.lit(0)))
+            sure = near.select("id") if sure is None else sure.join(near.select("id"), "id", "left_semi")
+        chosen = written(left.join(sure, "id", "left_semi"), "taken")
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        left = left.join(chosen.select("id"), "id", "left_anti")
+        for column, cap in caps.items():
+            full = taken.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("used")).where(F.col("used") >= cap).select("value")
+            left = left.join(full, F.col(column).eqNullSafe(F.col("value")), "left_anti")
+        left = written(left, "undecided")
+    out = rows.limit(0) if taken is None else taken
+    return out if limit is None else out.orderBy(*order).limit(limit)
+
+
+#: Relations that tell of a flow, the most telling first. Fixed value.
+FLOWS = ("invoca ruta", "despacha", "llama", "valida con", "crea", "despacha evento", "implementa", "hereda")
+
+
+def flow_list(nodes: DataFrame, edges: DataFrame, priority: tuple[str, ...] = FLOWS, limit: int = 6) -> DataFrame:
+    """The flows that stand for a graph: place, source, relation, target (names), confidence and evidence (file:line).
+
+    Edges of the listed relations in the order of relation, extracted ones first, then the source's degree; none from test files;
+    each (source, relation, target) once, at most two a source and, where three or more relations occur, one a relation, else
+    three. Further ties go to the lesser ids.
+    """
+    degree = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    told = edges.where(F.col("label").isin(*priority))
+    kinds = told.select("label").distinct().count()  # at most as many as are listed
+    named = nodes.select("id", "name", "file").join(degree, "id", "left")
+    source = named.select(F.col("id").alias("source"), F.col("name").alias("from"), F.col("file").alias("from_file"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    met = told.join(source, "source").join(nodes.select(F.col("id").alias("target"), F.col("name").alias("to")), "target")
+    path = F.translate(F.coalesce("from_file", "file", F.lit("")), "\\", "/")
+    met = met.where(~path.rlike(r"(?i)(?:^|/)tests?(?:/|$)"))
+    rank = F.struct(
+        F.array_position(F.array(*map(F.lit, priority)), F.col("label")).alias("k"), (F.upper(F.coalesce("confidence", F.lit(""))) != "EXTRACTED").alias("weak"), (-F.col("degree")).alias("d"), "source", "target",
+        F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"),
+    )
+    one = met.groupBy("from", F.col("label").alias("relation"), "to").agg(F.min(F.struct(rank.alias("rank"), "confidence", F.when(F.coalesce("file", F.lit("")) != "", F.concat_ws(":", "file", "line")).alias("evidence"))).alias("m"))
+    rows = one.select(F.concat_ws("\0", "from", "relation", "to").alias("id"), "from", "relation", "to", "m.*")
+    got = capped_greedy(rows, ["rank", "id"], {"from": 2, "relation": 1 if kinds >= 3 else 3}, limit)
+    place = F.row_number().over(Window.orderBy("rank", "id"))  # at most limit rows
+    return got.select(place.alias("place"), F.col("from").alias("source"), "relation", F.col("to").alias("target"), "confidence", "evidence")

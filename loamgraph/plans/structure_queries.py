@@ -9,7 +9,7 @@ from loamgraph.functions import text as X
 from loamgraph.functions.lineage import scratch
 from loamgraph.operators import communities as C
 from loamgraph.operators import graph as G
-from loamgraph.operators import ranking, references, selection
+from loamgraph.operators import ranking, references, selection, snippets
 from loamgraph.plans.graph_queries import E, N
 from loamgraph.sources import model as M
 from loamgraph.sources import snapshots
@@ -163,3 +163,38 @@ def hist_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.finish("a", placed.where("r % 2 = 1"), 4, error="no answer")
     q.claim("c", 200, 2 * third)
     return q.state(201).select("item", "status", "attempts", "worker")
+
+
+@query(f"""WITH {N}, {E}, d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1),
+c AS (
+  SELECT a.name AS source, e.label AS relation, b.name AS target, e.confidence, CASE WHEN coalesce(e.file, '') <> '' THEN e.file || ':' || e.line END AS evidence,
+    row_number() OVER (PARTITION BY e.label ORDER BY (e.confidence <> 'EXTRACTED'), d.degree DESC, e.source, e.target, coalesce(e.file, ''), coalesce(e.line, 0)) AS k,
+    CASE e.label WHEN 'creates' THEN 1 WHEN 'uses' THEN 2 ELSE 3 END AS place
+  FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target JOIN d ON d.id = e.source WHERE e.label IN ('creates', 'uses', 'supplies') AND NOT regexp_matches(a.file, '(?i)(?:^|/)tests?(?:/|$)')
+) SELECT CAST(place AS INTEGER) AS place, source, relation, target, confidence, evidence FROM c WHERE k = 1""")
+def graph_flow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flows that stand for the whole graph, under caps a source and a relation."""
+    return selection.flow_list(M.nodes(spark, sf_dir), M.edges(spark, sf_dir), (M.CREATES, M.USES, M.SUPPLIES))
+
+
+SNIPPET_TERMS = ["ation", "ung", "the ", "license", "que"]
+
+
+@query("""WITH t AS (SELECT unnest(['ation', 'ung', 'the ', 'license', 'que']) AS term, unnest(range(5)) AS k), d AS (SELECT doc_id, text, lower(text) AS low, length(text) AS n FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, n, strpos(low, term) - 1 AS pos, k FROM d, t WHERE contains(low, term)),
+w AS (SELECT *, greatest(0, pos - 100) AS s, least(n, pos + 230) AS e FROM a),
+m AS (SELECT *, CASE WHEN max(e) OVER v IS NULL OR s > max(e) OVER v + 40 THEN 1 ELSE 0 END AS new FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY pos, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos, k) AS island FROM m),
+b AS (SELECT doc_id, island, min(s) AS s, least(max(e), min(s) + 640) AS e, min(s) + 640 AS edge FROM i GROUP BY 1, 2),
+g AS (SELECT b.doc_id, b.s, b.e, bit_or(1 << k) FILTER (i.pos < b.e) AS mask FROM b JOIN i ON i.doc_id = b.doc_id AND i.island = b.island GROUP BY 1, 2, 3),
+c AS (
+  SELECT doc_id, mask, e - s AS size, [{'s': s, 'e': e}] AS spans FROM g
+  UNION ALL SELECT x.doc_id, x.mask | y.mask, x.e - x.s + y.e - y.s, [{'s': x.s, 'e': x.e}, {'s': y.s, 'e': y.e}] FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.s < y.s
+  UNION ALL SELECT x.doc_id, x.mask | y.mask | z.mask, x.e - x.s + y.e - y.s + z.e - z.s, [{'s': x.s, 'e': x.e}, {'s': y.s, 'e': y.e}, {'s': z.s, 'e': z.e}] FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.s < y.s JOIN g z ON z.doc_id = y.doc_id AND y.s < z.s
+), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bit_count(mask) DESC, size, spans) AS k FROM c WHERE size <= 640)
+SELECT d.doc_id, coalesce(array_to_string(list_transform(r.spans, lambda x: x.s || '-' || x.e), ','), '0-' || least(d.n, 230)) AS spans FROM d LEFT JOIN r ON r.doc_id = d.doc_id AND r.k = 1""")
+def doc_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document the windows that show most of five terms within 640 characters."""
+    d = M.table(spark, sf_dir, "documents").where("text is not null")
+    spans = F.transform(snippets.best_spans(F.col("text"), SNIPPET_TERMS), lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string")))
+    return d.select("doc_id", F.array_join(spans, ",").alias("spans"))

@@ -71,3 +71,29 @@ def test_cover_equals_one_at_a_time(spark):
         df = spark.createDataFrame([*rows, (None, 1, 1.0), ("x", None, 1.0)], "candidate string, concern long, score double")
         assert [(x["candidate"], x["gain"]) for x in S.greedy_cover(df).orderBy("turn").collect()] == plain_cover(rows)
     assert S.greedy_cover(df.limit(0)).count() == 0
+
+
+def test_capped_greedy_equals_the_fold(spark):
+    r = random.Random(11)
+    rows = [(i, f"s{r.randint(0, 12)}", r.choice(["a", "b", "c", "d", None]), r.randint(0, 30)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, source string, kind string, rank long")
+    for caps in ({"source": 2, "kind": 3}, {"source": 1, "kind": 40}, {"source": 5}):
+        used, want = {}, []
+        for x in sorted(rows, key=lambda x: (x[3], x[0])):
+            keys = [(c, x[1] if c == "source" else x[2]) for c in caps]
+            if all(used.get(k, 0) < caps[k[0]] for k in keys):
+                want.append(x[0])
+                for k in keys:
+                    used[k] = used.get(k, 0) + 1
+        assert sorted(x["id"] for x in S.capped_greedy(df, ["rank", "id"], caps).collect()) == sorted(want)
+        assert [x["id"] for x in S.capped_greedy(df, ["rank", "id"], caps, 4).orderBy("rank", "id").collect()] == want[:4]
+    assert S.capped_greedy(df.limit(0), ["rank", "id"], {"source": 2}).count() == 0
+
+
+def test_flow_list(spark):
+    nodes = spark.createDataFrame([("a", "A", "src/a.py"), ("b", "B", "src/b.py"), ("t", "T", "tests/t.py"), ("c", "C", None)], "id string, name string, file string")
+    rows = [("t", "a", "llama", "EXTRACTED", "x", 1), ("a", "b", "llama", "AMBIGUOUS", "src/a.py", 5), ("a", "c", "llama", "EXTRACTED", "src/a.py", 7), ("a", "c", "llama", "EXTRACTED", "src/a.py", 6), ("a", "b", "crea", "EXTRACTED", None, None)]
+    rows += [("b", "c", "llama", "EXTRACTED", "src/b.py", 1), ("b", "a", "llama", "EXTRACTED", "src/b.py", 2), ("c", "a", "contiene", "EXTRACTED", "z", 1), ("b", "x", "llama", "EXTRACTED", "z", 1)]
+    edges = spark.createDataFrame(rows, "source string, target string, label string, confidence string, file string, line long")
+    got = [tuple(x) for x in S.flow_list(nodes, edges).orderBy("place").collect()]
+    assert got == [(1, "A", "llama", "C", "EXTRACTED", "src/a.py:6"), (2, "B", "llama", "A", "EXTRACTED", "src/b.py:2"), (3, "B", "llama", "C", "EXTRACTED", "src/b.py:1"), (4, "A", "crea", "B", "EXTRACTED", None)]
