@@ -41,7 +41,7 @@ def n_grams(text: Column) -> Column:
 
 def bucket(feature: Column, buckets: int = BUCKETS) -> Column:
     """A feature's bucket."""
-    return (F.crc32(F.encode(feature, "UTF-8")) % buckets).cast("int")
+    return (F.crc32(feature) % buckets).cast("int")  # of the UTF-8 bytes
 
 
 def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
