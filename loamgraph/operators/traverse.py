@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.functions.lineage import cut
+from loamgraph.functions.lineage import cut, written
 from loamgraph.sources.model import CONSUMER_LABELS
 
 BOTH_WAYS = ("implements", "inherits")
@@ -44,14 +44,17 @@ def impact_view(edges: DataFrame) -> DataFrame:
 def hops(view: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """All ids within depth hops of the seeds (id): id, hop, via, label, confidence; seeds have hop 0.
 
-    Of several edges that reach an id in the same round, the least (via, label, confidence) is told.
+    Of several edges that reach an id in the same round, the least (via, label, confidence) is told. The view's four columns
+    are written once where there is more than one round, and each round's frontier is written, so its size is known: a
+    small one is broadcast and the view is not shuffled.
     """
-    view = cut(view)  # every round reads it
+    view = view.select("at", "to", "label", "confidence")
+    view = written(view, "view") if depth > 1 else view
     seen = seeds.select("id").distinct().select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("confidence"))
     frontier = seen
     for k in range(1, depth + 1):
         step = frontier.select(F.col("id").alias("at")).join(view, "at").groupBy(F.col("to").alias("id")).agg(F.min(F.struct(F.col("at").alias("via"), "label", "confidence")).alias("e"))
-        frontier = cut(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("hop"), "e.via", "e.label", "e.confidence"))
+        frontier = written(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("hop"), "e.via", "e.label", "e.confidence"), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
