@@ -45,8 +45,10 @@ def marked_text(text: Column) -> Column:
     """
 
     def with_words(out: Column) -> Column:
-        alone = rf"(?<![^ ])({'|'.join(NUMBER_WORDS)})"
-        return F.regexp_replace(F.regexp_replace(out, rf"{alone} ({'|'.join(UNITS)})(?![^ ])", "#$1 %$2"), rf"{alone}(?![^ ])", "#$1")
+        # a match begins at a blank and one of few letters, so other places are passed over at once
+        first = "".join(sorted({w[0] for w in NUMBER_WORDS}))
+        out = F.regexp_replace(F.concat(F.lit(" "), out, F.lit(" ")), rf" (?=[{first}])({'|'.join(NUMBER_WORDS)})(?= )", " #$1")
+        return F.trim(F.regexp_replace(out, rf"#([a-z]+) ({'|'.join(UNITS)})(?= )", "#$1 %$2"))
 
     def with_numbers(out: Column) -> Column:
         num = F.regexp_replace(out, r"([0-9])%", "$1 percent ")
