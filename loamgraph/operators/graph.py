@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,15 +247,50 @@ def latest_before(left: DataFrame, right: DataFrame, keys: list[str], left_at: s
 def resolve_names(calls: DataFrame, symbols: DataFrame, most_ties: int = 4) -> DataFrame:
     """Call sites (call_id, name, file, container, arity) to symbols by additive evidence; best ties up to most_ties stay.
 
-    symbols: id, name, file, container, arity. Same file 4, same container 5, same arity 5 (close: 3).
+    symbols: id, name, file, container, arity (a whole number). Same file 4, same container 5, same arity 5 (close: 3).
+    Symbols are counted by each set of equal attributes and looked up by key, so no call meets all symbols of its name.
+    Two sets of one score have no symbol in common at the best score: it would be equal in both, for more.
     """
-    s = symbols.select("id", "name", F.col("file").alias("s_file"), F.col("container").alias("s_container"), F.col("arity").alias("s_arity"))
-    score = (
-        F.when(F.col("file") == F.col("s_file"), 4).otherwise(0)
-        + F.when(F.col("container") == F.col("s_container"), 5).otherwise(0)
-        + F.when(F.col("arity") == F.col("s_arity"), 5).when(F.abs(F.col("arity") - F.col("s_arity")) == 1, 3).otherwise(0)
-    )
-    best = calls.join(s, "name").withColumn("score", score)
+    known = _evidence_keys(symbols, "id", probes=False)
+    signature = ["name", "file", "container", "arity"]
+    probes = _evidence_keys(calls.select(*signature).distinct(), *signature[1:], probes=True)
+    keys = ["k_name", "k_set", "k_file", "k_container", "k_arity"]
+    counted = known.join(probes.select(F.col("k_name")).distinct(), "k_name", "left_semi").groupBy(*keys).agg(F.count("*").alias("n"))
+    met = _same_keys(probes, counted, keys).withColumnRenamed("k_name", "name")
+    best = met.groupBy(*signature).agg(F.max("score").alias("score")).withColumnRenamed("score", "top")
+    won = _same_keys(met, best, signature).where("score = top").drop("top")
+    told = won.groupBy(*signature, "score").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("call_id")
-    top = best.withColumn("rank", F.rank().over(w.orderBy(F.desc("score")))).where("rank = 1").withColumn("ties", F.count("*").over(w))
-    return top.where(F.col("ties") <= most_ties).select("call_id", "id", "score", F.col("ties").cast("long").alias("ties"), F.when(F.col("ties") > 1, "AMBIGUOUS").otherwise("EXTRACTED").alias("confidence"))
+    placed = _same_keys(calls.select("call_id", *signature), told, signature)
+    top = placed.withColumn("rank", F.rank().over(w.orderBy(F.desc("score")))).where("rank = 1").withColumn("ties", F.sum("n").over(w)).where(F.col("ties") <= most_ties)
+    few = won.where(F.col("n") <= most_ties).select(F.col("name").alias("k_name"), *keys[1:], *signature[1:])
+    found = _same_keys(few, known, keys).select(F.col("k_name").alias("name"), *signature[1:], "id")
+    return _same_keys(top, found, signature).select("call_id", "id", "score", F.col("ties").cast("long").alias("ties"), F.when(F.col("ties") > 1, "AMBIGUOUS").otherwise("EXTRACTED").alias("confidence"))
+
+
+def _evidence_keys(rows: DataFrame, *kept: str, probes: bool) -> DataFrame:
+    """Rows (name, file, container, arity) once for each set of attributes that can be equal: k_name, k_set, k_file, k_container, k_arity, score.
+
+    Attributes outside the set are null; a row without one of the set's attributes has no such key. Probes also look
+    for the arities next to their own, under the key of an equal one.
+    """
+    nothing = F.lit(None)
+    sets = []
+    for f in (False, True):
+        for c in (False, True):
+            for step, points in ((None, 0), (0, 5)) + (((-1, 3), (1, 3)) if probes else ()):
+                arity = nothing if step is None else F.col("arity") + F.lit(step)
+                told = [F.col(x).isNotNull() for x, on in (("file", f), ("container", c), ("arity", step is not None)) if on]
+                fields = F.struct(
+                    F.lit(4 * f + 2 * c + (step is not None)).alias("k_set"), (F.col("file") if f else nothing.cast("string")).alias("k_file"),
+                    (F.col("container") if c else nothing.cast("string")).alias("k_container"), arity.cast("long").alias("k_arity"), F.lit(4 * f + 5 * c + points).alias("score"),
+                )
+                sets.append(F.when(functools.reduce(lambda x, y: x & y, told, F.lit(True)), fields))
+    return rows.where("name is not null").select(F.col("name").alias("k_name"), *kept, F.explode(F.array_compact(F.array(*sets))).alias("k")).select("k_name", *kept, "k.*")
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on keys of which all but the first may be null on both sides."""
+    other = right.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in right.columns if c in keys or c not in left.columns])
+    same = [left[keys[0]] == F.col(f"_{keys[0]}"), *[left[k].eqNullSafe(F.col(f"_{k}")) for k in keys[1:]]]
+    return left.join(other, same).drop(*[f"_{k}" for k in keys])
