@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks that open a block and what closes it; how comments and package lines begin; files that hold no code. Fixed values.
@@ -54,6 +54,27 @@ def block_lines(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return _states(rows, chunk).where("state > 0").select("file", (F.col("at") + 1).alias("line"))
 
 
+def held(points: DataFrame, spans: DataFrame, width: int = CHUNK) -> DataFrame:
+    """For each point (file, line, top): inner, the last span (file, name, start, end) that starts at or above top and has no end above line; last, the last that starts there at all.
+
+    An end of 0 is none; ties of start go to the greater name; inner and last are (start, name) or null. Points meet spans in pieces of width
+    lines: those that start there or reach in; of the spans that started before a piece only the last, and the last without an end, go on.
+    """
+    cell = lambda c: F.floor(c / width)
+    one = F.struct("start", "name")
+    reach = F.when(F.col("end") == 0, cell(F.col("start"))).otherwise(F.greatest(cell(F.col("start")), cell(F.col("end"))))
+    pieces = spans.withColumn("cell", F.explode(F.sequence(cell(F.col("start")), reach)))
+    asked = points.select("file", cell(F.col("line")).alias("cell")).distinct()
+    starts = spans.groupBy("file", cell(F.col("start")).alias("cell")).agg(F.max(one).alias("all"), F.max(F.when(F.col("end") == 0, one)).alias("open"))
+    w = Window.partitionBy("file").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = starts.unionByName(asked, allowMissingColumns=True).groupBy("file", "cell").agg(F.max("all").alias("all"), F.max("open").alias("open"))
+    before = cells.select("file", "cell", F.max("all").over(w).alias("all"), F.max("open").over(w).alias("open"))
+    met = points.select("file", "line", "top", cell(F.col("line")).alias("cell")).distinct().join(pieces, ["file", "cell"], "left")
+    above = F.col("start") <= F.col("top")
+    found = met.groupBy("file", "cell", "line", "top").agg(F.max(F.when(above & ((F.col("end") == 0) | (F.col("end") >= F.col("line"))), one)).alias("inner"), F.max(F.when(above, one)).alias("last"))
+    return found.join(before, ["file", "cell"]).select("file", "line", "top", F.greatest("inner", "open").alias("inner"), F.greatest("last", "all").alias("last"))
+
+
 def text_references(lines: DataFrame, symbols: DataFrame, names: list[str], definitions: DataFrame, resolved: DataFrame, near: Column | None = None, chunk: int = CHUNK) -> DataFrame:
     """Uses of names in lines (file, line, text), one for each file and enclosing symbol: owner, file, line, tests, kind, near, place.
 
@@ -79,11 +100,9 @@ def text_references(lines: DataFrame, symbols: DataFrame, names: list[str], defi
     hits = hits.join(inside, ["file", "line"], "left_anti").join(resolved.select("file", "line").distinct(), ["file", "line"], "left_anti")
     own = definitions.select("file", "line").distinct().withColumn("defined", F.lit(True))
     hits = hits.join(own, ["file", "line"], "left").where("defined is null or kind = 0")
-    one = F.struct(F.col("start"), F.col("name"))
     spans = symbols.select("file", "name", F.col("line").alias("start"), F.coalesce("end_line", F.lit(0)).alias("end"))
-    above = hits.join(spans, "file").where(F.col("start") <= F.col("line") - F.when(F.col("defined"), 1).otherwise(0))
-    held = above.groupBy("file", "line").agg(F.max(F.when((F.col("end") == 0) | (F.col("end") >= F.col("line")), one)).alias("inner"), F.max(one).alias("last"))
-    told = hits.join(held, ["file", "line"], "left").withColumn("owner", F.coalesce("inner.name", "last.name", F.lit("")))
+    hits = hits.withColumn("top", F.col("line") - F.when(F.col("defined"), 1).otherwise(0))
+    told = hits.join(held(hits, spans), ["file", "line", "top"], "left").withColumn("owner", F.coalesce("inner.name", "last.name", F.lit("")))
     told = told.where(~F.col("owner").isin(*names)).join(resolved.where("owner is not null").select("file", "owner").distinct(), ["file", "owner"], "left_anti")
     first = told.groupBy("file", "owner").agg(F.min(F.struct("line", "kind", "near")).alias("m")).select("owner", "file", "m.*")
     return first.withColumn("tests", F.col("file").rlike(TEST_FILE)).withColumn("place", F.struct("tests", "kind", (~F.col("near")).alias("far"), "file", "line"))
