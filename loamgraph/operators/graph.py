@@ -153,9 +153,17 @@ def covers(have: DataFrame, required: DataFrame) -> DataFrame:
 
     have: owner, item; required: group, item; both distinct. A group without items is covered by none.
     """
-    size = required.groupBy("group").agg(F.count("*").alias("needed"))
-    met = required.join(have, "item").groupBy("owner", "group").agg(F.count("*").alias("got"))
-    return met.join(size, "group").where("got = needed").select("owner", "group")
+    known = have.groupBy("item").agg(F.count("*").alias("owners"))
+    counted = required.join(known, "item", "left").withColumn("owners", F.coalesce("owners", F.lit(0)))
+    # the item that fewest owners have gives the candidates; the next one leaves few of them
+    place = F.row_number().over(Window.partitionBy("group").orderBy("owners", "item"))
+    items = counted.withColumn("place", place).withColumn("needed", F.count("*").over(Window.partitionBy("group")))
+    second = items.where("place = 2").select("group", F.col("item").alias("second"))
+    first = items.where("place = 1 and owners > 0").select("group", "item", "needed").join(second, "group", "left").join(have, "item").select("owner", "group", "second", "needed")
+    both = first.where("needed > 1").join(have.withColumnRenamed("item", "second"), ["owner", "second"], "left_semi").select("owner", "group", "needed")
+    rest = both.where("needed > 2").join(items.where("place > 2").select("group", "item"), "group").join(have, ["owner", "item"])
+    full = rest.groupBy("owner", "group", "needed").agg(F.count("*").alias("got")).where("got = needed - 2")
+    return first.where("needed = 1").select("owner", "group").unionByName(both.where("needed = 2").select("owner", "group")).unionByName(full.select("owner", "group"))
 
 
 def same_name_across(nodes: DataFrame, project: Column, most: int = 12) -> DataFrame:
