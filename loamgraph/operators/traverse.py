@@ -73,21 +73,36 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, symbol: str, depth: int = 2
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 8) -> DataFrame:
-    """One shortest undirected path as rows (step, id); no rows if there is none within most hops."""
-    view = cut(undirected(edges).select("at", "to").distinct())
+    """One shortest undirected path as rows (step, id), the least of all; no rows if there is none within most hops.
+
+    Levels hold ids alone and are written, so small ones are broadcast and the edges are not shuffled.
+    """
+    view = written(undirected(edges).select("at", "to"), "view")
     spark = edges.sparkSession
-    frontier = spark.createDataFrame([(start, [start])], "id string, path array<string>")
-    seen = frontier.select("id")
-    for _ in range(most + 1):
-        hit = frontier.where(F.col("id") == goal)
-        if not hit.isEmpty():
-            return hit.orderBy("path").limit(1).select(F.posexplode("path").alias("step", "id"))
-        step = frontier.select(F.col("id").alias("at"), "path").join(view, "at").join(seen.select(F.col("id").alias("to")), "to", "left_anti")
-        frontier = cut(step.groupBy(F.col("to").alias("id")).agg(F.min(F.concat("path", F.array("to"))).alias("path")))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier.select("id")))
-    return frontier.limit(0).select(F.posexplode("path").alias("step", "id"))
+    levels = [spark.createDataFrame([(start,)], "id string")]
+    while levels[-1].where(F.col("id") == goal).isEmpty():
+        if len(levels) > most:
+            return _steps(levels[0].limit(0).select("id", F.array("id").alias("path")))
+        step = levels[-1].select(F.col("id").alias("at")).join(view, "at").select(F.col("to").alias("id")).distinct()
+        for seen in levels:
+            step = step.join(seen, "id", "left_anti")
+        levels.append(written(step, "level"))
+        if levels[-1].isEmpty():
+            return _steps(levels[0].limit(0).select("id", F.array("id").alias("path")))
+    # back from the goal: the ids of each level that lie on a shortest path; then forward along these alone, least path first
+    on = [spark.createDataFrame([(goal,)], "id string")]
+    for level in reversed(levels[:-1]):
+        on.append(written(on[-1].select(F.col("id").alias("at")).join(view, "at").select(F.col("to").alias("id")).join(level, "id", "left_semi").distinct(), "on"))
+    paths = on.pop().select("id", F.array("id").alias("path"))
+    for level in reversed(on):
+        step = paths.select(F.col("id").alias("at"), "path").join(view, "at").join(level.select(F.col("id").alias("to")), "to", "left_semi")
+        paths = written(step.groupBy(F.col("to").alias("id")).agg(F.min(F.concat("path", F.array("to"))).alias("path")), "paths")
+    return _steps(paths)
+
+
+def _steps(paths: DataFrame) -> DataFrame:
+    """The path (of one row at most) as rows (step, id)."""
+    return paths.select(F.posexplode("path").alias("step", "id"))
 
 
 def ancestry(links: DataFrame, most: int = 8) -> DataFrame:

@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from loamgraph.operators import graph as G
+from loamgraph.operators import references
 from loamgraph.operators import resolve as V
+from loamgraph.operators import traverse as T
 
 CALLS, SYMBOLS = "call_id long, name string, file string, container string, arity int", "id string, name string, file string, container string, arity int"
 
@@ -84,3 +86,41 @@ def test_ties_and_bases_of_odd_rows(spark):
             want.update((c, i, "implements" if k == "c" else "inherits", "AMBIGUOUS" if len(top) > 1 else "EXTRACTED" if s else "INFERRED") for s, i, k in top)
     kinds = spark.createDataFrame([(i, n, "interface" if k == "c" else "class", f) for i, n, f, k, _ in symbols], "id string, name string, kind string, file string")
     assert Counter(map(tuple, V.inheritance(spark.createDataFrame(bases, "child string, written string, file string"), kinds).collect())) == want
+
+
+def test_spans_of_one_file_are_met_in_pieces(spark):
+    rng = random.Random(7)
+    spans = [("f", f"n{i}", (s := rng.randrange(1, 400)), rng.choice([0, s, s + rng.randrange(90), s - 2])) for i in range(150)]
+    points = [("f", line, line - rng.randrange(2)) for line in range(1, 420, 3)] + [("g", 5, 5)]
+    got = {(r["file"], r["line"]): (r["inner"] and tuple(r["inner"]), r["last"] and tuple(r["last"])) for r in references.held(spark.createDataFrame(points, "file string, line long, top long"), spark.createDataFrame(spans, "file string, name string, start long, end long"), 16).collect()}
+    for file, line, top in points:
+        above = [(s, n, e) for f, n, s, e in spans if f == file and s <= top]
+        inner = [(s, n) for s, n, e in above if e == 0 or e >= line]
+        assert got[file, line] == (max(inner, default=None), max([x[:2] for x in above], default=None))
+    # one file of 60,000 symbols and as many points, which would be 1.8 thousand million pairs
+    n = spark.range(60_000).select(F.lit("f").alias("file"), F.col("id").alias("line"))
+    symbols = n.select("file", F.concat(F.lit("s"), F.col("line").cast("string")).alias("name"), F.col("line").alias("start"), F.col("line").alias("end"))
+    assert references.held(n.withColumn("top", F.col("line")), symbols).where(F.expr("inner.start = line and last.start = line")).count() == 60_000
+
+
+def test_division_by_groups_of_all_sizes(spark):
+    rng = random.Random(8)
+    have = {(o, i) for o in range(30) for i in range(12) if rng.random() < 0.7}
+    groups = {g: set(rng.sample(range(13), 1 + g % 4)) for g in range(60)}
+    got = G.covers(spark.createDataFrame([*have], "owner int, item int"), spark.createDataFrame([(g, i) for g, x in groups.items() for i in x], "group int, item int")).collect()
+    assert Counter(map(tuple, got)) == Counter((o, g) for o in range(30) for g, x in groups.items() if all((o, i) in have for i in x))
+
+
+def test_least_of_the_shortest_paths_without_a_table_of_all_paths(spark):
+    rng = random.Random(9)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(90)]
+    edges = spark.createDataFrame([(a, b, "uses", "EXTRACTED", "f", 1) for a, b in pairs], "source string, target string, label string, confidence string, file string, line int")
+    for goal, most in (("n7", 8), ("n9", 3), ("n1", 2), ("none", 8), ("n0", 0)):
+        paths = [["n0"]]
+        for _ in range(most):
+            if any(p[-1] == goal for p in paths):
+                break
+            seen = {x for p in paths for x in p}
+            paths = sorted(p + [y] for p in paths for a, b in pairs for x, y in ((a, b), (b, a)) if x == p[-1] and y not in p)
+        want = min((p for p in paths if p[-1] == goal), default=[])
+        assert [r["id"] for r in T.shortest_path(edges, "n0", goal, most).orderBy("step").collect()] == want
