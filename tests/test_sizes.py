@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -25,3 +26,32 @@ def test_related_pairs_are_counted_in_blocks_without_a_row_a_pair_and_term(spark
         assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroups")[0]
     names = posts.selectExpr("concat('d', doc) as doc", "term")
     assert {(r["a"], r["b"], r["shared"]) for r in R.related_pairs(names, 2, 25, 60).collect()} == {(*sorted((f"d{a}", f"d{b}")), n) for (a, b), n in want.items()}
+
+
+def test_first_alike_meets_the_first_ids_of_a_key_alone(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(300) if rng.random() < 0.98 else None, rng.choice(["a", "b", "c", None])) for _ in range(600)]
+    asked = [r for r in rows if r[0] is not None and r[0] % 50 == 0]
+    data, queries = spark.createDataFrame(rows, "id long, label string"), spark.createDataFrame(asked, "query_id long, label string")
+    got = R.first_alike(data, queries, "label", 4)
+    want = set()
+    for q in {i for i, _ in asked}:
+        ids = sorted(i for x, lab in asked if x == q and lab for i, other in rows if other == lab and i is not None and i != q)[:4]
+        want |= {(q, i, k) for k, i in enumerate(ids, 1)}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == want and want
+    many = R.first_alike(spark.range(200_000).selectExpr("id", "'x' as label"), spark.range(200_000).selectExpr("id as query_id", "'x' as label"), "label", 3)
+    assert many.count() == 600_000  # all pairs would be 40 thousand million
+
+
+def test_scores_of_a_document_are_summed_where_its_postings_are(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 7} gamma{i % 3} alpha") for i in range(200)], "doc long, text string")
+    queries = spark.createDataFrame([(i, f"beta{i} gamma1 alpha") for i in range(7)], "query_id long, text string")
+    out = R.bm25(docs, queries, limit=3)
+    assert out.count() == 21
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_an_item_of_few_rare_words_is_found_in_whole(spark):
+    items = spark.createDataFrame([(1, "a the b"), (2, "x rare the y"), (3, "a the")], "query_id long, text string")
+    docs = spark.createDataFrame([(1, "za the bz"), (2, "x rare the yes"), (3, "the rare x y"), (4, "a the\tb"), (5, None)], "doc long, text string")
+    assert sorted(tuple(r) for r in R.containing(docs, items).collect()) == [(1, 1), (2, 2), (3, 1), (3, 4)]
