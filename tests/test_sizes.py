@@ -8,6 +8,8 @@ from collections import Counter
 from itertools import combinations
 
 from loamgraph.operators import retrieval as R
+from loamgraph.sources import model as M
+from tests.conftest import SF
 
 
 def test_related_pairs_are_counted_in_blocks_without_a_row_a_pair_and_term(spark):
@@ -55,3 +57,9 @@ def test_an_item_of_few_rare_words_is_found_in_whole(spark):
     items = spark.createDataFrame([(1, "a the b"), (2, "x rare the y"), (3, "a the")], "query_id long, text string")
     docs = spark.createDataFrame([(1, "za the bz"), (2, "x rare the yes"), (3, "the rare x y"), (4, "a the\tb"), (5, None)], "doc long, text string")
     assert sorted(tuple(r) for r in R.containing(docs, items).collect()) == [(1, 1), (2, 2), (3, 1), (3, 4)]
+
+
+def test_offers_are_shuffled_once_and_not_counted_where_no_one_asks(spark):
+    edges = M.edges(spark, SF).select("source", "target")
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan and len(re.findall(r"hashpartitioning\(l_partkey", plan.split("Initial Plan")[0])) == 1
