@@ -46,15 +46,15 @@ def depth(symbols: DataFrame) -> int:
     return 2 if symbols.where("signature").isEmpty() else 3
 
 
-def spread(edges: DataFrame, symbols: DataFrame, most: int) -> DataFrame:
-    """What a change of symbols (id) reaches within most hops: id, hop, via, label, confidence.
+def spread(edges: DataFrame, symbols: DataFrame, most: int, reasons: bool = True) -> DataFrame:
+    """What a change of symbols (id) reaches within most hops: id, hop and, as reasons, via, label, confidence.
 
     To consumers, from a container to what it holds, and both ways along other relations.
     """
     consumer, held = F.col("label").isin(*CONSUMER_LABELS), F.col("label").isin(*STRUCTURAL)
     rest = ["label", "confidence"]
     view = edges.where(~held).select(F.col("target").alias("at"), F.col("source").alias("to"), *rest).unionByName(edges.where(~consumer).select(F.col("source").alias("at"), F.col("target").alias("to"), *rest))
-    return T.hops(view, symbols, most).where("hop > 0")
+    return (T.hops if reasons else T.reach)(view, symbols, most).where("hop > 0")
 
 
 def capped(impacted: DataFrame, nodes: DataFrame, most: int = 250) -> DataFrame:

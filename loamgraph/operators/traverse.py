@@ -61,9 +61,22 @@ def hops(view: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def reach(view: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """All ids within depth hops of the seeds (id) as hops() finds them, but without reasons: id, hop. Ids are hashed, not sorted."""
+    view = written(view.select("at", "to"), "view") if depth > 1 else view.select("at", "to")
+    frontier = seen = seeds.select("id").distinct().select("id", F.lit(0).alias("hop"))
+    for k in range(1, depth + 1):
+        step = frontier.select(F.col("id").alias("at")).join(view, "at").select(F.col("to").alias("id")).distinct()
+        frontier = written(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("hop")), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def neighborhood(nodes: DataFrame, edges: DataFrame, symbol: str, depth: int = 1) -> DataFrame:
     """Undirected neighborhood of a symbol: id and hop."""
-    return hops(undirected(edges), resolve_symbol(nodes, symbol), depth).select("id", "hop")
+    return reach(undirected(edges), resolve_symbol(nodes, symbol), depth)
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, symbol: str, depth: int = 2) -> DataFrame:
