@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -128,12 +130,34 @@ def flow_list(nodes: DataFrame, edges: DataFrame, priority: tuple[str, ...] = FL
     met = told.join(source, "source").join(nodes.select(F.col("id").alias("target"), F.col("name").alias("to")), "target")
     path = F.translate(F.coalesce("from_file", "file", F.lit("")), "\\", "/")
     met = met.where(~path.rlike(r"(?i)(?:^|/)tests?(?:/|$)"))
-    rank = F.struct(
-        F.array_position(F.array(*map(F.lit, priority)), F.col("label")).alias("k"), (F.upper(F.coalesce("confidence", F.lit(""))) != "EXTRACTED").alias("weak"), (-F.col("degree")).alias("d"), "source", "target",
-        F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"),
-    )
-    one = met.groupBy("from", F.col("label").alias("relation"), "to").agg(F.min(F.struct(rank.alias("rank"), "confidence", F.when(F.coalesce("file", F.lit("")) != "", F.concat_ws(":", "file", "line")).alias("evidence"))).alias("m"))
-    rows = one.select(F.concat_ws("\0", "from", "relation", "to").alias("id"), "from", "relation", "to", "m.*")
-    got = capped_greedy(rows, ["rank", "id"], {"from": 2, "relation": 1 if kinds >= 3 else 3}, limit)
-    place = F.row_number().over(Window.orderBy("rank", "id"))  # at most limit rows
-    return got.select(place.alias("place"), F.col("from").alias("source"), "relation", F.col("to").alias("target"), "confidence", "evidence")
+    held = met.select(F.array_position(F.array(*map(F.lit, priority)), F.col("label")).alias("k"), "from", "to", "confidence", "degree", "source", "target", "file", "line")
+    return _first_flows(written(held, "flows"), priority, 1 if kinds >= 3 else 3, limit)
+
+
+def _first_flows(flows: DataFrame, priority: tuple[str, ...], cap: int, limit: int) -> DataFrame:
+    """The greedy choice of flow_list(): two rows a source and cap a relation at most.
+
+    A pass finds the first row left of each relation, as one row of totals; no flow is shuffled. As relations come one after
+    the other, there are no more passes than rows chosen.
+    """
+    rank = [(F.upper(F.coalesce("confidence", F.lit(""))) != "EXTRACTED").alias("weak"), (-F.col("degree")).alias("d"), "source", "target", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line")]
+    evidence = F.when(F.coalesce("file", F.lit("")) != "", F.concat_ws(":", "file", "line")).alias("evidence")
+    row = F.struct(*rank, F.concat_ws("\0", "from", "to").alias("id"), "confidence", evidence, "from", "to")
+    got, used, left, places = [], Counter(), flows, list(range(1, len(priority) + 1))
+    while places and len(got) < limit:
+        first = left.agg(*[F.min(F.when(F.col("k") == k, row)).alias(str(k)) for k in places]).first()
+        while places and len(got) < limit:
+            k = places[0]
+            m = first[str(k)]
+            if m is not None:
+                if used[m["from"]] >= 2:
+                    break  # taken up within this pass
+                got.append((len(got) + 1, m["from"], priority[k - 1], m["to"], m["confidence"], m["evidence"]))
+                used[m["from"]] += 1
+                left = left.where(~((F.col("k") == k) & F.col("from").eqNullSafe(m["from"]) & F.col("to").eqNullSafe(m["to"])))
+                if used[m["from"]] == 2:
+                    left = left.where(~F.col("from").eqNullSafe(m["from"]))
+                if sum(g[2] == priority[k - 1] for g in got) < cap:
+                    break
+            places.pop(0)
+    return flows.sparkSession.createDataFrame(got, "place int, source string, relation string, target string, confidence string, evidence string")

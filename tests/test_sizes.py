@@ -8,6 +8,8 @@ from collections import Counter
 from itertools import combinations
 
 from loamgraph.operators import retrieval as R
+from loamgraph.operators import selection as S
+from loamgraph.operators import traverse as T
 from loamgraph.sources import model as M
 from tests.conftest import SF
 
@@ -63,3 +65,18 @@ def test_offers_are_shuffled_once_and_not_counted_where_no_one_asks(spark):
     edges = M.edges(spark, SF).select("source", "target")
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "Window" not in plan and len(re.findall(r"hashpartitioning\(l_partkey", plan.split("Initial Plan")[0])) == 1
+
+
+def test_reach_without_reasons_does_not_sort(spark):
+    view = spark.createDataFrame([("a", "b", "x", None), ("b", "c", "x", "E"), ("a", "c", "y", "E"), ("c", "a", "x", "E"), ("c", "d", "x", "E")], "at string, to string, label string, confidence string")
+    seeds = spark.createDataFrame([("a",), ("a",)], "id string")
+    for depth in (1, 2, 5):
+        assert sorted(map(tuple, T.reach(view, seeds, depth).collect())) == sorted(map(tuple, T.hops(view, seeds, depth).select("id", "hop").collect()))
+
+
+def test_flows_are_chosen_past_parallel_edges_and_full_sources(spark):
+    nodes = spark.createDataFrame([(f"n{i}", f"name{i % 4}", "src/f", 1) for i in range(12)], "id string, name string, file string, line long")
+    rows = [(f"n{s}", f"n{t}", lab, "EXTRACTED", None, None) for s in range(12) for t in range(12) if s != t for lab in ("u", "v") for _ in range(3)]
+    got = S.flow_list(nodes, spark.createDataFrame(rows, "source string, target string, label string, confidence string, file string, line long"), ("u", "v"), 6).collect()
+    assert [r["relation"] for r in got] == ["u"] * 3 + ["v"] * 3 and len({(r["source"], r["relation"], r["target"]) for r in got}) == 6
+    assert max(Counter(r["source"] for r in got).values()) == 2
