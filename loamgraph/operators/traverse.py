@@ -45,16 +45,18 @@ def hops(view: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """All ids within depth hops of the seeds (id): id, hop, via, label, confidence; seeds have hop 0.
 
     Of several edges that reach an id in the same round, the least (via, label, confidence) is told. The view's four columns
-    are written once where there is more than one round, and each round's frontier is written, so its size is known: a
-    small one is broadcast and the view is not shuffled.
+    are written once where there is more than one round, and seeds and each round's frontier are written, so their size is
+    known: a small one is broadcast and the view is not shuffled. The edges of a round are dealt by the id that they reach
+    before the least is sought: that is a sort, and a scan of the packed view has too many edges for one in memory.
     """
     view = view.select("at", "to", "label", "confidence")
     view = written(view, "view") if depth > 1 else view
-    seen = seeds.select("id").distinct().select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("confidence"))
-    frontier = seen
+    none = F.lit(None).cast("string")
+    frontier = seen = written(seeds.select("id").distinct(), "seeds").select("id", F.lit(0).alias("hop"), none.alias("via"), none.alias("label"), none.alias("confidence"))
     for k in range(1, depth + 1):
-        step = frontier.select(F.col("id").alias("at")).join(view, "at").groupBy(F.col("to").alias("id")).agg(F.min(F.struct(F.col("at").alias("via"), "label", "confidence")).alias("e"))
-        frontier = written(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("hop"), "e.via", "e.label", "e.confidence"), "frontier")
+        met = frontier.select(F.col("id").alias("at")).join(view, "at").select(F.col("to").alias("id"), F.col("at").alias("via"), "label", "confidence").repartition("id")
+        step = met.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct("via", "label", "confidence")).alias("e"))
+        frontier = written(step.select("id", F.lit(k).alias("hop"), "e.via", "e.label", "e.confidence"), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

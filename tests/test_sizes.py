@@ -80,3 +80,27 @@ def test_flows_are_chosen_past_parallel_edges_and_full_sources(spark):
     got = S.flow_list(nodes, spark.createDataFrame(rows, "source string, target string, label string, confidence string, file string, line long"), ("u", "v"), 6).collect()
     assert [r["relation"] for r in got] == ["u"] * 3 + ["v"] * 3 and len({(r["source"], r["relation"], r["target"]) for r in got}) == 6
     assert max(Counter(r["source"] for r in got).values()) == 2
+
+
+def test_edges_of_a_round_are_dealt_by_id_before_the_least_is_sought(spark):
+    rng = random.Random(7)
+    rows = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", rng.choice("xy"), rng.choice(["E", None])) for _ in range(300)]
+    view, seeds = spark.createDataFrame(rows, "at string, to string, label string, confidence string"), spark.createDataFrame([("n1",), ("n1",), ("n2",)], "id string")
+    seen, frontier, want = {"n1", "n2"}, {"n1", "n2"}, set()
+    for k in (1, 2):
+        met = {}
+        for at, to, label, confidence in rows:
+            if at in frontier and to not in seen:
+                met.setdefault(to, []).append((at, label, confidence or ""))
+        want |= {(i, k, *min(es)) for i, es in met.items()}
+        frontier, seen = set(met), seen | set(met)
+    out = T.hops(view, seeds, 2).where("hop > 0").fillna("", ["confidence"])
+    assert {tuple(r) for r in out.collect()} == want and want
+    plans = []
+    made, T.written = T.written, lambda df, what: plans.append(df._jdf.queryExecution().executedPlan().toString()) or made(df, what)
+    try:
+        T.hops(view, seeds, 1)
+    finally:
+        T.written = made
+    lines = plans[-1].splitlines()
+    assert max(i for i, x in enumerate(lines) if "SortAggregate" in x) < min(i for i, x in enumerate(lines) if "Exchange hashpartitioning(id" in x)
