@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from loamgraph.operators import bounded as B
 from loamgraph.operators import retrieval as R
 from loamgraph.operators import selection as S
+from loamgraph.operators import session as O
+from loamgraph.operators import source as Src
 from loamgraph.operators import traverse as T
+from loamgraph.plans import graph_queries as Q
+from loamgraph.plans import intent as I
 from loamgraph.sources import model as M
 from tests.conftest import SF
 
@@ -104,3 +113,8 @@ def test_edges_of_a_round_are_dealt_by_id_before_the_least_is_sought(spark):
         T.written = made
     lines = plans[-1].splitlines()
     assert max(i for i, x in enumerate(lines) if "SortAggregate" in x) < min(i for i, x in enumerate(lines) if "Exchange hashpartitioning(id" in x)
+
+
+def test_offers_keep_their_partitions_apart(spark):
+    plan = M.edges(spark, SF).select("source", "target")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(l_partkey#\d+L?, 4\), REPARTITION_BY_NUM", plan)
