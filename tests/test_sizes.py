@@ -131,3 +131,19 @@ def test_first_neighbors_are_ranked_in_one_shuffle(spark):
     out = O.first_neighbors(spark.createDataFrame(rows, "source string, target string"), 3)
     assert sorted(map(tuple, out.collect())) == sorted((i, o, k) for i, os in near.items() for k, o in enumerate(sorted(os)[:3], 1))
     assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange ") == 1
+
+
+def test_only_files_of_the_first_hits_are_cut_into_lines(spark):
+    texts = [(9, "a b"), (7, "x.y\nnone\nx.y"), (5, "xzy x"), (3, "_b b1\n(b)\r\nb"), (2, None), (1, ""), (7, "x.y b"), (8, "b\nb"), (4, "$1"), (6, "a$1\n b\n")]
+    files = spark.createDataFrame(texts, "file long, text string")
+    lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("i", "text")).select("file", (F.col("i") + 1).cast("long").alias("line"), "text")
+    for most in (1, 2, 3, 9):
+        got = B.identifier_hits_in(files, ["x.y", "b", "$1", "q"], most)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, B.identifier_hits(lines, ["x.y", "b", "$1", "q"], most).collect()))
+    split = []
+    made, B.identifier_hits = B.identifier_hits, lambda lines, *a: split.append({r["file"] for r in lines.select("file").collect()}) or made(lines, *a)
+    try:
+        B.identifier_hits_in(files, ["b"], 1)
+    finally:
+        B.identifier_hits = made
+    assert split == [{3}]
