@@ -7,7 +7,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,20 +125,44 @@ def rationale(lines: DataFrame) -> DataFrame:
     return told.select("file", "line", F.regexp_extract("text", mark, 1).alias("kind"), F.trim(F.concat_ws(" ", F.regexp_extract("text", mark, 2), F.array_join("more", " "))).alias("reason"), F.regexp_extract_all("text", F.lit(r"((?:ADR-|RFC )[0-9]+)"), 1).alias("cites"))
 
 
+#: Tokens of documents whose features are counted together: bounds a task's memory, not the result.
+MOST_TOKENS = 1 << 20
+
+
+def _vectors(tokens: pa.ListArray, slots: int) -> np.ndarray:
+    """The vectors of token lists: a feature is hashed once, its places are counted by arrays."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
+    words = tokens.flatten().dictionary_encode()
+    names, codes = words.dictionary.to_pylist(), np.asarray(words.indices).astype(np.int64)
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    inside = np.flatnonzero(of[1:] == of[:-1])
+    pairs, place = np.unique(codes[inside] * len(names) + codes[inside + 1], return_inverse=True)
+    features = [*names, *(f"{names[p // len(names)]} {names[p % len(names)]}" for p in pairs.tolist())]
+    hashed = np.fromiter((int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big") for f in features), np.uint64, len(features))
+    met = np.concatenate([codes, place + len(names)])
+    at = np.concatenate([of, of[inside]]) * slots + (hashed % np.uint64(slots)).astype(np.int64)[met]
+    v = np.bincount(at, np.where(hashed & np.uint64(1), 1.0, -1.0)[met], len(lengths) * slots).reshape(len(lengths), slots)
+    n = np.array([x**0.5 for x in (v * v).sum(axis=1).tolist()])
+    v /= np.where(n == 0, 1.0, n)[:, None]
+    scaled = v * 1e6
+    out = np.rint(scaled) / 1e6
+    for i, j in np.argwhere(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4):  # near a half the scaled value may tell the wrong side
+        out[i, j] = round(float(v[i, j]), 6)
+    return out
+
+
 def feature_vector(text: Column, slots: int = 384) -> Column:
     """Unigrams and bigrams hashed by BLAKE2b-64 into slots, signed by the low bit, of length 1, rounded to 6 digits."""
 
-    @F.pandas_udf("array<double>")
-    def run(tokens: pd.Series) -> pd.Series:
-        out = []
-        for ts in tokens:
-            v = [0.0] * slots
-            ts = list(ts)
-            for f in [*ts, *(f"{a} {b}" for a, b in zip(ts, ts[1:], strict=False))]:
-                h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
-                v[h % slots] += 1.0 if h & 1 else -1.0
-            n = sum(x * x for x in v) ** 0.5
-            out.append([round(x / n, 6) if n else 0.0 for x in v])
-        return pd.Series(out)
+    @F.arrow_udf("array<double>")
+    def run(tokens: pa.Array) -> pa.Array:
+        ends, parts, start = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))), [], 0
+        while start < len(tokens):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + MOST_TOKENS, "right")))
+            parts.append(_vectors(tokens.slice(start, stop - start), slots))
+            start = stop
+        flat = np.concatenate(parts).ravel() if parts else np.empty(0)
+        return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, slots, dtype=np.int32), pa.array(flat))
 
     return run(text)

@@ -147,3 +147,24 @@ def test_only_files_of_the_first_hits_are_cut_into_lines(spark):
     finally:
         B.identifier_hits = made
     assert split == [{3}]
+
+
+def test_feature_vectors_hash_a_feature_once(spark, monkeypatch):
+    rng = random.Random(11)
+    docs = [[rng.choice(["aa", "bb", "cc", "é_"]) for _ in range(rng.choice([0, 1, 2, 40, 400]))] for _ in range(60)] + [["aa"] * 160, [f"w{i}" for i in range(640)]]
+
+    def plain(ts):
+        v = [0.0] * 16
+        for f in [*ts, *(f"{a} {b}" for a, b in zip(ts, ts[1:], strict=False))]:
+            h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
+            v[h % 16] += 1.0 if h & 1 else -1.0
+        n = sum(x * x for x in v) ** 0.5
+        return [round(x / n, 6) if n else 0.0 for x in v]
+
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, ts array<string>").repartition(2)
+    got = {r["id"]: r["v"] for r in df.select("id", Src.feature_vector(F.col("ts"), 16).alias("v")).collect()}
+    assert got == {i: plain(ts) for i, ts in enumerate(docs)}
+    calls, hashed = [], hashlib.blake2b
+    monkeypatch.setattr(Src.hashlib, "blake2b", lambda *a, **k: calls.append(a) or hashed(*a, **k))
+    Src._vectors(pa.array([["aa", "bb"] * 50, [], ["bb", "aa"]]), 16)
+    assert len(calls) == 4
