@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as X
+from loamgraph.functions.lineage import written
 from loamgraph.operators import graph as G
 from loamgraph.operators import traverse as T
 from loamgraph.sources.model import STRUCTURAL
@@ -110,11 +111,22 @@ def risk_score(files: DataFrame, symbols: DataFrame, impacted: DataFrame) -> Dat
 
 
 def validate_package(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: edges, dangling ends, edges without a location, ambiguous edges."""
-    ids = nodes.select("id").withColumn("known", F.lit(True))
-    met = edges.join(ids.select(F.col("id").alias("source"), F.col("known").alias("s")), "source", "left").join(ids.select(F.col("id").alias("target"), F.col("known").alias("t")), "target", "left")
-    return met.agg(
-        F.count("*").alias("edges"), F.count_if(F.col("s").isNull() | F.col("t").isNull()).alias("dangling"), F.count_if(F.col("file").isNull() | F.col("line").isNull()).alias("unlocated"),
+    """One row: edges, dangling ends, edges without a location, ambiguous edges.
+
+    Ends are counted by id before they meet the nodes, so no edge is shuffled. Edges with two unknown ends, counted twice by
+    that, are found by the unknown ids alone.
+    """
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    unknown = written(ends.join(nodes.select("id"), "id", "left_anti"), "unknown")
+    once = unknown.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("met")).first()["met"]
+    twice = 0
+    if once:
+        at = lambda end: F.col(end).eqNullSafe(F.col("unknown"))
+        ids = unknown.select(F.col("id").alias("unknown"))
+        both = edges.join(ids, at("source"), "left_semi").join(ids, at("target"), "left_semi")
+        twice = both.count()
+    return edges.agg(
+        F.count("*").alias("edges"), F.lit(once - twice).cast("long").alias("dangling"), F.count_if(F.col("file").isNull() | F.col("line").isNull()).alias("unlocated"),
         F.count_if(F.col("confidence") == "AMBIGUOUS").alias("ambiguous"),
     )
 

@@ -168,3 +168,13 @@ def test_feature_vectors_hash_a_feature_once(spark, monkeypatch):
     monkeypatch.setattr(Src.hashlib, "blake2b", lambda *a, **k: calls.append(a) or hashed(*a, **k))
     Src._vectors(pa.array([["aa", "bb"] * 50, [], ["bb", "aa"]]), 16)
     assert len(calls) == 4
+
+
+def test_dangling_ends_are_counted_without_a_shuffle_of_edges(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
+    rows = [("a", "b"), ("a", "x"), ("x", "a"), ("x", "y"), ("x", "y"), ("x", "x"), (None, "a"), (None, None), ("y", None)]
+    edges = spark.createDataFrame([(s, t, "f", 1, "E") for s, t in rows] + [("a", "b", None, 1, "AMBIGUOUS")], "source string, target string, file string, line long, confidence string")
+    assert tuple(I.validate_package(nodes, edges).first()) == (10, 8, 1, 1)
+    known = edges.where("source = 'a' and target = 'b'")
+    assert tuple(I.validate_package(nodes, known).first()) == (2, 0, 1, 1) and tuple(I.validate_package(nodes, edges.limit(0)).first()) == (0, 0, 0, 0)
+    assert not re.search("Join", I.validate_package(nodes, edges)._jdf.queryExecution().executedPlan().toString())
