@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions import paths
+from loamgraph.functions.lineage import written
 from loamgraph.operators import graph as G
 from loamgraph.operators import traverse as T
 from loamgraph.sources import model as M
@@ -195,7 +196,7 @@ def _communities_sql(rounds: int) -> str:
 
 def _heavy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brand and supplier-file pairs that meet more often than half the mean above it."""
-    pairs = G.file_pairs(M.nodes(spark, sf_dir), M.edges(spark, sf_dir).where("label = 'supplies'"))
+    pairs = written(G.file_pairs(M.nodes(spark, sf_dir), M.edges(spark, sf_dir).where("label = 'supplies'")), "pairs")  # read several times
     mean = pairs.agg(F.avg("weight")).first()[0] or 0.0
     return pairs.where(F.col("weight") > 1.2 * mean)
 

@@ -178,3 +178,8 @@ def test_dangling_ends_are_counted_without_a_shuffle_of_edges(spark):
     known = edges.where("source = 'a' and target = 'b'")
     assert tuple(I.validate_package(nodes, known).first()) == (2, 0, 1, 1) and tuple(I.validate_package(nodes, edges.limit(0)).first()) == (0, 0, 0, 0)
     assert not re.search("Join", I.validate_package(nodes, edges)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_heavy_pairs_are_counted_once_for_all_who_read_them(spark):
+    pairs = Q._heavy_pairs(spark, SF)
+    assert pairs.count() > 0 and not re.search("Join|Aggregate", pairs._jdf.queryExecution().executedPlan().toString())
