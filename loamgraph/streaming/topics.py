@@ -18,7 +18,9 @@ seq are left out.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import heapq
+from collections import OrderedDict, defaultdict
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -151,14 +153,18 @@ def key_of(session: str, seq: int) -> str:
 
 
 class _Held:
-    """Entries of one map state that a batch touches, read once and written back at its end."""
+    """Entries of one map state that a batch touches, read once and written back at its end; a new owner has none to read.
 
-    def __init__(self, state: Any) -> None:
-        self.state, self.now, self.changed = state, {}, set()
+    An entry is held as took() makes it of a state's value; gave() makes the value again.
+    """
+
+    def __init__(self, state: Any, new: bool, took: Callable[[tuple], tuple] = tuple, gave: Callable[[tuple], tuple] = tuple) -> None:
+        self.state, self.new, self.took, self.gave, self.now, self.changed = state, new, took, gave, {}, set()
 
     def get(self, key: str) -> tuple | None:
         if key not in self.now:
-            self.now[key] = self.state.getValue((key,)) if self.state.containsKey((key,)) else None
+            value = None if self.new else self.state.getValue((key,))
+            self.now[key] = None if value is None else self.took(value)
         return self.now[key]
 
     def put(self, key: str, value: tuple) -> None:
@@ -167,7 +173,37 @@ class _Held:
 
     def write(self) -> None:
         for key in self.changed:
-            self.state.updateValue((key,), self.now[key])
+            self.state.updateValue((key,), self.gave(self.now[key]))
+
+
+class _Near:
+    """An owner's topics by entity in the order of their last turns; an entity's topics are read once a batch."""
+
+    def __init__(self, by_entity: _Held, topics: _Held) -> None:
+        self.by_entity, self.topics, self.of, self.entities = by_entity, topics, {}, defaultdict(set)
+
+    def at(self, entity: str) -> OrderedDict:
+        if entity not in self.of:
+            held = (self.by_entity.get(entity) or ((),))[0]
+            self.of[entity] = OrderedDict.fromkeys(sorted(held, key=lambda t: self.topics.get(t)[0]))
+            for topic in held:
+                self.entities[topic].add(entity)
+        return self.of[entity]
+
+    def touch(self, topic: str, found: list[str]) -> None:
+        """The topic, whose turn is now, has these entities besides those that it had."""
+        for e in found:
+            at = self.at(e)
+            if topic not in at:
+                at[topic] = None
+                self.entities[topic].add(e)
+                self.by_entity.put(e, (at,))
+        for e in self.entities[topic]:
+            self.of[e].move_to_end(topic)
+
+    def latest(self, found: list[str]) -> Iterator[str]:
+        """The topics of these entities, latest first; one of several entities comes several times."""
+        return heapq.merge(*(reversed(self.at(e)) for e in found), key=lambda t: -self.topics.get(t)[0])
 
 
 class Topics(StatefulProcessor):
@@ -181,8 +217,11 @@ class Topics(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at", "session", "seq"], kind="stable")
-        by_entity, topics, sessions = _Held(self.by_entity), _Held(self.topics), _Held(self.sessions)
-        turn = self.turns.get()[0] if self.turns.exists() else 0
+        held = self.turns.get() if self.turns.exists() else None
+        turn, new = held[0] if held else 0, held is None
+        by_entity, sessions = _Held(self.by_entity, new, gave=lambda v: (list(v[0]),)), _Held(self.sessions, new)
+        topics = _Held(self.topics, new, lambda v: (v[0], set(v[1])), lambda v: (v[0], sorted(v[1])))
+        near = _Near(by_entity, topics)
         out = []
         for m in batch.itertuples(index=False):
             cursor, file_cursor, topic, episode = sessions.get(m.session) or (-1, -1, None, None)
@@ -192,15 +231,11 @@ class Topics(StatefulProcessor):
             action = "attached"
             if m.role == "user" or episode is None:
                 name = key_of(m.session, m.seq)
-                match = _match(m.entities, set(m.terms), by_entity, topics) if m.role == "user" else None
+                match = _match(m.entities, set(m.terms), near) if m.role == "user" else None
                 topic, episode, action = match or "top_" + name, "epi_" + name, "continued" if match else "created"
-                before = topics.get(topic)
-                topics.put(topic, (turn, sorted({*(before[1] if before else ()), *m.terms})))
-                for e in m.entities:
-                    if e.split(":", 1)[0] not in TOO_WIDE:
-                        held = by_entity.get(e)
-                        if held is None or topic not in held[0]:
-                            by_entity.put(e, ([*(held[0] if held else ()), topic],))
+                before = topics.get(topic) if match else None
+                topics.put(topic, (turn, (before[1] if before else set()).union(m.terms)))
+                near.touch(topic, [e for e in m.entities if e.split(":", 1)[0] not in TOO_WIDE])
             files = list(m.files) if m.seq > file_cursor else []
             sessions.put(m.session, (int(m.seq), max(int(m.seq), file_cursor), topic, episode))
             out.append((m.owner, m.session, m.seq, m.at, m.role, topic, episode, action, list(m.entities), files))
@@ -213,11 +248,19 @@ class Topics(StatefulProcessor):
         pass
 
 
-def _match(found: list[str], terms: set[str], by_entity: _Held, topics: _Held) -> str | None:
-    """The topic that a message continues: of those that share an entity and enough terms the one with most (up to three), then the latest, then the greatest id."""
-    near = {t for e in found for t in ((by_entity.get(e) or ((),))[0])}
-    best = max(((min(3, n), topics.get(t)[0], t) for t in near if (n := len(terms.intersection(topics.get(t)[1]))) >= 2 or CONTINUATION in terms), default=None)
-    return best[2] if best else None
+def _match(found: list[str], terms: set[str], near: _Near) -> str | None:
+    """The topic that a message continues: of those that share an entity and enough terms the one with most (up to three), then the latest.
+
+    No two topics have one last turn. Latest first, the first one with three terms is it, so common words do not cost a look at all topics.
+    """
+    best, most = None, -1 if CONTINUATION in terms else 1
+    for t in near.latest(found):
+        n = min(3, len(terms & near.topics.get(t)[1]))
+        if n > most:
+            best, most = t, n
+            if n == 3:
+                break
+    return best
 
 
 def assign_topics(messages: DataFrame, root: str = "/workspace") -> DataFrame:

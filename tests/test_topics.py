@@ -100,3 +100,35 @@ def test_one_batch_equals_a_restarted_stream(rocks):
 
 def test_no_rows(rocks):
     assert T.assign_topics(rocks.createDataFrame([], SCHEMA).withColumn("topic", F.lit("x"))).count() == 0
+
+
+class Store(dict):
+    """A map state of plain values that counts its reads."""
+
+    reads = 0
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.get(key[0])
+
+    def updateValue(self, key, value):
+        self[key[0]] = value
+
+
+def test_a_match_looks_at_the_latest_topics_and_a_new_owner_reads_nothing():
+    stores = Store(), Store()
+    by_entity, topics = T._Held(stores[0], True, gave=lambda v: (list(v[0]),)), T._Held(stores[1], True, lambda v: (v[0], set(v[1])), lambda v: (v[0], sorted(v[1])))
+    near, looked = T._Near(by_entity, topics), []
+    for turn in range(1, 2001):
+        topics.put(f"t{turn}", (turn, {"aaaa", "bbbb", "cccc", f"w{turn}"} - ({"cccc"} if turn > 1990 else set())))
+        near.touch(f"t{turn}", ["e:x"] if turn % 2 else ["e:x", "e:y"])
+    topics.put("t7", (2001, {"aaaa"}))
+    near.touch("t7", [])
+    get, topics.get = topics.get, lambda key: looked.append(key) or get(key)
+    assert T._match(["e:x"], {"aaaa", "bbbb", "cccc"}, near) == "t1990" and len(looked) < 60 and not stores[0].reads + stores[1].reads
+    assert T._match(["e:y", "e:x"], {"bbbb", "aaaa"}, near) == "t2000" and T._match(["e:z"], {"aaaa", "bbbb"}, near) is None
+    assert T._match(["e:x"], {"none", T.CONTINUATION}, near) == "t7" and T._match(["e:x"], {"none", "aaaa"}, near) is None
+    for held in (by_entity, topics):
+        held.write()
+    again = T._Near(T._Held(stores[0], False), T._Held(stores[1], False, lambda v: (v[0], set(v[1]))))
+    assert T._match(["e:x"], {"aaaa", "bbbb", "cccc"}, again) == "t1990" and list(stores[0]["e:x"][0])[-1] == "t7"
