@@ -70,12 +70,13 @@ TEST_NAME = r"(^test_|^test[A-Z]|Tests?$|_test$)"
 def god_nodes(nodes: DataFrame, edges: DataFrame, limit: int = 10, most_homonyms: int = 2, containers: tuple[str, ...] = ("region", "nation")) -> DataFrame:
     """The most connected production symbols: no containers, no test names, nothing without a line, no names with more than most_homonyms definitions.
 
-    Containers and nodes without a file are no definitions.
+    Containers and nodes without a file are no definitions. Definitions are counted where a name's nodes are sorted, in one
+    shuffle by name; a node without a name is none.
     """
-    symbols = nodes.where(~F.col("kind").isin(*containers) & (F.coalesce("file", F.lit("")) != ""))
-    live = symbols.where(paths.production(F.col("file")) & (F.coalesce("line", F.lit(0)) != 0) & ~F.coalesce("name", F.lit("")).rlike(TEST_NAME))
-    rare = symbols.groupBy("name").agg(F.count("*").alias("definitions")).where(F.col("definitions") <= most_homonyms).select("name")
-    hubs = live.join(degree(edges.where(~F.col("label").isin(*STRUCTURAL))), "id").join(rare, "name", "left_semi")
+    symbols = nodes.where(~F.col("kind").isin(*containers) & (F.coalesce("file", F.lit("")) != "") & F.col("name").isNotNull())
+    rare = symbols.withColumn("definitions", F.count("*").over(Window.partitionBy("name"))).where(F.col("definitions") <= most_homonyms)
+    live = rare.where(paths.production(F.col("file")) & (F.coalesce("line", F.lit(0)) != 0) & ~F.col("name").rlike(TEST_NAME))
+    hubs = live.join(degree(edges.where(~F.col("label").isin(*STRUCTURAL))), "id")
     return hubs.select("id", "name", "file", "line", "degree").orderBy(F.desc("degree"), "file", "line", "id").limit(limit)
 
 

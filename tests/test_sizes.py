@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loamgraph.operators import bounded as B
+from loamgraph.operators import graph as G
 from loamgraph.operators import retrieval as R
 from loamgraph.operators import selection as S
 from loamgraph.operators import session as O
@@ -183,3 +184,11 @@ def test_dangling_ends_are_counted_without_a_shuffle_of_edges(spark):
 def test_heavy_pairs_are_counted_once_for_all_who_read_them(spark):
     pairs = Q._heavy_pairs(spark, SF)
     assert pairs.count() > 0 and not re.search("Join|Aggregate", pairs._jdf.queryExecution().executedPlan().toString())
+
+
+def test_definitions_of_hubs_are_counted_in_the_shuffle_by_name(spark):
+    nodes = spark.createDataFrame([("a", "k", "x", "src/f", 1), ("b", "k", "x", "tests/f", 2), ("c", "k", "y", "src/f", 0), ("d", "k", None, "src/f", 4), ("e", "k", "z", "src/f", 5)] + [(f"h{i}", "k", "w", "src/f", 6) for i in range(3)], "id string, kind string, name string, file string, line long")
+    edges = spark.createDataFrame([(s, t, "u") for s in "abcde" for t in ("h0", "h1", "h2", "a")], "source string, target string, label string")
+    out = G.god_nodes(nodes, edges)
+    assert [(r["id"], r["degree"]) for r in out.collect()] == [("a", 9), ("e", 4)]
+    assert "Semi" not in out._jdf.queryExecution().optimizedPlan().toString()
