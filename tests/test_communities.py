@@ -95,3 +95,16 @@ def test_edges_of_no_use(spark):
     df = spark.createDataFrame(rows, "a string, b string, weight double")
     assert {r["id"]: r["community"] for r in C.louvain(df).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "d"}
     assert C.louvain(df.limit(0)).count() == 0
+
+
+def test_a_round_on_a_small_graph_is_few_jobs_and_one_on_partitions_gives_the_same(spark, monkeypatch):
+    rounds, written = [], C.written
+    monkeypatch.setattr(C, "written", lambda df, what: rounds.append(what) or written(df, what))
+    pairs = spark.createDataFrame([(f"f{a}", f"f{b}", w) for a, b, w in [*planted(3, 6), (4, 4, 2.5)]], "a string, b string, weight double")
+    spark.sparkContext.setJobGroup("louvain", "one partition")
+    found = sorted(map(tuple, C.louvain(pairs).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("louvain"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 10 * rounds.count("moves")
+    monkeypatch.setattr(C, "PARTITION_ROWS", 0)
+    assert sorted(map(tuple, C.louvain(pairs).collect())) == found and len({c for _, c in found}) > 1
