@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions import paths
+from loamgraph.functions.lineage import written
 from loamgraph.sources.model import CONFIDENCE_RANK, CONSUMER_LABELS, STRUCTURAL
 
 #: Base score by confidence. Fixed values.
@@ -258,23 +259,27 @@ def resolve_names(calls: DataFrame, symbols: DataFrame, most_ties: int = 4) -> D
 
     symbols: id, name, file, container, arity (a whole number). Same file 4, same container 5, same arity 5 (close: 3).
     Symbols are counted by each set of equal attributes and looked up by key, so no call meets all symbols of its name.
-    Two sets of one score have no symbol in common at the best score: it would be equal in both, for more.
+    Two sets of one score have no symbol in common at the best score: it would be equal in both, for more. Keys are made
+    of distinct attributes, not of symbols, and every join is by sort: sizes told before a row becomes up to 16 keys
+    would let the driver collect a side for a broadcast that grows with the symbols.
     """
-    known = _evidence_keys(symbols, "id", probes=False)
     signature = ["name", "file", "container", "arity"]
-    probes = _evidence_keys(calls.select(*signature).distinct(), *signature[1:], probes=True)
     keys = ["k_name", "k_set", "k_file", "k_container", "k_arity"]
-    counted = known.join(probes.select(F.col("k_name")).distinct(), "k_name", "left_semi").groupBy(*keys).agg(F.count("*").alias("n"))
-    met = _same_keys(probes, counted, keys).withColumnRenamed("k_name", "name")
-    best = met.groupBy(*signature).agg(F.max("score").alias("score")).withColumnRenamed("score", "top")
-    won = _same_keys(met, best, signature).where("score = top").drop("top")
-    told = won.groupBy(*signature, "score").agg(F.sum("n").alias("n"))
+    alike = symbols.groupBy(*signature).agg(F.count("*").alias("alike"))
+    known = _evidence_keys(alike.select(*signature, *[F.col(c).alias(f"s_{c}") for c in signature[1:]], "alike"), *[f"s_{c}" for c in signature[1:]], "alike", probes=False)
+    probes = _evidence_keys(calls.select(*signature).distinct(), *signature[1:], probes=True)
+    met = _same_keys(probes, known.groupBy(*keys).agg(F.sum("alike").alias("n")), keys)
+    w = Window.partitionBy("k_name", *signature[1:])
+    won = written(met.withColumn("best", F.rank().over(w.orderBy(F.desc("score")))).where("best = 1").withColumn("all", F.sum("n").over(w)), "won")
+    few = _same_keys(won.where(F.col("all") <= most_ties), known.where(F.col("alike") <= most_ties).drop("score", "alike"), keys)
+    few = few.select(F.col("k_name").alias("name"), *[F.col(f"s_{c}").alias(c) for c in signature[1:]], F.struct(*signature[1:]).alias("asked"))
+    found = _same_keys(few, symbols.select("id", *signature), signature).groupBy("name", "asked").agg(F.collect_list(F.struct("id")).alias("ids"))  # most_ties at most
+    told = won.select(F.col("k_name").alias("name"), *signature[1:], "score", F.col("all").alias("n")).distinct()
+    told = _same_keys(told, found.select("name", "asked.*", "ids"), signature, "left")
+    placed = _same_keys(calls.select("call_id", *signature), told, signature).select("call_id", "score", "n", "ids")
     w = Window.partitionBy("call_id")
-    placed = _same_keys(calls.select("call_id", *signature), told, signature)
     top = placed.withColumn("rank", F.rank().over(w.orderBy(F.desc("score")))).where("rank = 1").withColumn("ties", F.sum("n").over(w)).where(F.col("ties") <= most_ties)
-    few = won.where(F.col("n") <= most_ties).select(F.col("name").alias("k_name"), *keys[1:], *signature[1:])
-    found = _same_keys(few, known, keys).select(F.col("k_name").alias("name"), *signature[1:], "id")
-    return _same_keys(top, found, signature).select("call_id", "id", "score", F.col("ties").cast("long").alias("ties"), F.when(F.col("ties") > 1, "AMBIGUOUS").otherwise("EXTRACTED").alias("confidence"))
+    return top.withColumn("met", F.explode("ids")).select("call_id", "met.id", "score", F.col("ties").cast("long").alias("ties"), F.when(F.col("ties") > 1, "AMBIGUOUS").otherwise("EXTRACTED").alias("confidence"))
 
 
 def _evidence_keys(rows: DataFrame, *kept: str, probes: bool) -> DataFrame:
@@ -298,8 +303,8 @@ def _evidence_keys(rows: DataFrame, *kept: str, probes: bool) -> DataFrame:
     return rows.where("name is not null").select(F.col("name").alias("k_name"), *kept, F.explode(F.array_compact(F.array(*sets))).alias("k")).select("k_name", *kept, "k.*")
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """An inner join on keys of which all but the first may be null on both sides."""
+def _same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which all but the first may be null on both sides; neither side is broadcast, whatever its size is thought to be."""
     other = right.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in right.columns if c in keys or c not in left.columns])
     same = [left[keys[0]] == F.col(f"_{keys[0]}"), *[left[k].eqNullSafe(F.col(f"_{k}")) for k in keys[1:]]]
-    return left.join(other, same).drop(*[f"_{k}" for k in keys])
+    return left.join(other.hint("merge"), same, how).drop(*[f"_{k}" for k in keys])

@@ -320,6 +320,6 @@ SELECT call_id, id, score, ties, CASE WHEN ties > 1 THEN 'AMBIGUOUS' ELSE 'EXTRA
 def graph_resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = M.table(spark, sf_dir, "part")
     li, name = M.table(spark, sf_dir, "lineitem"), F.concat("p_name", F.col("p_size").cast("string"))
-    calls = li.join(p, li["l_partkey"] == p["p_partkey"]).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("call_id"), name.alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("container"), F.col("l_linenumber").alias("arity"))
+    calls = li.join(p.hint("merge"), li["l_partkey"] == p["p_partkey"]).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("call_id"), name.alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("container"), F.col("l_linenumber").alias("arity"))
     symbols = p.select(M.key("part", "p_partkey").alias("id"), name.alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("container"), F.col("p_size").alias("arity"))
     return G.resolve_names(calls, symbols)

@@ -11,6 +11,8 @@ from loamgraph.operators import graph as G
 from loamgraph.operators import references
 from loamgraph.operators import resolve as V
 from loamgraph.operators import traverse as T
+from loamgraph.plans import graph_queries as Q
+from tests.conftest import SF
 
 CALLS, SYMBOLS = "call_id long, name string, file string, container string, arity int", "id string, name string, file string, container string, arity int"
 
@@ -58,6 +60,17 @@ def test_one_name_for_all_does_not_meet_row_by_row(spark):
     assert V.imported_candidates(asked, own, calls.select("call_id", "module")).where(F.col("call_id").cast("string") == F.col("id")).count() == 60_000
 
 
+def test_sides_that_grow_with_symbols_are_not_collected_in_the_driver(spark):
+    symbols = spark.createDataFrame([("a", "n", "f", "c", 1), (None, "n", None, None, 3), ("z", "m", None, "c", 9)], SYMBOLS)
+    calls = spark.createDataFrame([(1, "n", "f", None, None), (2, "n", None, None, 3), (3, "m", "g", "c", None)], CALLS)
+    out = G.resolve_names(calls, symbols)
+    assert {tuple(r) for r in out.collect()} == {(1, "a", 4, 1, "EXTRACTED"), (2, None, 5, 1, "EXTRACTED"), (3, "z", 5, 1, "EXTRACTED")}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    query = Q.graph_resolve_names(spark, SF)  # tables of any size: the small ones here are far below the limit of a broadcast
+    query.collect()
+    assert "Broadcast" not in query._jdf.queryExecution().executedPlan().toString()
+
+
 def test_imported_candidates_are_those_of_the_filter(spark):
     calls = spark.createDataFrame([(r[0], r[2], r[1]) for r in _rows(3, 120, lambda rng, i: i)], "call_id long, file string, name string")
     symbols = spark.createDataFrame([(r[0], r[1], r[3], r[2]) for r in _rows(4, 30, lambda rng, i: f"s{i}")], "id string, name string, module string, target_file string")
