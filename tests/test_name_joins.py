@@ -79,6 +79,15 @@ def test_imported_candidates_are_those_of_the_filter(spark):
     assert Counter(map(tuple, V.imported_candidates(calls, symbols, imports).collect())) == Counter(map(tuple, want.collect()))
 
 
+def test_calls_of_a_key_follow_each_other_in_the_files_of_the_result(spark, tmp_path):
+    calls = spark.range(60_000).select(F.col("id").alias("call_id"), F.concat(F.lit("f"), (F.col("id") % 40).cast("string")).alias("file"), (F.col("id") % 90).alias("name"))
+    symbols = spark.range(120_000).select((F.col("id") * 7919 % 10**9).alias("id"), (F.col("id") % 90).alias("name"), F.lit("m").alias("module"), F.concat(F.lit("f"), (F.col("id") % 50).cast("string")).alias("target_file"))
+    out = V.imported_candidates(calls, symbols, calls.where("call_id < 0").select("call_id", F.lit("m").alias("module")))
+    out.write.parquet(str(tmp_path / "out"))
+    size, rows = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")), spark.read.parquet(str(tmp_path / "out")).count()
+    assert rows > 5_000_000 and size < 0.6 * rows, (rows, size)
+
+
 def test_ties_and_bases_of_odd_rows(spark):
     symbols = _rows(5, 40, lambda rng, i: f"s{i % 33}")
     calls = _rows(6, 60, lambda rng, i: rng.randrange(50))
