@@ -42,6 +42,15 @@ def test_related_pairs_are_counted_in_blocks_without_a_row_a_pair_and_term(spark
     assert {(r["a"], r["b"], r["shared"]) for r in R.related_pairs(names, 2, 25, 60).collect()} == {(*sorted((f"d{a}", f"d{b}")), n) for (a, b), n in want.items()}
 
 
+def test_lists_of_terms_are_not_shuffled_but_for_documents_given_twice(spark):
+    docs = spark.createDataFrame([(1, "apple pear fig"), (2, "pear apple plum"), (1, "plum apple"), (3, None), (None, "apple fig"), (None, "fig apple")], "doc long, text string")
+    lists = R.term_lists(docs)
+    assert sorted(((r["doc"], r["terms"]) for r in lists.collect()), key=str) == sorted([(1, ["apple", "fig", "pear", "plum"]), (2, ["apple", "pear", "plum"]), (3, []), (None, ["apple", "fig"])], key=str)
+    assert {tuple(r) for r in R.related_lists(lists, 2, 3).collect()} == {(1, 2, 3)}  # the two rows without an id count once, so apple is in three
+    once = R.term_lists(spark.range(50).selectExpr("id as doc", "'apple pear' as text"))
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1  # that of documents given twice
+
+
 def test_first_alike_meets_the_first_ids_of_a_key_alone(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(300) if rng.random() < 0.98 else None, rng.choice(["a", "b", "c", None])) for _ in range(600)]
